@@ -79,11 +79,9 @@ def build_postings(
     text = F.concat_ws(" ", "title", "summary", "body") if text is None else text
     words = articles.select("id", tokens(text, stem).alias("_words"))
     kept = lambda w: ~w.isin(list(stop_words))
-    placed = words.select(
-        "id",
-        F.size(F.filter("_words", kept)).alias("doc_len"),
-        F.posexplode("_words").alias("pos", "term"),
-    ).filter(kept(F.col("term")))
+    # The length is taken before the words are spread out, or it would be counted once per word.
+    sized = words.withColumn("doc_len", F.size(F.filter("_words", kept)))
+    placed = sized.select("id", "doc_len", F.posexplode("_words").alias("pos", "term")).filter(kept(F.col("term")))
     return placed.groupBy("id", "doc_len", "term").agg(
         F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
     ).select("term", "id", "tf", "doc_len", "positions")

@@ -103,9 +103,9 @@ def _(spark, sf):
 
 
 @query("entry_mapper", with_views(X.ARTICLES, select=r"""
-SELECT url, upper(trim(title)) AS title, 'newsroom' AS author FROM articles"""))
+SELECT url, lower(trim(title)) AS title, 'newsroom' AS author FROM articles"""))
 def _(spark, sf):
-    own = {"title": "upper(title)", "author": F.coalesce(F.col("author"), F.lit("newsroom"))}
+    own = {"title": "lower(title)", "author": F.coalesce(F.col("author"), F.lit("newsroom"))}
     return feeds.map_entry(_entries(spark, sf), mapping=own).select("url", "title", "author")
 
 
@@ -1001,11 +1001,11 @@ def _(spark, sf):
 
 STOPS = sorted(set(search.SEARCH_STOP_WORDS))
 POSTING_SQL = TOKENS + f""",
-placed AS (SELECT id, len(list_filter(l, lambda w: w NOT IN {_in(STOPS)})) AS doc_len, unnest(l) AS term,
-                  generate_subscripts(l, 1) - 1 AS pos FROM toks),
+spread AS (SELECT id, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS pos FROM toks),
+placed AS (SELECT *, count(*) OVER (PARTITION BY id) AS doc_len FROM spread WHERE term NOT IN {_in(STOPS)}),
 postings AS (
-  SELECT term, id, count(*) AS tf, doc_len, min(pos) AS first_pos, max(pos) AS last_pos
-  FROM placed WHERE term NOT IN {_in(STOPS)} GROUP BY term, id, doc_len)"""
+  SELECT term, id, count(*) AS tf, max(doc_len) AS doc_len, min(pos) AS first_pos, max(pos) AS last_pos
+  FROM placed GROUP BY term, id)"""
 
 
 @query("build_postings", with_views(X.ARTICLES, POSTING_SQL, select="""
@@ -1018,7 +1018,8 @@ def _(spark, sf):
 
 
 RANKED_SQL = POSTING_SQL + f""",
-corpus AS (SELECT count(*) AS n_docs, avg(len(list_filter(l, lambda w: w NOT IN {_in(STOPS)}))) AS mean_len FROM toks),
+corpus AS (SELECT (SELECT count(*) FROM articles) AS n_docs,
+                  (SELECT count(*) FROM placed) / (SELECT count(*) FROM articles)::DOUBLE AS mean_len),
 df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 gains AS (
   SELECT id, ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE

@@ -148,5 +148,6 @@ def export_csv(articles: DataFrame, path: str, max_rows: int | None = None) -> N
         if found > max_rows:
             raise ValueError(f"export holds more than {max_rows} rows")
     rows = export_rows(export_scan(articles)).select(*EXPORT_COLUMNS)
-    rows.write.mode("overwrite").option("header", True).option("emptyValue", "").option(
-        "escape", '"').csv(path)
+    rows.write.mode("overwrite").options(
+        header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)

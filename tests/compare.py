@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import signal
 import sys
 import time
 
@@ -41,10 +42,7 @@ def _rows(table) -> tuple[list[str], list[tuple]]:
 def differences(spark, connection, folder: str, name: str, fn, sql: str) -> str | None:
     """None when the query and its oracle agree, else what differs."""
     got_table = fn(spark, folder).toArrow()
-    result = connection.execute(sql)
-    want_table = result.arrow() if not hasattr(result, "fetch_arrow_table") else result.fetch_arrow_table()
-    if hasattr(want_table, "read_all"):
-        want_table = want_table.read_all()
+    want_table = connection.execute(sql).to_arrow_table()
     kinds = lambda t: {f.name: str(f.type).replace("large_", "") for f in t.schema}
     if kinds(got_table) != kinds(want_table):
         odd = {k: (kinds(got_table).get(k), kinds(want_table).get(k))
@@ -57,7 +55,15 @@ def differences(spark, connection, folder: str, name: str, fn, sql: str) -> str
     return None if got else "EMPTY"
 
 
+LIMIT = 60  # seconds per query
+
+
+def _too_slow(*_) -> None:
+    raise TimeoutError(f"no result within {LIMIT} s")
+
+
 def main() -> None:
+    signal.signal(signal.SIGALRM, _too_slow)
     from __spark_entry__ import oracle_sql, queries
     from quillflow import build_session
 
@@ -73,6 +79,7 @@ def main() -> None:
         if len(args) > 1 and name not in args[1:]:
             continue
         start = time.time()
+        signal.alarm(LIMIT)
         try:
             if name in oracles:
                 problem = differences(spark, connection, folder, name, fn, oracles[name])
@@ -80,6 +87,8 @@ def main() -> None:
                 problem = None if fn(spark, folder).count() else "EMPTY"
         except Exception as e:
             problem = f"{type(e).__name__}: {str(e)[:1200]}"
+        signal.alarm(0)
+        spark.sparkContext.cancelAllJobs()
         bad += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
     print("failures:", bad)
