@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 _MONTH = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?(?![a-z])"
 _OFFSET = r"([+\-]\d{2}):?(\d{2})$"
 # Day-first, month-first and ISO shapes; every candidate text carries a numeric offset.
@@ -33,16 +35,27 @@ def parse_published(raw: Column, tz_hint: Column) -> Column:
     text = F.regexp_replace(text, r"(?<=\d)\s+(?![AP]M$)[A-Z]{2,5}$", "")
     text = F.trim(F.regexp_replace(text, r"[\s,]+", " "))
     zoned = text.rlike(r"\d:\d{2}(?:[:.,\d]*)\s*[+\-]\d{2}:?\d{2}$")
-    spaced = F.regexp_replace(text, r"(?<=\d)\s*" + _OFFSET, " $1$2")
-    stamped = F.when(zoned, spaced).otherwise(F.concat(text, F.lit(" +0000")))
-    named = F.regexp_replace(stamped, _MONTH, " $1 ")
-    named = F.trim(F.regexp_replace(F.initcap(named), r"\s+", " "))
-    named = F.regexp_replace(F.regexp_replace(named, r" Am ", " AM "), r" Pm ", " PM ")
-    iso = F.regexp_replace(stamped, r" ?" + _OFFSET, "$1:$2")
-    iso = F.regexp_replace(iso, r"^(\d{4}-\d{2}-\d{2})([+\-]\d{2}:\d{2})$", "$1 00:00:00$2")
-    iso = F.regexp_replace(iso, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})([+\-])", "$1:00$2")
-    instant = F.when(stamped.rlike(r"^\d{4}-"), F.try_to_timestamp(iso)).otherwise(
-        F.coalesce(*[F.try_to_timestamp(named, F.lit(f)) for f in _FORMATS]))
     known = F.concat(F.lit("2000-01-01 00:00:00 "), tz_hint).try_cast("timestamp").isNotNull()
     zone = F.when(known, tz_hint).otherwise(F.lit("UTC"))
-    return F.when(zoned, instant).otherwise(F.to_utc_timestamp(instant, zone))
+    return bind(F.struct(text.alias("text"), zoned.alias("zoned")), lambda d: F.when(
+        d["zoned"], _instant(F.regexp_replace(d["text"], r"(?<=\d)\s*" + _OFFSET, " $1$2"))).otherwise(
+        F.to_utc_timestamp(_instant(F.concat(d["text"], F.lit(" +0000"))), zone)))
+
+
+def _instant(text: Column) -> Column:
+    """Instant of a date text that ends in a numeric offset."""
+    return bind(text, lambda t: F.when(t.rlike(r"^\d{4}-"), F.try_to_timestamp(_iso(t))).otherwise(
+        bind(_named(t), lambda n: F.coalesce(*[F.try_to_timestamp(n, F.lit(f)) for f in _FORMATS]))))
+
+
+def _iso(text: Column) -> Column:
+    tight = F.regexp_replace(text, r" ?" + _OFFSET, "$1:$2")
+    dated = F.regexp_replace(tight, r"^(\d{4}-\d{2}-\d{2})([+\-]\d{2}:\d{2})$", "$1 00:00:00$2")
+    return F.regexp_replace(dated, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})([+\-])", "$1:00$2")
+
+
+def _named(text: Column) -> Column:
+    """Month as a three-letter name, AM and PM in capitals."""
+    cased = F.initcap(F.regexp_replace(text, _MONTH, " $1 "))
+    return F.replace(F.replace(
+        F.trim(F.regexp_replace(cased, r"\s+", " ")), F.lit(" Am "), F.lit(" AM ")), F.lit(" Pm "), F.lit(" PM "))

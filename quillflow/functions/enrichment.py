@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..lexicons import ACRONYMS, ENTITIES, KEYWORD_STOP_WORDS, SECTORS, SENTIMENT
-from .text import WORD, _bind
+from .text import WORD, bind
 
 _EXTRACTOR_VERSION = 1
 
@@ -101,7 +101,7 @@ def sentiment(
         hits, F.lit(0.0), lambda acc, hit: acc + F.coalesce(F.try_element_at(weights, F.lower(hit)), F.lit(0.0)))
     score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total / 3.0))
     label = lambda s: F.when(s >= 0.2, "positive").when(s <= -0.2, "negative").otherwise("neutral")
-    return _bind(score, lambda s: F.struct(
+    return bind(score, lambda s: F.struct(
         label(s).alias("label"), F.bround(s, 4).alias("score")))
 
 
@@ -121,14 +121,14 @@ def keywords(text: Column, stop_words: Sequence[str] = tuple(KEYWORD_STOP_WORDS)
             F.transform(rows, lambda r, i: F.when(
                 (i == 0) | (F.get(rows, i - 1)["w"] != r["w"]), i)),
             lambda i: i.isNotNull())
-        return _bind(starts, lambda s: F.transform(s, lambda at, k: F.struct(
+        return bind(starts, lambda s: F.transform(s, lambda at, k: F.struct(
             (at - F.coalesce(F.get(s, k + 1), F.size(rows))).alias("minus"),
             F.get(rows, at)["i"].alias("first"),
             F.get(rows, at)["w"].alias("keyword"),
         )))
 
-    best = _bind(placed, lambda rows: F.slice(F.array_sort(runs(rows)), 1, keep))
-    return _bind(best, lambda top: F.transform(top, lambda t: F.struct(
+    best = bind(placed, lambda rows: F.slice(F.array_sort(runs(rows)), 1, keep))
+    return bind(best, lambda top: F.transform(top, lambda t: F.struct(
         t["keyword"].alias("keyword"),
         F.bround(t["minus"] / F.get(top, F.lit(0))["minus"], 4).alias("weight"),
     )))

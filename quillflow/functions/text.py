@@ -34,7 +34,7 @@ _CP1252 = {
 }
 
 
-def _bind(value: Column, body) -> Column:
+def bind(value: Column, body) -> Column:
     """Evaluate `value` once and hand it to `body`."""
     return F.transform(F.array(value), body)[0]
 
@@ -72,7 +72,10 @@ def _number(digits: Column) -> Column:
 
 def _decode_piece(piece: Column) -> Column:
     """Decode the reference at the start of a piece that followed an ampersand."""
-    ref = F.regexp_extract(piece, _REFERENCE, 1)
+    return bind(F.regexp_extract(piece, _REFERENCE, 1), lambda ref: _decode_reference(piece, ref))
+
+
+def _decode_reference(piece: Column, ref: Column) -> Column:
     rest = F.substr(piece, F.length(ref) + 1)
     named = _literal_map(html.entities.html5)
     legacy = F.regexp_extract(ref, _LEGACY_PREFIX, 1)
@@ -82,7 +85,7 @@ def _decode_piece(piece: Column) -> Column:
         .when(ref == "lt;", F.concat(F.lit("<"), rest))
         .when(ref == "gt;", F.concat(F.lit(">"), rest))
         .when(ref.startswith("#"), F.concat(
-            _bind(_number(F.regexp_replace(ref, "[#;]", "")), _code_point), rest))
+            bind(_number(F.regexp_replace(ref, "[#;]", "")), _code_point), rest))
         .when(F.try_element_at(named, ref).isNotNull(), F.concat(F.try_element_at(named, ref), rest))
         .when(legacy != "", F.concat(
             F.try_element_at(named, legacy), F.substr(piece, F.length(legacy) + 1)))
@@ -92,9 +95,9 @@ def _decode_piece(piece: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """HTML character references, named and numeric, decoded once in one pass."""
-    pieces = F.split(text, "&")
-    decoded = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p)))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
+    decoded = lambda t: F.array_join(
+        F.transform(F.split(t, "&"), lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p))), "")
+    return bind(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def clean_title(title: Column, limit: int = TITLE_LIMIT) -> Column:

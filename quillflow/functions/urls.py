@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..lexicons import TRACKING_PARAMS
-from .text import SPACE
+from .text import SPACE, bind
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
@@ -43,28 +43,29 @@ def _query(raw: Column, drop: Sequence[str]) -> Column:
 def normalize_url(url: Column, drop: Sequence[str] = tuple(TRACKING_PARAMS)) -> Column:
     """Canonical URL: lower-case host, no tracking parameters, trailing slash or fragment."""
     trimmed = F.regexp_replace(url, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    parts = lambda t: F.struct(
+        t.alias("given"),
+        F.lower(F.regexp_extract(t, _SCHEME, 1)).alias("scheme"),
+        F.lower(F.regexp_extract(t, _HOST, 1)).alias("host"),
+        F.regexp_extract(t, _PREFIX + r"([^?#]*)", 1).alias("path"),
+        F.regexp_extract(t, r"^[^?#]*\?([^#]*)", 1).alias("query"))
     flat = F.regexp_replace(trimmed, r"[\t\r\n]", "")
-    scheme = F.lower(F.regexp_extract(flat, _SCHEME, 1))
-    host = F.lower(F.regexp_extract(flat, _HOST, 1))
-    full_path = F.regexp_extract(flat, _PREFIX + r"([^?#]*)", 1)
-    path = F.regexp_extract(full_path, r"^((?:.*/)?[^/;]*)", 1)
-    params = F.regexp_extract(full_path, r"^(?:.*/)?[^/;]*;(.*)$", 1)
-    raw_query = F.regexp_extract(flat, r"^[^?#]*\?([^#]*)", 1)
-    query = F.when(raw_query == "", F.lit("")).otherwise(_query(raw_query, drop))
-    tidy = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
-    rebuilt = F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        F.when(host != "", F.concat(F.lit("//"), host)).otherwise(F.lit("")),
-        tidy,
-        F.when(params != "", F.concat(F.lit(";"), params)).otherwise(F.lit("")),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-    )
-    unbalanced = F.contains(host, F.lit("[")) != F.contains(host, F.lit("]"))
-    return (
-        F.when(url.isNull() | (url == ""), F.lit(""))
-        .when(unbalanced | rebuilt.isNull(), trimmed)
-        .otherwise(rebuilt)
-    )
+    unbalanced = lambda p: F.contains(p["host"], F.lit("[")) != F.contains(p["host"], F.lit("]"))
+    clean = bind(bind(flat, parts), lambda p: F.when(~unbalanced(p), _rebuilt(p, drop)))
+    return F.when(url.isNull() | (url == ""), F.lit("")).otherwise(F.coalesce(clean, trimmed))
+
+
+def _rebuilt(part: Column, drop: Sequence[str]) -> Column:
+    path = F.regexp_extract(part["path"], r"^((?:.*/)?[^/;]*)", 1)
+    params = F.regexp_extract(part["path"], r"^(?:.*/)?[^/;]*;(.*)$", 1)
+    prefixed = lambda mark, value: F.when(value != "", F.concat(F.lit(mark), value)).otherwise(F.lit(""))
+    query = F.when(part["query"] == "", F.lit("")).otherwise(_query(part["query"], drop))
+    return F.concat(
+        F.when(part["scheme"] != "", F.concat(part["scheme"], F.lit(":"))).otherwise(F.lit("")),
+        prefixed("//", part["host"]),
+        bind(path, lambda p: F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", ""))),
+        bind(params, lambda v: prefixed(";", v)),
+        bind(query, lambda v: prefixed("?", v)))
 
 
 def strip_fragment(url: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import _bind
+from ..functions.text import bind
 from .dedup import insert_if_absent
 
 
@@ -93,8 +93,8 @@ def child_rows(enriched: DataFrame, kind: str, inserted: DataFrame | None = None
     key_of = lambda e: F.struct(*[e[k] for k in keys])
 
     def first_of_key(items):
-        return _bind(F.transform(items, key_of), lambda found: F.filter(
+        return bind(F.transform(items, key_of), lambda found: F.filter(
             items, lambda e, i: F.array_position(found, key_of(e)) == i + 1))
 
-    exploded = rows.select(F.col("id").alias("article_id"), F.explode(_bind(trimmed, first_of_key)).alias("c"))
+    exploded = rows.select(F.col("id").alias("article_id"), F.explode(bind(trimmed, first_of_key)).alias("c"))
     return exploded.select("article_id", "c.*")

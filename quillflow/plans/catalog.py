@@ -111,10 +111,11 @@ def _(spark, sf):
 
 @query("feed_outcomes", with_views(X.ARTICLES, select="""
 SELECT source_name || '-' || lpad(CAST(id // 100 AS VARCHAR), 9, '0') AS payload_id,
-       CAST(count(*) AS INTEGER) AS entries, count(*) > 0 AS ok
+       count(*) AS entries, count(*) > 0 AS ok
 FROM articles GROUP BY ALL"""))
 def _(spark, sf):
-    return feeds.feed_outcomes(X.payloads(spark, sf)).select("payload_id", "entries", "ok")
+    payloads = X.payloads(spark, sf)
+    return feeds.feed_outcomes(payloads, feeds.feed_scan(payloads, keep_empty=True)).select("payload_id", "entries", "ok")
 
 
 @query("active_sources", with_views(X.SOURCES, select="""
@@ -169,12 +170,12 @@ FROM kept"""
 
 @query("normalize_url", URL_ORACLE)
 def _(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("clean_url"))
+    return X.spread(X.table(spark, sf, "pages"), "page_id").select("page_id", urls.normalize_url(F.col("url")).alias("clean_url"))
 
 
 @query("strip_fragment", "SELECT page_id, split_part(url, '#', 1) AS bare_url FROM pages")
 def _(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", urls.strip_fragment(F.col("url")).alias("bare_url"))
+    return X.spread(X.table(spark, sf, "pages"), "page_id").select("page_id", urls.strip_fragment(F.col("url")).alias("bare_url"))
 
 
 @query("clean_title", f"""
@@ -184,7 +185,7 @@ SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(
          '[{text.SPACE}]+', ' ', 'g')), 1, 512) AS title FROM pages""")
 def _(spark, sf):
     raw = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    return X.table(spark, sf, "pages").select("page_id", text.clean_title(raw).alias("title"))
+    return X.spread(X.table(spark, sf, "pages"), "page_id").select("page_id", text.clean_title(raw).alias("title"))
 
 
 @query("html_to_text", rf"""
@@ -196,7 +197,7 @@ SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(
          '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&'),
          '[{text.SPACE}]+', ' ', 'g')) AS body FROM hidden""")
 def _(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("body"))
+    return X.spread(X.table(spark, sf, "pages"), "page_id").select("page_id", text.html_to_text(F.col("html")).alias("body"))
 
 
 @query("parse_published", with_views(X.ARTICLES, X.RAW, select="SELECT seq, published_at FROM raw"))
@@ -477,19 +478,27 @@ def _(spark, sf):
 # --- Joins and duplicates ----------------------------------------------------------------------
 
 
+def _batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of the incoming articles, written as the cycle writes its staged rows."""
+    return written(X.incoming_articles(spark, sf).select("seq", "url", "content_hash"), "batch")
+
+
+def _known(spark: SparkSession, sf: str) -> DataFrame:
+    return written(X.stored_articles(spark, sf).select("url", "content_hash"), "known")
+
+
 @query("existing_candidates", "WITH " + X.BATCH + """
 SELECT DISTINCT url, content_hash FROM stored
 WHERE url IN (SELECT url FROM incoming) OR content_hash IN (SELECT content_hash FROM incoming)""")
 def _(spark, sf):
-    return dedup.existing_candidates(X.stored_articles(spark, sf), X.incoming_articles(spark, sf))
+    return dedup.existing_candidates(_known(spark, sf), _batch(spark, sf))
 
 
 @query("dedup_against_store", "WITH " + X.BATCH + """
 SELECT seq, url, store_method IS NOT NULL AS is_duplicate, store_method AS dup_method,
        CASE WHEN store_method = 'exact_url' THEN url END AS matched_url FROM checked""")
 def _(spark, sf):
-    batch = X.incoming_articles(spark, sf)
-    return dedup.dedup_against_store(batch, X.stored_articles(spark, sf)).select(
+    return dedup.dedup_against_store(_batch(spark, sf), _known(spark, sf)).select(
         "seq", "url", "is_duplicate", "dup_method", "matched_url")
 
 
@@ -497,7 +506,7 @@ def _(spark, sf):
 SELECT i.seq, i.url, CASE WHEN i.url_place > 1 THEN 'batch_url' WHEN h.hash_place > 1 THEN 'batch_hash' END AS batch_method
 FROM url_ranked i LEFT JOIN hash_ranked h ON h.seq = i.seq""")
 def _(spark, sf):
-    return dedup.dedup_in_batch(X.incoming_articles(spark, sf)).select("seq", "url", "batch_method")
+    return dedup.dedup_in_batch(_batch(spark, sf)).select("seq", "url", "batch_method")
 
 
 LABEL_SQL = """,
@@ -510,7 +519,7 @@ SELECT c.seq, coalesce(c.store_method, CASE WHEN n.u > 1 THEN 'batch_url' WHEN h
        CASE WHEN c.store_method = 'exact_url' THEN c.url END AS matched_url
 FROM checked c LEFT JOIN new_url n ON n.seq = c.seq LEFT JOIN new_hash h ON h.seq = c.seq""")
 def _(spark, sf):
-    return dedup.label_batch(X.incoming_articles(spark, sf), X.stored_articles(spark, sf)).select(
+    return dedup.label_batch(_batch(spark, sf), _known(spark, sf)).select(
         "seq", "dup_method", "matched_url")
 
 
@@ -856,7 +865,7 @@ def _(spark, sf):
 
 
 def _marked(spark: SparkSession, sf: str, staged: DataFrame) -> DataFrame:
-    known = X.stored_articles(spark, sf).select("url", "content_hash")
+    known = _known(spark, sf)
     labels = dedup.label_batch(quality.passed(staged).select("seq", "url", "content_hash"), known)
     return staged.select("seq", "source_id", "stage").join(labels.select("seq", "dup_method"), "seq", "left")
 
@@ -1046,9 +1055,9 @@ def _(spark, sf):
 
 @query("search_page", with_views(X.ARTICLES, RANKED_SQL, select="""
 SELECT id, rank, published_at FROM ranked JOIN articles USING (id)
-WHERE rank < 5 ORDER BY rank DESC, published_at DESC NULLS LAST, id DESC LIMIT 21"""))
+WHERE rank < 30 ORDER BY rank DESC, published_at DESC NULLS LAST, id DESC LIMIT 21"""))
 def _(spark, sf):
-    return A.search_page(_ranked(spark, sf).select("id", "rank", "published_at"), 20, (5.0, None, -1))
+    return A.search_page(_ranked(spark, sf).select("id", "rank", "published_at"), 20, (30.0, None, -1))
 
 
 # --- Whole cycle and streams -------------------------------------------------------------------

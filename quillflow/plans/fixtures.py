@@ -23,11 +23,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Use every core when the scan has fewer splits than that, as a file of one row group has.
+
+    A large table has splits enough and is left alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """Articles from `documents`: first line title, second line summary, whole text body."""
     n = F.col("doc_id")
     minute = F.pmod(n * 7919, F.lit(43200))
-    rows = table(spark, sf, "documents").select(
+    rows = spread(table(spark, sf, "documents"), "doc_id").select(
         n.alias("id"),
         F.substring(F.substring_index("text", "\n", 1), 1, 512).alias("title"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/a/"), n.cast("string")).alias("url"),

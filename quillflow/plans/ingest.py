@@ -45,8 +45,10 @@ def ingest_cycle(
     usable = active_sources(sources)
     open_run(store, run_id, at)
     fetched = payloads.join(usable.select(F.col("id").alias("source_id")), "source_id", "left_semi")
-    store.write_run("outcomes", feed_outcomes(fetched), run_id)
-    raw = map_entry(feed_scan(fetched), usable, mapping).withColumn("seq", arrival())
+    scanned = written(feed_scan(fetched, keep_empty=True), f"entries-{run_id}")
+    store.write_run("outcomes", feed_outcomes(fetched, scanned), run_id)
+    entries = scanned.filter("item_pos is not null").drop("payload_error")
+    raw = map_entry(entries, usable, mapping).withColumn("seq", arrival())
     raw_error = None
     try:
         raw_append(store, raw, run_id, at)

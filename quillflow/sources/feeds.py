@@ -58,14 +58,22 @@ def _entries(payload: Column) -> Column:
     return F.regexp_extract_all(payload, F.lit(_ENTRY), 0)
 
 
-def feed_scan(payloads: DataFrame) -> DataFrame:
+def feed_scan(payloads: DataFrame, keep_empty: bool = False) -> DataFrame:
     """One row per readable entry of every payload, with its place in the payload.
 
-    Entries are cut out before they are parsed, so one broken entry costs only itself.
+    Entries are cut out before they are parsed, so one broken entry costs only itself. With
+    `keep_empty` a payload without entries gives one row that holds its `payload_error`.
     """
-    cut = payloads.select(
-        *[c for c in payloads.columns if c != "payload"],
-        F.posexplode(_entries(F.col("payload"))).alias("item_pos", "entry_xml"))
+    root = F.from_xml("payload", "version string, _corrupt_record string", {"mode": "PERMISSIVE"})
+    sound = root["_corrupt_record"].isNull() & F.contains("payload", F.lit("<"))
+    about = [c for c in payloads.columns if c != "payload"]
+    cut = payloads.select(*about, "payload", _entries(F.col("payload")).alias("_cut"))
+    if keep_empty:
+        about.append("payload_error")
+        cut = cut.withColumn("payload_error", F.when(
+            F.size("_cut") == 0, F.when(sound, "zero_articles").otherwise("malformed_xml")))
+    spread = F.posexplode_outer if keep_empty else F.posexplode
+    cut = cut.select(*about, spread("_cut").alias("item_pos", "entry_xml"))
     parsed = cut.withColumn("e", F.from_xml("entry_xml", ENTRY_SCHEMA, {"mode": "PERMISSIVE"}))
     links = F.col("e.link")
     alternate = F.filter(links, lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
@@ -85,25 +93,22 @@ def feed_scan(payloads: DataFrame) -> DataFrame:
     )
 
 
-def feed_outcomes(payloads: DataFrame) -> DataFrame:
-    """Fetch outcome per payload: usable entries, success, error.
+def feed_outcomes(payloads: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Fetch outcome per payload, from its ids and its `feed_scan(keep_empty=True)` rows.
 
-    A payload fails when it gives no article: `malformed_xml` when the markup is broken,
-    `zero_articles` when it is sound.
+    A payload fails when it gives no article: `malformed_xml` when its markup is broken or no
+    entry can be read, else `zero_articles`.
     """
-    parsed = F.transform(
-        _entries(F.col("payload")), lambda x: F.from_xml(x, ENTRY_SCHEMA, {"mode": "PERMISSIVE"}))
-    usable = F.filter(parsed, lambda e: (F.trim(e["title"]) != "") & (
-        e["link"].isNotNull() | e["guid"]["_VALUE"].isNotNull()))
-    root = F.from_xml("payload", "version string, _corrupt_record string", {"mode": "PERMISSIVE"})
-    sound = root["_corrupt_record"].isNull() & F.col("payload").contains("<")
-    checked = payloads.select(
-        "payload_id", "source_id", "fetched_at", F.size(usable).alias("entries"), sound.alias("_sound"))
-    return checked.select(
-        "payload_id", "source_id", "fetched_at", "entries",
-        (F.col("entries") > 0).alias("ok"),
-        F.when(F.col("entries") == 0, F.when(F.col("_sound"), "zero_articles").otherwise("malformed_xml")).alias("error"),
-    )
+    usable = (F.trim("title") != "") & (F.trim("link") != "")
+    seen = scanned.groupBy("payload_id").agg(
+        F.count_if(usable).alias("entries"),
+        F.max("payload_error").alias("_error"))
+    found = payloads.select("payload_id", "source_id", "fetched_at").join(seen, "payload_id", "left")
+    entries = F.coalesce("entries", F.lit(0))
+    unread = F.when(F.col("entries").isNull(), "malformed_xml").otherwise("zero_articles")
+    return found.select(
+        "payload_id", "source_id", "fetched_at", entries.alias("entries"), (entries > 0).alias("ok"),
+        F.when(entries == 0, F.coalesce("_error", unread)).alias("error"))
 
 
 # How entry fields feed a raw article; other source types pass their own mapping.

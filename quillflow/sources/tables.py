@@ -35,7 +35,7 @@ SCHEMAS = {
         "id string, started_at timestamp, completed_at timestamp, duration_ms bigint, articles_ingested bigint, "
         "articles_saved bigint, duplicates_detected bigint, failures bigint, source_count bigint, status string, "
         "trigger_type string, error_summary string, failed_sources array<string>, run_id string"),
-    "outcomes": "payload_id string, source_id string, fetched_at timestamp, entries int, ok boolean, error string, run_id string",
+    "outcomes": "payload_id string, source_id string, fetched_at timestamp, entries bigint, ok boolean, error string, run_id string",
     "hourly_trends": "entity string, entity_type string, time_bucket timestamp, article_count bigint",
     "sentiment_summaries": "date_bucket timestamp, sentiment_label string, article_count bigint",
 }
