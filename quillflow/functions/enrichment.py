@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..lexicons import ACRONYMS, ENTITIES, KEYWORD_STOP_WORDS, SECTORS, SENTIMENT
 from .text import WORD, bind
+from .words import latin_words, over_runs, placed
 
 _EXTRACTOR_VERSION = 1
 
@@ -106,29 +107,11 @@ def sentiment(
 
 
 def keywords(text: Column, stop_words: Sequence[str] = tuple(KEYWORD_STOP_WORDS), keep: int = 5) -> Column:
-    """Most frequent words of three or more ASCII letters; ties keep text order.
-
-    The words are sorted once inside the row, so equal words form runs and a run's length is the
-    count. Nothing leaves the row: no exploded words and no shuffle.
-    """
-    words = F.filter(
-        F.regexp_extract_all(F.lower(text), F.lit(rf"(?=[a-z])(?<![{WORD}])[a-z]{{3,}}+(?![{WORD}])"), 0),
-        lambda w: ~w.isin(list(stop_words)))
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-
-    def runs(rows: Column) -> Column:
-        starts = F.filter(
-            F.transform(rows, lambda r, i: F.when(
-                (i == 0) | (F.get(rows, i - 1)["w"] != r["w"]), i)),
-            lambda i: i.isNotNull())
-        return bind(starts, lambda s: F.transform(s, lambda at, k: F.struct(
-            (at - F.coalesce(F.get(s, k + 1), F.size(rows))).alias("minus"),
-            F.get(rows, at)["i"].alias("first"),
-            F.get(rows, at)["w"].alias("keyword"),
-        )))
-
-    best = bind(placed, lambda rows: F.slice(F.array_sort(runs(rows)), 1, keep))
-    return bind(best, lambda top: F.transform(top, lambda t: F.struct(
+    """Most frequent words of three or more ASCII letters; ties keep text order."""
+    words = F.filter(latin_words(text), lambda w: ~w.isin(list(stop_words)))
+    counted = bind(placed(words), lambda rows: over_runs(rows, "w", lambda r, at, n: F.struct(
+        (-n).alias("minus"), F.get(r, at)["i"].alias("first"), F.get(r, at)["w"].alias("keyword"))))
+    return bind(F.slice(F.array_sort(counted), 1, keep), lambda top: F.transform(top, lambda t: F.struct(
         t["keyword"].alias("keyword"),
         F.bround(t["minus"] / F.get(top, F.lit(0))["minus"], 4).alias("weight"),
     )))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import enrichment as E
-from .summaries import summarize_extractive
+from ..functions.words import extractive_summary
 
 # An enricher is a name and either a column expression or a DataFrame step.
 Step = Callable[[DataFrame], DataFrame]
@@ -80,7 +80,5 @@ def enrich(articles: DataFrame, enrichers: Sequence[Enricher] | None = None, sum
     notes = [F.when(F.col(f"{n}.error").isNotNull(), F.concat(F.lit(f"{n}: "), F.col(f"{n}.error"))) for n in guarded]
     rows = rows.withColumn("errors", F.array_compact(F.array(*notes)) if notes else F.array().cast("array<string>"))
     rows = rows.withColumns({n: F.col(f"{n}.value") for n in guarded}) if guarded else rows
-    if summaries:
-        made = summarize_extractive(articles, body="content")
-        return rows.join(made, "id", "left")
-    return rows.withColumn("generated_summary", F.lit(None).cast("string"))
+    made = extractive_summary(F.col("content")) if summaries else F.lit(None).cast("string")
+    return rows.withColumn("generated_summary", made)

@@ -96,5 +96,6 @@ def child_rows(enriched: DataFrame, kind: str, inserted: DataFrame | None = None
         return bind(F.transform(items, key_of), lambda found: F.filter(
             items, lambda e, i: F.array_position(found, key_of(e)) == i + 1))
 
-    exploded = rows.select(F.col("id").alias("article_id"), F.explode(bind(trimmed, first_of_key)).alias("c"))
-    return exploded.select("article_id", "c.*")
+    # Outer, because an inner explode adds a size filter that would compute the list a second time.
+    exploded = rows.select(F.col("id").alias("article_id"), F.explode_outer(bind(trimmed, first_of_key)).alias("c"))
+    return exploded.filter(F.col("c").isNotNull()).select("article_id", "c.*")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD
+from ..functions.words import positions_by_word
 from ..lexicons import SEARCH_STOP_WORDS
 
 BM25_K1 = 1.2
@@ -73,18 +74,18 @@ def build_postings(
 ) -> DataFrame:
     """One row per (term, article): count, positions and article length in words.
 
-    Counting per (article, term) is complete before the shuffle, because an article's words never
-    leave its row's partition. Store it with `write_postings`.
+    An article's words are counted inside its row, so building the postings needs no shuffle.
+    Store them with `write_postings`.
     """
     text = F.concat_ws(" ", "title", "summary", "body") if text is None else text
-    words = articles.select("id", tokens(text, stem).alias("_words"))
-    kept = lambda w: ~w.isin(list(stop_words))
-    # The length is taken before the words are spread out, or it would be counted once per word.
-    sized = words.withColumn("doc_len", F.size(F.filter("_words", kept)))
-    placed = sized.select("id", "doc_len", F.posexplode("_words").alias("pos", "term")).filter(kept(F.col("term")))
-    return placed.groupBy("id", "doc_len", "term").agg(
-        F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
-    ).select("term", "id", "tf", "doc_len", "positions")
+    stops = list(stop_words)
+    listed = articles.select(
+        "id", positions_by_word(tokens(text, stem), lambda w: ~w.isin(stops)).alias("_p"))
+    length = F.aggregate("_p", F.lit(0), lambda total, p: total + p["tf"])
+    # The length is taken before the terms are spread out, or it would be summed once per term.
+    sized = listed.withColumn("doc_len", length)
+    spread = sized.select("id", "doc_len", F.explode_outer("_p").alias("p")).filter(F.col("p").isNotNull())
+    return spread.select("p.term", "id", F.col("p.tf").cast("bigint").alias("tf"), "doc_len", "p.positions")
 
 
 def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:

@@ -4,64 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, WORD
+from ..functions.words import extractive_summary
 from ..lexicons import SUMMARY_STOP_WORDS
 
-MIN_BODY = 200
-MIN_SENTENCE = 20
-LIMIT = 1000
-
 
 def summarize_extractive(
-    articles: DataFrame,
-    body: str = "body",
-    stop_words: Sequence[str] = tuple(SUMMARY_STOP_WORDS),
-    keep: int = 3,
-    max_chars: int | None = None,
+    articles: DataFrame, body: str = "body", stop_words: Sequence[str] = tuple(SUMMARY_STOP_WORDS), keep: int = 3
 ) -> DataFrame:
-    """(id, generated_summary) for every article long enough to have one.
+    """(id, generated_summary) for every article long enough to have one; no shuffle.
 
-    Articles are shuffled once, by id; the word counts, sentence scores and the choice of
-    sentences all work on that partitioning.
+    The generator keeps the null test behind the summary: as a plain filter it would be pushed
+    down and every summary made twice.
     """
-    text = F.col(body) if max_chars is None else F.substring(body, 1, max_chars)
-    spaces = f"^[{SPACE}]+|[{SPACE}]+$"
-    segments = (
-        articles.filter(F.length(body) >= MIN_BODY).select("id", text.alias("_t")).repartition("id")
-        .select("id", F.posexplode(F.regexp_extract_all("_t", F.lit(r"[^.!?]+[.!?]*"), 0)).alias("seg", "part")))
-    sentence = F.regexp_replace("part", spaces, "")
-    segments = segments.withColumns({
-        # A last piece without an end mark lends its words to the counts but is no sentence.
-        "sentence": F.when(F.col("part").rlike("[.!?]$") & (F.length(sentence) > MIN_SENTENCE), sentence),
-        "words": F.regexp_extract_all(
-            F.lower("part"), F.lit(rf"(?=[a-z])(?<![{WORD}])[a-z]{{3,}}+(?![{WORD}])"), 0),
-    })
-    per_word = segments.select(
-        "id", "seg", F.explode("words").alias("w")).filter(~F.col("w").isin(list(stop_words)))
-    counted = per_word.withColumn("tf", F.count("*").over(Window.partitionBy("id", "w")))
-    weight = counted.groupBy("id", "seg").agg(F.sum("tf").alias("weight"))
-    order = Window.partitionBy("id").orderBy("seg")
-    sentences = (
-        segments.filter(F.col("sentence").isNotNull())
-        .select("id", "seg", "sentence", F.size("words").alias("n_words"))
-        .withColumn("place", F.row_number().over(order))
-        .withColumn("n", F.count("*").over(Window.partitionBy("id")))
-        .filter("n > 3"))
-    # The largest word count divides every sentence of an article alike, so ranks do without it.
-    score = (
-        F.coalesce("weight", F.lit(0))
-        * F.when((F.col("n_words") > 30) | (F.col("n_words") < 5), 0.5).otherwise(1.0)
-        * F.when(F.col("place") == 1, 1.5).otherwise(1.0))
-    best = Window.partitionBy("id").orderBy(F.col("score").desc(), "place")
-    chosen = (
-        sentences.join(weight, ["id", "seg"], "left").withColumn("score", score)
-        .withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep))
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda s: s["sentence"]), " ")
-    return chosen.groupBy("id").agg(joined.alias("_s")).select(
-        "id",
-        F.when(F.length("_s") > LIMIT, F.concat(F.substring("_s", 1, LIMIT - 3), F.lit("...")))
-        .otherwise(F.col("_s")).alias("generated_summary"))
+    made = F.array(extractive_summary(F.col(body), stop_words, keep))
+    rows = articles.select("id", F.explode_outer(made).alias("generated_summary"))
+    return rows.filter(F.col("generated_summary").isNotNull())

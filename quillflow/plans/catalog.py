@@ -1044,7 +1044,7 @@ def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     words = SEARCH
     search.write_postings(search.build_postings(rows), index)
     postings = search.read_postings(spark, index, words)
-    hits = search.search_ranked(rows, postings, search.corpus_stats(rows), words)
+    hits = search.search_ranked(rows, postings, written(search.corpus_stats(rows), "corpus"), words)
     return hits.withColumn("rank", F.round("rank", 6))
 
 

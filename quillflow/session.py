@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Call-site capture doubles the time it takes to build long column expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
