@@ -79,11 +79,14 @@ CHILDREN = {
 }
 
 
-def child_rows(enriched: DataFrame, kind: str, inserted: DataFrame | None = None) -> DataFrame:
+def child_rows(
+    enriched: DataFrame, kind: str, inserted: DataFrame | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
     """Entity, sector or keyword rows of the inserted articles, each key once.
 
     An article's list is distinct in its row already, but two values may be equal once they are
-    cut to the column width; that is settled inside the row, without a shuffle.
+    cut to the column width; that is settled inside the row, without a shuffle. `carry` names
+    article columns to repeat on the child rows.
     """
     keys, limits = CHILDREN[kind]
     rows = enriched if inserted is None else enriched.join(inserted.select("id"), "id", "left_semi")
@@ -97,5 +100,6 @@ def child_rows(enriched: DataFrame, kind: str, inserted: DataFrame | None = None
             items, lambda e, i: F.array_position(found, key_of(e)) == i + 1))
 
     # Outer, because an inner explode adds a size filter that would compute the list a second time.
-    exploded = rows.select(F.col("id").alias("article_id"), F.explode_outer(bind(trimmed, first_of_key)).alias("c"))
-    return exploded.filter(F.col("c").isNotNull()).select("article_id", "c.*")
+    exploded = rows.select(
+        F.col("id").alias("article_id"), *carry, F.explode_outer(bind(trimmed, first_of_key)).alias("c"))
+    return exploded.filter(F.col("c").isNotNull()).select("article_id", "c.*", *carry)

@@ -147,7 +147,8 @@ def search_ranked(articles: DataFrame, postings: DataFrame, stats: DataFrame, se
     weights = spread.filter(F.col("term").isin(wanted)).select("term", idf.alias("idf"))
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / mean_len)
     gain = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
-    scored = hits.join(weights, "term", "left").withColumn("_gain", F.coalesce(gain, F.lit(0.0)))
+    # Broadcast is safe: the weights have one row per word of the search at most.
+    scored = hits.join(F.broadcast(weights), "term", "left").withColumn("_gain", F.coalesce(gain, F.lit(0.0)))
     per_article = scored.groupBy("id").agg(
         F.sum("_gain").alias("rank"),
         *[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p_{w}") for w in words])

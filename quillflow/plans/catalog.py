@@ -721,7 +721,9 @@ def _(spark, sf):
         "tags": F.array("category"), "sentiment_score": F.lit(0.0), "generated_summary": F.lit(None),
         "published_date": F.to_date("published_at")})
     store.write_run("articles", rows, "run-1")
-    store.write_run("entities", _entities(spark, sf), "run-1")
+    found = E.entities(E.article_text(F.col("title"), F.col("body")), X.ENTITY_WORDS)
+    dated = rows.select("id", "published_date", found.alias("entities"))
+    store.write_run("entities", maintenance.child_rows(dated, "entities", carry=["published_date"]), "run-1")
     tables.refresh_summaries(store)
     hourly = store.read("hourly_trends").select(
         F.lit("hourly").alias("summary"), F.concat("entity", F.lit("/"), "entity_type").alias("label"),

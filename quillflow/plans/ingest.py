@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
@@ -86,16 +87,22 @@ def ingest_cycle(
     })
     done = completed_at() if completed_at else as_of
     run_record(store, run_id, result, at, F.lit(done).cast("timestamp"))
-    refresh_summaries(store)
+    # Few rows: the days of one run.
+    days = [r[0] for r in enriched.select(F.to_date("published_at")).distinct().collect() if r[0]]
+    try:
+        refresh_summaries(store, days)
+    except Exception as e:
+        # The run itself is stored; the next refresh of these days makes up for this one.
+        warnings.warn(f"summaries not refreshed: {e}", stacklevel=2)
     return store.read("pipeline_runs").filter(F.col("run_id") == run_id)
 
 
 def _store_articles(store: NewsStore, enriched: DataFrame, run_id: str) -> None:
-    articles = enriched.withColumns({
+    dated = enriched.withColumn("published_date", F.to_date("published_at"))
+    articles = dated.withColumns({
         "feed_source_id": F.col("source_id"), "body": F.col("content"),
-        "published_date": F.to_date("published_at"),
         "image_url": F.lit(None).cast("string"), "sentiment": F.lit(None).cast("string"),
     })
     store.write_run("articles", articles, run_id)
     for kind in CHILDREN:
-        store.write_run(kind, child_rows(enriched, kind), run_id)
+        store.write_run(kind, child_rows(dated, kind, carry=["published_date"]), run_id)

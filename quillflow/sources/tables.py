@@ -6,6 +6,9 @@ partition with dynamic overwrite, so writing a run again replaces it and adds no
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -28,18 +31,19 @@ SCHEMAS = {
         "id string, source_id string, failure_stage string, error_type string, error_message string, "
         "raw_payload string, created_at timestamp, run_id string"),
     "entities": (
-        "article_id string, entity string, entity_type string, confidence double, extractor_version int, run_id string"),
-    "sectors": "article_id string, sector string, score double, run_id string",
-    "keywords": "article_id string, keyword string, weight double, run_id string",
+        "article_id string, entity string, entity_type string, confidence double, extractor_version int, "
+        "published_date date, run_id string"),
+    "sectors": "article_id string, sector string, score double, published_date date, run_id string",
+    "keywords": "article_id string, keyword string, weight double, published_date date, run_id string",
     "pipeline_runs": (
         "id string, started_at timestamp, completed_at timestamp, duration_ms bigint, articles_ingested bigint, "
         "articles_saved bigint, duplicates_detected bigint, failures bigint, source_count bigint, status string, "
         "trigger_type string, error_summary string, failed_sources array<string>, run_id string"),
     "outcomes": "payload_id string, source_id string, fetched_at timestamp, entries bigint, ok boolean, error string, run_id string",
-    "hourly_trends": "entity string, entity_type string, time_bucket timestamp, article_count bigint",
-    "sentiment_summaries": "date_bucket timestamp, sentiment_label string, article_count bigint",
+    "hourly_trends": "entity string, entity_type string, time_bucket timestamp, article_count bigint, bucket_date date",
+    "sentiment_summaries": "date_bucket timestamp, sentiment_label string, article_count bigint, bucket_date date",
 }
-PARTITIONS = {"articles": ["published_date", "run_id"], "hourly_trends": [], "sentiment_summaries": []}
+DATED = ("articles", "entities", "sectors", "keywords")
 
 
 class NewsStore:
@@ -63,7 +67,7 @@ class NewsStore:
 
     def write_run(self, table: str, rows: DataFrame, run_id: str) -> None:
         """Replace this run's rows of `table`."""
-        keys = PARTITIONS.get(table, ["run_id"])
+        keys = ["published_date", "run_id"] if table in DATED else ["run_id"]
         stamped = rows.withColumn("run_id", F.lit(run_id))
         shaped = stamped.select(*[
             F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema(table).fields])
@@ -75,8 +79,12 @@ class NewsStore:
 
         return StructType.fromDDL(SCHEMAS[table])
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(self.path(table))
+    def write_summary(self, table: str, rows: DataFrame, bucket: str, every_date: bool) -> None:
+        """Replace a summary table, or only the dates that `rows` holds."""
+        dated = rows.withColumn("bucket_date", F.to_date(bucket))
+        (dated.hint("rebalance", "bucket_date").write.mode("overwrite")
+         .option("partitionOverwriteMode", "static" if every_date else "dynamic")
+         .partitionBy("bucket_date").parquet(self.path(table)))
 
 
 def article_id(url: Column) -> Column:
@@ -130,12 +138,20 @@ def run_record(
     store.write_run("pipeline_runs", row, run_id)
 
 
+def refresh_summaries(store: NewsStore, dates: Sequence[date] | None = None) -> None:
+    """Recompute both summary tables from the stored articles.
 
-def refresh_summaries(store: NewsStore) -> None:
-    """Recompute both summary tables from the stored articles."""
-    articles = store.read("articles")
-    store.replace("hourly_trends", hourly_trends(entity_article_join(store.read("entities"), articles)))
-    store.replace("sentiment_summaries", sentiment_daily(articles))
+    A bucket depends on the articles of its own date only. With `dates`, the ones a run has added
+    to, just those partitions are read and replaced, so the cost follows the run and not the store.
+    """
+    articles, entities = store.read("articles"), store.read("entities")
+    if dates is not None:
+        touched = F.col("published_date").isin(list(dates)) if dates else F.lit(False)
+        articles, entities = articles.filter(touched), entities.filter(touched)
+    full = dates is None
+    store.write_summary(
+        "hourly_trends", hourly_trends(entity_article_join(entities, articles)), "time_bucket", full)
+    store.write_summary("sentiment_summaries", sentiment_daily(articles), "date_bucket", full)
 
 
 def export_csv(articles: DataFrame, path: str, max_rows: int | None = None) -> None:
