@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def first_wins(rows: DataFrame, keys: Sequence[str], order_by: str = "seq") -> DataFrame:
     """First row per key in arrival order.
@@ -47,16 +49,15 @@ def dedup_against_store(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 def _store_hits(pairs: DataFrame, stored: DataFrame) -> DataFrame:
     """Distinct batch pairs known to the store, with the way they matched."""
-    by_url = stored.select("url").join(pairs.select("url").distinct(), "url", "left_semi").distinct()
-    by_hash = (
-        stored.select("content_hash")
-        .join(pairs.select("content_hash").distinct(), "content_hash", "left_semi").distinct())
-    url_hit = pairs.join(by_url, "url", "left_semi").withColumn("dup_method", F.lit("exact_url"))
-    hash_hit = (
-        pairs.join(by_hash, "content_hash", "left_semi")
-        .select("url", "content_hash", F.lit("exact_hash").alias("dup_method")))
-    # "exact_url" sorts after "exact_hash", so max() is the precedence.
-    return url_hit.unionByName(hash_hit).groupBy("url", "content_hash").agg(F.max("dup_method").alias("dup_method"))
+    def known(column: str) -> DataFrame:
+        held = stored.select(column).join(pairs.select(column).distinct(), column, "left_semi").distinct()
+        return pairs.join(held, column, "left_semi").select("url", "content_hash")
+
+    # Numbers, so that max() is the precedence and stays a hash aggregate.
+    hits = known("url").withColumn("_how", F.lit(2)).unionByName(known("content_hash").withColumn("_how", F.lit(1)))
+    best = hits.groupBy("url", "content_hash").agg(F.max("_how").alias("_how"))
+    return best.select(
+        "url", "content_hash", F.when(F.col("_how") == 2, "exact_url").otherwise("exact_hash").alias("dup_method"))
 
 
 def dedup_in_batch(batch: DataFrame, order_by: str = "seq") -> DataFrame:
@@ -68,28 +69,30 @@ def dedup_in_batch(batch: DataFrame, order_by: str = "seq") -> DataFrame:
     keys = batch.select("url", "content_hash", F.col(order_by).alias("_at"))
     url_first = keys.groupBy("url").agg(F.min_by("content_hash", "_at").alias("content_hash"), F.min("_at").alias("_at"))
     hash_first = url_first.groupBy("content_hash").agg(F.min("_at").alias("_at"))
-    # Both winner lists come from one aggregate, so each winner's row number is unique.
+    # 1: first of its url only, 2: first of its hash as well.
     marks = (
-        url_first.select("_at", F.lit("batch_hash").alias("_mark"))
-        .unionByName(hash_first.select("_at", F.lit("kept").alias("_mark")))
+        url_first.select("_at", F.lit(1).alias("_mark"))
+        .unionByName(hash_first.select("_at", F.lit(2).alias("_mark")))
         .groupBy("_at").agg(F.max("_mark").alias("_mark")))
     marked = batch.join(marks, F.col(order_by) == F.col("_at"), "left")
-    method = F.when(F.col("_mark").isNull(), "batch_url").when(F.col("_mark") == "batch_hash", "batch_hash")
+    method = F.when(F.col("_mark").isNull(), "batch_url").when(F.col("_mark") == 1, "batch_hash")
     return marked.withColumn("batch_method", method).drop("_at", "_mark")
 
 
 def label_batch(batch: DataFrame, stored: DataFrame, order_by: str = "seq") -> DataFrame:
     """Store check first, in-batch check among the rows the store does not know.
 
-    Adds `dup_method` (null for new rows) and `matched_url`.
+    Adds `dup_method` (null for new rows) and `matched_url`. The checked keys are written once, so
+    the store is read once per key column however often they are used after that.
     """
-    checked = dedup_against_store(batch.select("url", "content_hash", order_by), stored)
-    known = checked.filter("is_duplicate").select(order_by, "dup_method", "matched_url")
-    fresh = dedup_in_batch(
-        checked.filter("not is_duplicate").select("url", "content_hash", order_by), order_by)
+    keys = [order_by, "url", "content_hash"]
+    checked = written(dedup_against_store(batch.select(*keys), stored), "checked")
+    known = checked.filter("is_duplicate").select(*keys, "dup_method", "matched_url")
+    fresh = dedup_in_batch(checked.filter("not is_duplicate").select(*keys), order_by)
     labels = known.unionByName(fresh.select(
-        order_by, F.col("batch_method").alias("dup_method"), F.lit(None).cast("string").alias("matched_url")))
-    return batch.join(labels, order_by)
+        *keys, F.col("batch_method").alias("dup_method"), F.lit(None).cast("string").alias("matched_url")))
+    others = [c for c in batch.columns if c not in keys]
+    return batch.select(order_by, *others).join(labels, order_by) if others else labels
 
 
 def insert_if_absent(
