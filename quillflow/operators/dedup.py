@@ -37,9 +37,13 @@ def existing_candidates(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def dedup_against_store(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Adds `is_duplicate`, `dup_method` and `matched_url`; a url match beats a hash match."""
+    """Adds `is_duplicate`, `dup_method` and `matched_url`; a url match beats a hash match.
+
+    The hits are written first. Their exact size then decides about a broadcast, and a join over
+    files can split a hot key, which adaptive execution does not do right behind an aggregate.
+    """
     pairs = batch.select("url", "content_hash").distinct()
-    hits = _store_hits(pairs, stored)
+    hits = written(_store_hits(pairs, stored), "hits")
     labelled = batch.join(hits, ["url", "content_hash"], "left")
     return labelled.withColumns({
         "is_duplicate": F.col("dup_method").isNotNull(),

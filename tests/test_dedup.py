@@ -78,3 +78,30 @@ def test_upsert_changes_only_named_columns(spark):
     new = spark.createDataFrame([("b", None, 9.0), ("c", "C", 3.0)], schema)
     got = {tuple(r) for r in maintenance.upsert_by_key(old, new, "slug", ["name"]).collect()}
     assert got == {("a", "A", 1.0), ("b", None, 2.0), ("c", "C", 3.0)}
+
+
+def test_a_hot_key_is_split_in_the_join(spark):
+    """With thresholds as low as the test data, adaptive execution divides the hot url's rows."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        n = 60_000
+        rows = spark.range(0, n, 1, 8).select(
+            F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("note"),
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("url"),
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("content_hash"))
+        stored = rows.filter("url = 'hot'").limit(1).select("url", "content_hash")
+        labelled = dedup.dedup_against_store(rows, stored)
+        counts = {r.dup_method: r["count"] for r in labelled.groupBy("dup_method").count().collect()}
+        assert counts == {"exact_url": n // 3, None: n - n // 3}
+        labelled.collect()
+        assert "skew=true" in labelled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
