@@ -9,10 +9,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import DEFAULTS
-from . import bpe
-from .common import table
+from . import ans, bpe, chat, fingerprints, langid, packing, secrets
+from .common import scratch_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,46 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@query("op1_secrets")
+def _secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.digests(table(spark, sf, "documents"))
+
+
 @query("op2_bpe")
 def _bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), VOCABULARY)
+
+
+@query("op4_packing")
+def _packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), VOCABULARY)
+
+
+@query("op6_langid")
+def _langid(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.digests(table(spark, sf, "documents"))
+
+
+@query("op7_fingerprints")
+def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf, "documents"), 4 * parts(spark))
+
+
+@query("op8_ans")
+def _ans(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_dir(spark, "token-ids")
+    ans.write(table(spark, sf, "documents"), VOCABULARY, folder)
+    return ans.digests(spark, folder)
+
+
+@query("op9_chat")
+def _chat(spark: SparkSession, sf: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
