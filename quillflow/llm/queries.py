@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import DEFAULTS
-from . import ans, bpe, chat, fingerprints, langid, packing, secrets
+from . import ans, bpe, chat, fingerprints, langid, lines, neardup, packing, secrets, topk
 from .common import scratch_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,11 +50,21 @@ def _bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), VOCABULARY)
 
 
+@query("op3_neardup")
+def _neardup(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op4_packing")
 def _packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), VOCABULARY)
 
 
+@query("op5_lines", lines.ORACLE)
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.page_lines(table(spark, sf, "pages"))
+
+
 @query("op6_langid")
 def _langid(spark: SparkSession, sf: str) -> DataFrame:
     return langid.digests(table(spark, sf, "documents"))
@@ -79,3 +89,8 @@ def _chat(spark: SparkSession, sf: str) -> DataFrame:
         [(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.digests(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+
+
+@query("op10_topk")
+def _topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.digests(table(spark, sf, "embeddings"))
