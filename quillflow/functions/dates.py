@@ -19,6 +19,17 @@ _FORMATS = (
     "MMM d yyyy HH:mm Z",
     "MMM d yyyy h:mm a Z",
     "MMM d yyyy Z",
+    "MMM d HH:mm:ss yyyy Z",
+)
+# Numeric shapes and the ISO form of each: compact dates and times, slashes with the year first, the day first
+# where it can be no month, else the month first.
+_NUMERIC = (
+    (r"^(\d{4})(\d{2})(\d{2})[T ](\d{2})(\d{2})(\d{2})(?!\d)", "$1-$2-$3T$4:$5:$6"),
+    (r"^(\d{4})(\d{2})(\d{2})[T ](\d{2})(\d{2})(?!\d)", "$1-$2-$3T$4:$5"),
+    (r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3"),
+    (r"^(\d{4})/(\d{2})/(\d{2})(?!\d)", "$1-$2-$3"),
+    (r"^(1[3-9]|2\d|3[01])/(\d{2})/(\d{4})(?!\d)", "$3-$2-$1"),
+    (r"^(\d{2})/(\d{2})/(\d{4})(?!\d)", "$3-$1-$2"),
 )
 
 
@@ -30,6 +41,8 @@ def parse_published(raw: Column, tz_hint: Column) -> Column:
     """
     text = F.trim(raw)
     text = F.regexp_replace(text, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", "")
+    for shape, iso in _NUMERIC:
+        text = F.regexp_replace(text, shape, iso)
     text = F.regexp_replace(text, r"(?i)(?<=[\d\s])(?:GMT|UTC|Z)$", " +0000")
     # Other zone names say nothing reliable, so the hint decides.
     text = F.regexp_replace(text, r"(?<=\d)\s+(?![AP]M$)[A-Z]{2,5}$", "")

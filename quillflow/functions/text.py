@@ -17,8 +17,8 @@ SPACE = (
 )
 WORD = r"\p{L}\p{N}_"
 
-_HIDDEN = r"(?is)<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\z)"
-_COMMENT = r"(?s)<!--.*?-->"
+# Comments and hidden elements in one pattern: whichever opens first covers the other.
+_UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\z)"
 _TAG = r"(?s)</?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[!?][^>]*>"
 _BROKEN_TAG = r"</?[A-Za-z][^>]*>"
 
@@ -108,7 +108,7 @@ def clean_title(title: Column, limit: int = TITLE_LIMIT) -> Column:
 
 def html_to_text(markup: Column) -> Column:
     """Visible text of an HTML fragment, one blank between parts."""
-    visible = F.regexp_replace(F.regexp_replace(markup, _COMMENT, " "), _HIDDEN, " ")
+    visible = F.regexp_replace(markup, _UNSEEN, " ")
     bare = F.regexp_replace(F.regexp_replace(visible, _TAG, " "), _BROKEN_TAG, " ")
     return collapse(unescape(bare))
 

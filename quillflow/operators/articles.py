@@ -48,6 +48,24 @@ class ArticleFilters:
         self.keywords = (self.keywords or "").strip() or None
 
 
+def on_dates(rows: DataFrame, low: Column | None = None, high: Column | None = None, undated: bool = False,
+             partition: str = "published_date") -> DataFrame:
+    """Only partitions of dates in low..high (days), and the undated one if wanted.
+
+    The filter on the partition column repeats what the caller asks of the time itself, so that files
+    of other dates are not read. Tables without that column are left alone.
+    """
+    if partition not in rows.columns or (low is None and high is None):
+        return rows
+    date = F.col(partition)
+    inside = F.lit(True)
+    if low is not None:
+        inside = inside & (date >= F.to_date(low))
+    if high is not None:
+        inside = inside & (date <= F.to_date(high))
+    return rows.filter(inside | date.isNull() if undated else inside)
+
+
 def title_contains(text: str) -> Column:
     """Case-blind substring test; `%` and `_` in the text stand for themselves."""
     return F.contains(F.lower("title"), F.lower(F.lit(text)))
@@ -57,6 +75,9 @@ def list_filters(articles: DataFrame, filters: ArticleFilters) -> DataFrame:
     """Row predicates on the article itself; all of them can reach the Parquet scan."""
     if filters.source_names:
         articles = articles.filter(F.col("source_name").isin(list(filters.source_names)))
+    articles = on_dates(
+        articles, F.lit(filters.published_after).cast("timestamp") if filters.published_after else None,
+        F.lit(filters.published_before).cast("timestamp") if filters.published_before else None)
     if filters.published_after:
         articles = articles.filter(F.col("published_at") >= F.lit(filters.published_after))
     if filters.published_before:
@@ -129,8 +150,13 @@ def after_cursor(published_at: datetime | None, last_id, time_column: str = "pub
 
 def latest_page(articles: DataFrame, limit: int, cursor: tuple | None = None) -> DataFrame:
     """Next page, newest first, undated last. One row beyond `limit` tells that more follow."""
-    rows = articles if cursor is None else articles.filter(after_cursor(*cursor))
-    return rows.orderBy(*page_order()).limit(limit + 1)
+    if cursor is not None:
+        if cursor[0] is not None:
+            articles = on_dates(articles, high=F.lit(cursor[0]).cast("timestamp"), undated=True)
+        elif "published_date" in articles.columns:
+            articles = articles.filter(F.col("published_date").isNull())
+        articles = articles.filter(after_cursor(*cursor))
+    return articles.orderBy(*page_order()).limit(limit + 1)
 
 
 def search_page(ranked: DataFrame, limit: int, cursor: tuple | None = None) -> DataFrame:

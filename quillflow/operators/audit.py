@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import normalize_url
+from .articles import on_dates
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -27,7 +27,7 @@ def summary_counts(hourly: DataFrame, daily: DataFrame) -> DataFrame:
 
 def articles_today(articles: DataFrame, as_of: Column) -> DataFrame:
     """Articles dated today or later."""
-    return articles.filter(F.col("published_at") >= F.date_trunc("day", as_of))
+    return on_dates(articles, as_of).filter(F.col("published_at") >= F.date_trunc("day", as_of))
 
 
 def dashboard_stats(articles: DataFrame, sources: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
@@ -77,9 +77,8 @@ def source_distribution(articles: DataFrame) -> DataFrame:
 
 
 def _linked(articles: DataFrame, raw: DataFrame) -> DataFrame:
-    """Articles with the raw rows whose link has the article's canonical url."""
-    link = normalize_url(F.get_json_object("r.raw_payload", "$.link"))
-    return articles.alias("a").join(raw.alias("r"), F.col("a.url") == link)
+    """Articles with the raw rows of their canonical url."""
+    return articles.alias("a").join(raw.alias("r"), F.col("a.url") == F.col("r.source_url"))
 
 
 def lineage_join(articles: DataFrame, raw: DataFrame, url_like: str = "%") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -25,15 +25,27 @@ def first_wins(rows: DataFrame, keys: Sequence[str], order_by: str = "seq") -> D
     return rows.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
+def first_by_number(rows: DataFrame, keys: Sequence[Column | str], order_by: str = "seq") -> DataFrame:
+    """As `first_wins` where `order_by` is unique: decided on the keys and that number alone, so wide
+    rows are neither sorted nor shuffled by a key that may be hot."""
+    narrow = rows.select(*[(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)], order_by)
+    winners = narrow.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min(order_by).alias(order_by))
+    return rows.join(winners.select(order_by), order_by, "left_semi").select(*rows.columns)
+
+
 def existing_candidates(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """Stored (url, content_hash) pairs that share a url or a hash with the batch.
 
     Two equi-joins; one join on `url OR hash` would compare every pair of rows.
     """
-    keys = stored.select("url", "content_hash")
-    by_url = keys.join(batch.select("url").distinct(), "url", "left_semi")
-    by_hash = keys.join(batch.select("content_hash").distinct(), "content_hash", "left_semi")
-    return by_url.unionByName(by_hash.select("url", "content_hash")).distinct()
+    # Stored pairs are made distinct before they are shuffled. The batch's keys are written, so that
+    # a hash that many stored urls share can be split: that does not happen beside an aggregate.
+    keys = stored.select("url", "content_hash").distinct()
+    wanted = {c: written(batch.select(c).distinct(), "wanted") for c in ("url", "content_hash")}
+    by_url = keys.join(wanted["url"], "url", "left_semi")
+    by_hash = keys.join(wanted["content_hash"], "content_hash", "left_semi")
+    # Written before it is made distinct: an aggregate would hold the join to its partitioning.
+    return written(by_url.unionByName(by_hash.select("url", "content_hash")), "candidates").distinct()
 
 
 def dedup_against_store(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -52,13 +64,21 @@ def dedup_against_store(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def _store_hits(pairs: DataFrame, stored: DataFrame) -> DataFrame:
-    """Distinct batch pairs known to the store, with the way they matched."""
+    """Distinct batch pairs known to the store, with the way they matched.
+
+    Both sides of the first join have one row per key and input partition; the keys found are written,
+    so that the second join can split a hash that many pairs of the batch share.
+    """
+    pairs = written(pairs, "pairs")
+
     def known(column: str) -> DataFrame:
-        held = stored.select(column).join(pairs.select(column).distinct(), column, "left_semi").distinct()
+        wanted = pairs.select(column).distinct()
+        held = written(stored.select(column).distinct().join(wanted, column, "left_semi"), "held")
         return pairs.join(held, column, "left_semi").select("url", "content_hash")
 
     # Numbers, so that max() is the precedence and stays a hash aggregate.
-    hits = known("url").withColumn("_how", F.lit(2)).unionByName(known("content_hash").withColumn("_how", F.lit(1)))
+    hits = written(known("url").withColumn("_how", F.lit(2)).unionByName(
+        known("content_hash").withColumn("_how", F.lit(1))), "matches")
     best = hits.groupBy("url", "content_hash").agg(F.max("_how").alias("_how"))
     return best.select(
         "url", "content_hash", F.when(F.col("_how") == 2, "exact_url").otherwise("exact_hash").alias("dup_method"))
@@ -103,4 +123,4 @@ def insert_if_absent(
     incoming: DataFrame, stored: DataFrame, key: str = "url", order_by: str = "seq"
 ) -> DataFrame:
     """Rows to insert: key not stored, first per key inside the batch."""
-    return first_wins(incoming, [key], order_by).join(stored.select(key), key, "left_anti").select(*incoming.columns)
+    return first_by_number(incoming, [key], order_by).join(stored.select(key), key, "left_anti").select(*incoming.columns)

@@ -98,6 +98,51 @@ def breaker_now(states: DataFrame, at: str = "ts", order: str = "event_id") -> D
         "source_id", "l.circuit_breaker_state", "l.consecutive_failures")
 
 
+HEALTH = {
+    "success_count": "bigint", "failure_count": "bigint", "last_success_at": "timestamp", "last_failure_at": "timestamp",
+    "last_error": "string", "health_score": "double", "circuit_breaker_state": "string", "consecutive_failures": "bigint",
+}
+
+
+def with_health(sources: DataFrame, applied: DataFrame) -> DataFrame:
+    """Sources with their latest stored health, where there is one; what a source never had is zero or null.
+
+    `applied` has one row per source and run, with the time of the run in `applied_at`.
+    """
+    start = {"success_count": 0, "failure_count": 0, "health_score": 100.0, "circuit_breaker_state": "CLOSED",
+             "consecutive_failures": 0}
+    last = applied.groupBy(F.col("source_id").alias("id")).agg(
+        F.max(F.struct("applied_at", "run_id", *HEALTH)).alias("_last"))
+    joined = sources.join(last, "id", "left")
+    own = lambda c: F.col(c).cast(HEALTH[c]) if c in sources.columns else F.lit(None).cast(HEALTH[c])
+    known = F.col("_last").isNotNull()
+    return joined.withColumns({
+        c: F.coalesce(F.when(known, F.col("_last")[c]).otherwise(own(c)), F.lit(start.get(c)).cast(kind))
+        for c, kind in HEALTH.items()}).drop("_last")
+
+
+def apply_outcomes(sources: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """New health of the sources that have outcomes (source_id, fetched_at, payload_id, ok, error).
+
+    `sources` are the rows of `with_health`: earlier counts are added to, and the breaker goes on from
+    its state and run of failures.
+    """
+    at, order = "fetched_at", "payload_id"
+    seen = source_health(outcomes, at, order).drop("health_score")
+    before = sources.select(
+        F.col("id").alias("source_id"), *[F.col(c).alias(f"_{c}") for c in HEALTH])
+    initial = sources.select(F.col("id").alias("source_id"), "circuit_breaker_state", "consecutive_failures")
+    now = breaker_now(circuit_breaker(outcomes, at, order, initial), at, order)
+    joined = seen.join(now, "source_id").join(before, "source_id")
+    good = F.col("success_count") + F.col("_success_count")
+    bad = F.col("failure_count") + F.col("_failure_count")
+    return joined.select(
+        "source_id", good.alias("success_count"), bad.alias("failure_count"),
+        F.coalesce("last_success_at", "_last_success_at").alias("last_success_at"),
+        F.coalesce("last_failure_at", "_last_failure_at").alias("last_failure_at"), "last_error",
+        (good / (good + bad) * 100.0).alias("health_score"), "circuit_breaker_state", "consecutive_failures")
+
+
 def feed_audit(feeds: DataFrame, entries: DataFrame, as_of: Column, stale_hours: float = MAX_ARTICLE_AGE_HOURS) -> DataFrame:
     """Entries, newest time and verdict per feed: FAILED without entries, STALE or VALID."""
     seen = entries.groupBy("source_id").agg(

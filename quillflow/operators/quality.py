@@ -9,7 +9,7 @@ from ..functions.dates import parse_published
 from ..functions.text import SPACE, clean_author, clean_title, content_hash, html_to_text
 from ..functions.urls import strip_fragment
 from ..lexicons import AUTHOR_LIMIT, MAX_ARTICLE_AGE_HOURS, TITLE_LIMIT
-from .dedup import first_wins
+from .dedup import first_by_number
 
 CRITICAL = ("TITLE_TOO_SHORT", "URL_INVALID", "TIMESTAMP_TOO_OLD", "TITLE_TOO_LONG", "AUTHOR_TOO_LONG")
 
@@ -112,5 +112,5 @@ def route_failures(staged: DataFrame, order_by: str = "seq") -> DataFrame:
         "raw_payload",
     )
     dropped = letters.filter(F.col("failure_stage") == "NORMALIZATION")
-    kept = first_wins(dropped, ["raw_payload"], order_by)
+    kept = first_by_number(dropped, [F.sha2("raw_payload", 256)], order_by)
     return letters.filter(F.col("failure_stage") == "VALIDATION").unionByName(kept)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .articles import on_dates
+
 DECAY_PER_HOUR = 0.1
 
 
@@ -40,7 +42,8 @@ def trending_entities(
 
     Only buckets that start inside the window count.
     """
-    rows = hourly.filter(F.col("time_bucket") >= as_of - F.expr(f"INTERVAL {int(hours)} HOURS"))
+    start = as_of - F.expr(f"INTERVAL {int(hours)} HOURS")
+    rows = on_dates(hourly, start, partition="bucket_date").filter(F.col("time_bucket") >= start)
     if entity_type:
         rows = rows.filter(F.col("entity_type") == entity_type)
     hours_ago = (F.unix_micros(as_of) - F.unix_micros("time_bucket")) / F.lit(3_600_000_000.0)
@@ -55,8 +58,9 @@ def trending_entities(
 
 def sentiment_window(daily: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """Daily rows of the last `days` days, oldest first, the day as text."""
+    start = as_of - F.expr(f"INTERVAL {int(days)} DAYS")
     return (
-        daily.filter(F.col("date_bucket") >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
+        on_dates(daily, start, partition="bucket_date").filter(F.col("date_bucket") >= start)
         .orderBy("date_bucket", "sentiment_label")
         .select(
             F.date_format("date_bucket", "yyyy-MM-dd").alias("date_bucket"),

@@ -110,12 +110,28 @@ def _(spark, sf):
 
 
 @query("feed_outcomes", with_views(X.ARTICLES, select="""
-SELECT source_name || '-' || lpad(CAST(id // 100 AS VARCHAR), 9, '0') AS payload_id,
-       count(*) AS entries, count(*) > 0 AS ok
-FROM articles GROUP BY ALL"""))
+SELECT payload_id, CASE WHEN poll % 5 < 3 THEN n ELSE 0 END AS entries, poll % 5 < 3 AS ok,
+       CASE poll % 5 WHEN 3 THEN 'zero_articles' WHEN 4 THEN 'malformed_xml' END AS error
+FROM (SELECT source_name || '-' || lpad(CAST(id // 100 AS VARCHAR), 9, '0') AS payload_id, id // 100 AS poll, count(*) AS n
+      FROM articles GROUP BY ALL)"""))
 def _(spark, sf):
-    payloads = X.payloads(spark, sf)
-    return feeds.feed_outcomes(payloads, feeds.feed_scan(payloads, keep_empty=True)).select("payload_id", "entries", "ok")
+    poll = F.element_at(F.split("payload_id", "-"), -1).cast("bigint") % 5
+    payloads = X.payloads(spark, sf).withColumn("payload", F.when(
+        poll == 3, "<rss><channel></channel></rss>").when(poll == 4, "<rss><channel>").otherwise(F.col("payload")))
+    return feeds.feed_outcomes(payloads, feeds.feed_scan(payloads, keep_empty=True)).select(
+        "payload_id", "entries", "ok", "error")
+
+
+@query("feed_repairs", with_views(X.ARTICLES, X.ROUGH, select="SELECT * FROM rough"))
+def _(spark, sf):
+    scanned = feeds.feed_scan(X.rough_payloads(spark, sf), keep_empty=True)
+    good = scanned.filter("entry_error is null").select(
+        "payload_id", text.clean_title(F.col("title")).alias("title"), "link", "description",
+        F.lit(None).cast("string").alias("error"))
+    lost = feeds.entry_failures(scanned).select(
+        F.col("seq.payload_id").alias("payload_id"), F.lit(None).alias("title"), F.lit(None).alias("link"),
+        F.lit(None).alias("description"), F.col("error_type").alias("error"))
+    return good.unionByName(lost)
 
 
 @query("active_sources", with_views(X.SOURCES, select="""
@@ -170,12 +186,12 @@ FROM kept"""
 
 @query("normalize_url", URL_ORACLE)
 def _(spark, sf):
-    return X.spread(X.table(spark, sf, "pages"), "page_id").select("page_id", urls.normalize_url(F.col("url")).alias("clean_url"))
+    return X.table(spark, sf, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("clean_url"))
 
 
 @query("strip_fragment", "SELECT page_id, split_part(url, '#', 1) AS bare_url FROM pages")
 def _(spark, sf):
-    return X.spread(X.table(spark, sf, "pages"), "page_id").select("page_id", urls.strip_fragment(F.col("url")).alias("bare_url"))
+    return X.table(spark, sf, "pages").select("page_id", urls.strip_fragment(F.col("url")).alias("bare_url"))
 
 
 @query("clean_title", f"""
@@ -185,7 +201,7 @@ SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(
          '[{text.SPACE}]+', ' ', 'g')), 1, 512) AS title FROM pages""")
 def _(spark, sf):
     raw = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    return X.spread(X.table(spark, sf, "pages"), "page_id").select("page_id", text.clean_title(raw).alias("title"))
+    return X.table(spark, sf, "pages").select("page_id", text.clean_title(raw).alias("title"))
 
 
 @query("html_to_text", rf"""
@@ -197,7 +213,7 @@ SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(
          '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&'),
          '[{text.SPACE}]+', ' ', 'g')) AS body FROM hidden""")
 def _(spark, sf):
-    return X.spread(X.table(spark, sf, "pages"), "page_id").select("page_id", text.html_to_text(F.col("html")).alias("body"))
+    return X.table(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("body"))
 
 
 @query("parse_published", with_views(X.ARTICLES, X.RAW, select="SELECT seq, published_at FROM raw"))
@@ -206,6 +222,17 @@ def _(spark, sf):
         "seq", dates.parse_published(F.col("published_at_raw"), F.col("timezone_hint")).alias("published_at"))
 
 
+@query("parse_numeric_dates", with_views(X.ARTICLES, select="""
+SELECT id, CASE WHEN id % 5 IN (3, 4) THEN date_trunc('day', published_at) ELSE published_at END AS published_at FROM articles"""))
+def _(spark, sf):
+    at, n = F.col("published_at"), F.col("id") % 5
+    shown = F.when(n == 0, F.date_format(at, "yyyyMMdd'T'HHmmss'Z'")).when(
+        n == 1, F.date_format(at, "EEE MMM dd HH:mm:ss yyyy")).when(n == 2, F.date_format(at, "yyyy/MM/dd HH:mm")).when(
+        (n == 3) & (F.day(at) > 12), F.date_format(at, "dd/MM/yyyy")).otherwise(
+        F.when(n == 4, F.date_format(at, "yyyyMMdd")).otherwise(F.date_format(at, "MM/dd/yyyy")))
+    return X.articles(spark, sf).select("id", dates.parse_published(shown, F.lit("UTC")).alias("published_at"))
+
+
 @query("freshness_filter", with_views(X.ARTICLES, select=f"""
 SELECT id, published_at FROM articles
 WHERE published_at IS NULL OR {TS} - published_at <= INTERVAL 72 HOUR"""))
@@ -573,7 +600,8 @@ def _(spark, sf):
 
 def _raw_store(spark: SparkSession, sf: str) -> DataFrame:
     return X.raw_articles(spark, sf).select(
-        F.col("seq").alias("id"), F.col("source_id").alias("run_id"), "raw_payload", F.col("created_at").alias("fetched_at"))
+        F.col("seq").alias("id"), F.col("source_id").alias("run_id"), "raw_payload", F.col("created_at").alias("fetched_at"),
+        urls.normalize_url(F.col("link")).alias("source_url"))
 
 
 @query("lineage_join", with_views(X.ARTICLES, select="""
@@ -1108,19 +1136,55 @@ def _(spark, sf):
         "status", "trigger_type")
 
 
-@query("stream_ingest", with_views(X.ARTICLES, CYCLE_SQL, select="SELECT url FROM fine"))
+@query("stream_ingest", with_views(X.ARTICLES, CYCLE_SQL.replace(
+    "ORDER BY source_name, poll, id", "ORDER BY poll % 2, source_name, poll, id"), select="""
+SELECT url, title, source_name, published_at, content_hash, clean_summary AS summary FROM saved"""))
 def _(spark, sf):
     landed = scratch_dir(spark, "landed")
-    X.payloads(spark, sf).write.parquet(landed)
+    payloads = X.payloads(spark, sf)
+    poll = F.element_at(F.split("payload_id", "-"), -1).cast("bigint")
+    for part in (0, 1):  # two micro-batches
+        payloads.filter(poll % 2 == part).coalesce(1).write.mode("append").parquet(landed)
     store = _store(spark)
-    stream = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
+    stream = spark.readStream.schema(payloads.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     jobs.stream_ingest(store, stream, _feed_sources(spark, sf), scratch_dir(spark, "offsets"))
-    # Which copy of a text is kept depends on the order of micro-batches; every url is accounted for.
-    kept = store.read("articles").select("url", "content_hash")
-    passed = store.read("raw_articles").select(F.col("source_url").alias("url"))
-    failed = store.read("failed_articles").select(F.get_json_object("raw_payload", "$.link").alias("link"))
-    lost = failed.select(urls.normalize_url(F.col("link")).alias("url"))
-    return kept.select("url").unionByName(passed.join(lost, "url", "left_anti")).distinct()
+    return store.read("articles").select("url", "title", "source_name", "published_at", "content_hash", "summary")
+
+
+def _breaker_cycle_sql(cycles: int) -> str:
+    """Source state after each of some cycles in which every third source fails."""
+    steps = ["""c0 AS (
+  SELECT id, id % 3 = 0 AS bad, circuit_breaker_state AS state, consecutive_failures AS n, 0 AS good, 0 AS failed
+  FROM sources WHERE is_active AND source_type = 'RSS')"""]
+    for k in range(1, cycles + 1):
+        steps.append(f"""c{k} AS (
+  SELECT id, bad, CASE WHEN state = 'OPEN' THEN state WHEN NOT bad THEN 'CLOSED' WHEN n + 1 >= {health.OPEN_AFTER} THEN 'OPEN'
+                       WHEN state = 'HALF_OPEN' THEN 'OPEN' ELSE 'CLOSED' END AS state,
+         CASE WHEN state = 'OPEN' THEN n WHEN bad THEN n + 1 ELSE 0 END AS n,
+         good + CASE WHEN state <> 'OPEN' AND NOT bad THEN 1 ELSE 0 END AS good,
+         failed + CASE WHEN state <> 'OPEN' AND bad THEN 1 ELSE 0 END AS failed
+  FROM c{k - 1})""")
+    return ",\n".join(steps)
+
+
+@query("breaker_cycle", with_views(X.SOURCES, _breaker_cycle_sql(2), select="""
+SELECT CAST(id AS VARCHAR) AS source_id, CAST(good AS BIGINT) AS success_count, CAST(failed AS BIGINT) AS failure_count,
+       CASE WHEN good + failed = 0 THEN 100.0::DOUBLE ELSE good / (good + failed)::DOUBLE * 100 END AS health_score,
+       state AS circuit_breaker_state, n AS consecutive_failures FROM c2"""))
+def _(spark, sf):
+    store = _store(spark)
+    sources = X.sources(spark, sf).withColumn("id", F.col("id").cast("string")).filter(
+        "is_active and source_type = 'RSS'").drop("health_score")
+    page = F.when(F.col("id").cast("bigint") % 3 == 0, F.lit("<rss><channel>")).otherwise(F.concat(
+        F.lit("<rss><channel><item><title>News of "), "name", F.lit("</title><link>"), "url", F.lit("</link></item></channel></rss>")))
+    for cycle in (1, 2):
+        payloads = sources.select(
+            F.concat("id", F.lit(f"-{cycle}")).alias("payload_id"), F.col("id").alias("source_id"),
+            now().alias("fetched_at"), page.alias("payload"))
+        ingest_cycle(store, payloads, sources, f"run-{cycle}", datetime(2024, 1, 31, cycle))
+    return health.with_health(sources, store.read("source_health")).select(
+        F.col("id").alias("source_id"), "success_count", "failure_count", "health_score", "circuit_breaker_state",
+        "consecutive_failures")
 
 
 @query("stream_dedup", "SELECT DISTINCT 'https://' || source || '.example.com/a/' || doc_id AS url FROM documents")
@@ -1132,12 +1196,20 @@ def _(spark, sf):
     return spark.read.parquet(out).select("url")
 
 
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events in time order as four files, each its own micro-batch."""
+    events, landed = X.table(spark, sf, "events"), scratch_dir(spark, "landed")
+    week = F.least(F.floor(F.day("ts") / 8), F.lit(3))
+    for part in range(4):
+        events.filter(week == part).coalesce(1).write.mode("append").parquet(landed)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+
+
 @query("stream_hourly_trends", with_views(X.MENTIONS, select="SELECT * FROM hourly"))
 def _(spark, sf):
-    files = spark.readStream.schema(X.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet")
-    stream = files.parquet(sf).select(
+    stream = _event_stream(spark, sf).select(
         F.col("event_type").alias("entity"), F.pmod("user_id", F.lit(4)).cast("string").alias("entity_type"),
-        F.col("ts").cast("timestamp").alias("published_at"))
+        F.col("ts").cast("timestamp").alias("published_at"), F.col("ts").cast("timestamp").alias("collected_at"))
     out = scratch_dir(spark, "trends")
     jobs.run_updates(jobs.stream_hourly_trends(stream), out, scratch_dir(spark, "offsets"))
     return jobs.latest_counts(spark, out, ["entity", "entity_type", "time_bucket"])
@@ -1145,8 +1217,7 @@ def _(spark, sf):
 
 @query("stream_breaker", BREAKER_ORACLE)
 def _(spark, sf):
-    files = spark.readStream.schema(X.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet")
-    stream = files.parquet(sf).select(
+    stream = _event_stream(spark, sf).select(
         F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
         (F.col("event_type") != "error").alias("ok"))
     out = scratch_dir(spark, "breaker")

@@ -23,20 +23,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Use every core when the scan has fewer splits than that, as a file of one row group has.
-
-    A large table has splits enough and is left alone.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """Articles from `documents`: first line title, second line summary, whole text body."""
     n = F.col("doc_id")
     minute = F.pmod(n * 7919, F.lit(43200))
-    rows = spread(table(spark, sf, "documents"), "doc_id").select(
+    rows = table(spark, sf, "documents").select(
         n.alias("id"),
         F.substring(F.substring_index("text", "\n", 1), 1, 512).alias("title"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/a/"), n.cast("string")).alias("url"),
@@ -329,3 +320,43 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(
             F.lit('<?xml version="1.0"?><rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>'),
             body, F.lit("</channel></rss>")).alias("payload"))
+
+
+def rough_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """One feed document per article in nine everyday shapes, most of them no strict XML; the last is unreadable."""
+    def xml(c: Column) -> Column:
+        for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = F.replace(c, F.lit(plain), F.lit(safe))
+        return c
+
+    title, link, shape = xml(F.col("title")), F.col("url"), F.col("id") % 9
+    item = lambda t, k, more="": F.concat(
+        F.lit("<item><title>"), t, F.lit("</title><link>"), k, F.lit(f"</link>{more}</item>"))
+    with_end = F.concat(F.lit("<![CDATA["), "title", F.lit(" </item>]]>"))
+    atom = F.concat(
+        F.lit('<atom:entry><atom:title>'), title, F.lit('</atom:title><atom:link href="'), link, F.lit('"/></atom:entry>'))
+    body = (
+        F.when(shape == 1, item(F.concat(title, F.lit("&nbsp;&rsquo;s")), link))
+        .when(shape == 2, item(F.concat(title, F.lit(" AT&T")), link))
+        .when(shape == 3, item(title, F.concat(link, F.lit("?x=1&y=2"))))
+        .when(shape == 4, item(title, link, "<description>one<br>two <b>three</description>"))
+        .when(shape == 5, item(with_end, link))
+        .when(shape == 6, F.concat(F.lit("<!-- <item><title>hidden</title></item> -->"), item(title, link)))
+        .when(shape == 7, atom)
+        .when(shape == 8, item(F.concat(title, F.lit(" <media:open>")), link))
+        .otherwise(F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), link, F.lit("</link>"))))
+    return articles(spark, sf).select(
+        F.col("id").cast("string").alias("payload_id"), F.col("source_name").alias("source_id"),
+        instant(GATE_AS_OF).alias("fetched_at"),
+        F.concat(F.lit("<rss><channel><title>all</title>"), body, F.lit("</channel></rss>")).alias("payload"))
+
+
+ROUGH = f"""
+rough AS (
+  SELECT CAST(id AS VARCHAR) AS payload_id,
+         CASE WHEN id % 9 < 8 THEN substr(trim(regexp_replace(title, '[{SPACE}]+', ' ', 'g')) || CASE id % 9
+           WHEN 1 THEN ' ' || chr(8217) || 's' WHEN 2 THEN ' AT&T' WHEN 5 THEN ' </item>' ELSE '' END, 1, 512) END AS title,
+         CASE WHEN id % 9 < 8 THEN url || CASE id % 9 WHEN 3 THEN '?x=1&y=2' ELSE '' END END AS link,
+         CASE WHEN id % 9 = 4 THEN 'one<br>two <b>three' END AS description,
+         CASE WHEN id % 9 = 8 THEN 'UnreadableEntry' END AS error
+  FROM articles)"""

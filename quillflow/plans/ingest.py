@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import label_batch
 from ..operators.enrich import Enricher, enrich
+from ..operators.health import apply_outcomes, with_health
 from ..operators.maintenance import CHILDREN, child_rows
 from ..operators.quality import passed, route_failures, stage_articles
 from ..operators.runs import run_summary
 from ..session import written
-from ..sources.feeds import active_sources, arrival, feed_outcomes, feed_scan, map_entry
+from ..sources.feeds import active_sources, arrival, entry_failures, feed_outcomes, feed_scan, map_entry
 from ..sources.tables import (
     NewsStore, article_id, dead_letter, open_run, raw_append, refresh_summaries, run_record,
 )
@@ -43,13 +44,17 @@ def ingest_cycle(
     rows of this run do not count as stored when duplicates are looked for.
     """
     at = F.lit(as_of).cast("timestamp")
-    usable = active_sources(sources)
+    # Health as other runs have left it: a source whose breaker is open is not polled again.
+    current = with_health(sources, store.read("source_health").filter(F.col("run_id") != run_id))
+    usable = written(active_sources(current), f"sources-{run_id}")
     open_run(store, run_id, at)
     fetched = payloads.join(usable.select(F.col("id").alias("source_id")), "source_id", "left_semi")
     scanned = written(feed_scan(fetched, keep_empty=True), f"entries-{run_id}")
     store.write_run("outcomes", feed_outcomes(fetched, scanned), run_id)
-    entries = scanned.filter("item_pos is not null").drop("payload_error")
-    raw = map_entry(entries, usable, mapping).withColumn("seq", arrival())
+    fetches = store.read("outcomes").filter(F.col("run_id") == run_id)
+    store.write_run("source_health", apply_outcomes(usable, fetches).withColumn("applied_at", at), run_id)
+    entries = scanned.filter("item_pos is not null and entry_error is null").drop("payload_error", "entry_error")
+    raw = written(map_entry(entries, usable, mapping).withColumn("seq", arrival()), f"raw-{run_id}")
     raw_error = None
     try:
         raw_append(store, raw, run_id, at)
@@ -57,7 +62,7 @@ def ingest_cycle(
         raw_error = f"raw payloads not kept: {type(e).__name__}"
 
     staged = written(stage_articles(raw, at).select(*STAGED), f"staged-{run_id}")
-    failures = route_failures(staged)
+    failures = route_failures(staged).unionByName(entry_failures(scanned))
     dead_letter(store, failures, run_id, at)
 
     known = store.read("articles").filter(F.col("run_id") != run_id).select("url", "content_hash")
@@ -70,8 +75,7 @@ def ingest_cycle(
     _store_articles(store, enriched, run_id)
 
     marked = staged.select("seq", "source_id", "stage").join(labels, "seq", "left")
-    outcomes = store.read("outcomes").filter(F.col("run_id") == run_id)
-    bad = outcomes.filter("not ok and error != 'zero_articles'")
+    bad = fetches.filter("not ok and error != 'zero_articles'")
     errors = bad.select(
         F.struct("source_id", "fetched_at", "payload_id", F.lit(0).alias("item_pos")).alias("seq"),
         F.concat("source_id", F.lit(": "), "error").alias("message"))

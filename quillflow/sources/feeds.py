@@ -12,10 +12,18 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE
+from ..functions.text import SPACE, bind
 from ..functions.urls import normalize_url
 
-_ENTRY = r"(?s)<(?:item|entry)\b[^>]*(?<!/)>.*?</(?:item|entry)\s*>"
+_PREFIX = r"(?:[A-Za-z_][\w.-]*:)?"
+_OPEN = rf"(?=<{_PREFIX}(?:item|entry)(?:\s[^>]*)?(?<!/)>)"
+_CLOSE = rf"(?s)</{_PREFIX}(?:item|entry)\s*>.*\z"
+# Element names of the feed formats; any other tag without a prefix is markup inside a text.
+ELEMENTS = (
+    "item entry title link description author name email uri category comments enclosure guid pubDate source id "
+    "published updated summary content contributor rights").split()
+_MARKUP = rf"<(?!/?(?:{'|'.join(ELEMENTS)}|[A-Za-z_][\w.-]*:[\w.-]+)(?:[\s/>]))"
+_BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});)"
 
 _TERM = "array<struct<_VALUE:string,_term:string>>"
 _BODY = "struct<_VALUE:string,_type:string>"
@@ -29,7 +37,9 @@ ENTRY_SCHEMA = f"""
 """
 
 # Entry fields a mapping may read, after RSS and Atom spellings are brought together.
-ENTRY_FIELDS = ("title", "link", "published", "updated", "summary", "description", "author", "terms")
+# `entry_xml` is the whole entry: a mapping reads other elements from it, and it is kept in the raw payload.
+ENTRY_FIELDS = (
+    "title", "link", "published", "updated", "summary", "description", "author", "terms", "entry_xml")
 
 
 def read_payloads(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
@@ -54,15 +64,48 @@ def _with_source(files: DataFrame) -> DataFrame:
     )
 
 
+def _plain(payload: Column) -> Column:
+    """The payload with CDATA sections as escaped text and without comments, so that a tag in it is a tag."""
+    escaped = lambda t: F.replace(F.replace(F.replace(
+        t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def section(piece: Column) -> Column:
+        return bind(F.instr(piece, "]]>"), lambda end: F.when(end == 0, escaped(piece)).otherwise(
+            F.concat(escaped(F.substring(piece, 1, end - 1)), F.substr(piece, end + 3))))
+
+    pieces = F.split(payload, r"<!\[CDATA\[")
+    open_text = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(section(p))), "")
+    return F.regexp_replace(open_text, r"(?s)<!--.*?-->", "")
+
+
 def _entries(payload: Column) -> Column:
-    return F.regexp_extract_all(payload, F.lit(_ENTRY), 0)
+    """The entries of a payload as text. An entry ends at its closing tag or, without one, at the next entry."""
+    cut = F.split(_plain(payload), _OPEN)
+    return F.transform(
+        F.filter(cut, lambda p: p.rlike(rf"^<{_PREFIX}(?:item|entry)[\s>]")),
+        lambda p: F.regexp_replace(p, _CLOSE, ""))
+
+
+def _sound(entry: Column) -> Column:
+    """The entry as XML: its own prefix dropped, stray markup and ampersands as text, the closing tag put back."""
+    def repaired(e: Column) -> Column:
+        text = F.regexp_replace(F.regexp_replace(e, _MARKUP, "&lt;"), _BARE_AMPERSAND, "&amp;")
+        return F.concat(text, F.when(e.rlike(r"^<item[\s>]"), "</item>").otherwise("</entry>"))
+
+    def unprefixed(prefix: Column) -> Column:
+        return F.when(prefix == "", entry).otherwise(F.replace(
+            F.replace(entry, F.concat(F.lit("<"), prefix), F.lit("<")), F.concat(F.lit("</"), prefix), F.lit("</")))
+
+    return bind(bind(F.regexp_extract(entry, rf"^<({_PREFIX})(?:item|entry)", 1), unprefixed), repaired)
 
 
 def feed_scan(payloads: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """One row per readable entry of every payload, with its place in the payload.
+    """One row per entry of every payload, with its place in the payload and its text.
 
-    Entries are cut out before they are parsed, so one broken entry costs only itself. With
-    `keep_empty` a payload without entries gives one row that holds its `payload_error`.
+    Entries are cut out before they are parsed, so one broken entry costs only itself. Everyday
+    faults are repaired: undeclared entities, bare ampersands, HTML tags in texts, a missing closing
+    tag. With `keep_empty` nothing is left out: a payload without entries gives one row that holds its
+    `payload_error`, and an entry that can't be read, or has no title or link, holds its `entry_error`.
     """
     root = F.from_xml("payload", "version string, _corrupt_record string", {"mode": "PERMISSIVE"})
     sound = root["_corrupt_record"].isNull() & F.contains("payload", F.lit("<"))
@@ -74,14 +117,16 @@ def feed_scan(payloads: DataFrame, keep_empty: bool = False) -> DataFrame:
             F.size("_cut") == 0, F.when(sound, "zero_articles").otherwise("malformed_xml")))
     spread = F.posexplode_outer if keep_empty else F.posexplode
     cut = cut.select(*about, spread("_cut").alias("item_pos", "entry_xml"))
-    parsed = cut.withColumn("e", F.from_xml("entry_xml", ENTRY_SCHEMA, {"mode": "PERMISSIVE"}))
+    # A generator keeps later filters from running the parser a second time.
+    parsed = cut.select("*", F.explode(F.array(
+        F.from_xml(_sound(F.col("entry_xml")), ENTRY_SCHEMA, {"mode": "PERMISSIVE"}))).alias("e"))
     links = F.col("e.link")
     alternate = F.filter(links, lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
     first_link = F.coalesce(F.get(alternate, F.lit(0)), F.get(links, F.lit(0)))
     permalink = F.when(F.coalesce(F.col("e.guid._isPermaLink"), F.lit("true")) == "true", F.col("e.guid._VALUE"))
     terms = F.transform(F.col("e.category"), lambda c: F.coalesce(c["_term"], c["_VALUE"]))
-    return parsed.filter(F.col("e._corrupt_record").isNull()).select(
-        *[c for c in cut.columns if c != "entry_xml"],
+    rows = parsed.select(
+        *cut.columns, F.col("e._corrupt_record").alias("_corrupt"),
         F.col("e.title").alias("title"),
         F.coalesce(first_link["_href"], first_link["_VALUE"], permalink).alias("link"),
         F.coalesce("e.pubDate", "e.published").alias("published"),
@@ -91,24 +136,40 @@ def feed_scan(payloads: DataFrame, keep_empty: bool = False) -> DataFrame:
         F.coalesce("e.author.name", "e.author._VALUE", "e.dc:creator").alias("author"),
         F.coalesce(terms, F.array().cast("array<string>")).alias("terms"),
     )
+    if not keep_empty:
+        return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    error = F.when(F.col("item_pos").isNull(), None).when(F.col("_corrupt").isNotNull(), "UnreadableEntry").when(
+        blank("title") | blank("link"), "IncompleteEntry")
+    return rows.withColumn("entry_error", error).drop("_corrupt")
+
+
+def entry_failures(scanned: DataFrame) -> DataFrame:
+    """Dead letters of a `feed_scan(keep_empty=True)`: the entries that give no article, with their whole text."""
+    unread = F.col("entry_error") == "UnreadableEntry"
+    return scanned.filter(F.col("entry_error").isNotNull()).select(
+        arrival().alias("seq"), "source_id", F.lit("FETCH").alias("failure_stage"),
+        F.col("entry_error").alias("error_type"),
+        F.when(unread, "Entry is no readable XML").otherwise("Entry has no title or no link").alias("error_message"),
+        F.to_json(F.struct("entry_xml")).alias("raw_payload"))
 
 
 def feed_outcomes(payloads: DataFrame, scanned: DataFrame) -> DataFrame:
     """Fetch outcome per payload, from its ids and its `feed_scan(keep_empty=True)` rows.
 
-    A payload fails when it gives no article: `malformed_xml` when its markup is broken or no
-    entry can be read, else `zero_articles`.
+    A payload fails when it gives no article: `malformed_xml` when its markup is broken or an
+    entry can't be read, else `zero_articles`.
     """
-    usable = (F.trim("title") != "") & (F.trim("link") != "")
+    usable = F.col("item_pos").isNotNull() & F.col("entry_error").isNull()
     seen = scanned.groupBy("payload_id").agg(
         F.count_if(usable).alias("entries"),
-        F.max("payload_error").alias("_error"))
+        F.max(F.coalesce("payload_error", F.when(
+            F.col("entry_error") == "UnreadableEntry", "malformed_xml"))).alias("_error"))
     found = payloads.select("payload_id", "source_id", "fetched_at").join(seen, "payload_id", "left")
     entries = F.coalesce("entries", F.lit(0))
-    unread = F.when(F.col("entries").isNull(), "malformed_xml").otherwise("zero_articles")
     return found.select(
         "payload_id", "source_id", "fetched_at", entries.alias("entries"), (entries > 0).alias("ok"),
-        F.when(entries == 0, F.coalesce("_error", unread)).alias("error"))
+        F.when(entries == 0, F.coalesce("_error", F.lit("zero_articles"))).alias("error"))
 
 
 # How entry fields feed a raw article; other source types pass their own mapping.

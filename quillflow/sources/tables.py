@@ -40,6 +40,10 @@ SCHEMAS = {
         "articles_saved bigint, duplicates_detected bigint, failures bigint, source_count bigint, status string, "
         "trigger_type string, error_summary string, failed_sources array<string>, run_id string"),
     "outcomes": "payload_id string, source_id string, fetched_at timestamp, entries bigint, ok boolean, error string, run_id string",
+    "source_health": (
+        "source_id string, success_count bigint, failure_count bigint, last_success_at timestamp, "
+        "last_failure_at timestamp, last_error string, health_score double, circuit_breaker_state string, "
+        "consecutive_failures bigint, applied_at timestamp, run_id string"),
     "hourly_trends": "entity string, entity_type string, time_bucket timestamp, article_count bigint, bucket_date date",
     "sentiment_summaries": "date_bucket timestamp, sentiment_label string, article_count bigint, bucket_date date",
 }

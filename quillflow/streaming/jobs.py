@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,20 +41,31 @@ def landing_stream(payloads: DataFrame, path: str, checkpoint: str) -> None:
     run_to_files(feed_scan(payloads), path, checkpoint)
 
 
-def stream_ingest(store: NewsStore, payloads: DataFrame, sources: DataFrame, checkpoint: str, **options) -> None:
-    """The whole cycle per micro-batch; the batch number is the run id.
+def stream_ingest(
+    store: NewsStore, payloads: DataFrame, sources: DataFrame, checkpoint: str, prefix: str = "stream", **options
+) -> None:
+    """The whole cycle per micro-batch. The run id is the prefix, the stream's own id and the batch number.
 
-    The newest fetch time is the batch's clock, so a repeated batch decides as it did before and
-    replaces its own rows.
+    The stream's id belongs to its checkpoint: a second stream, or a new checkpoint, on the same store
+    never meets the runs of the first, and a repeated batch replaces its own rows. The newest fetch
+    time is the batch's clock, so a repeated batch decides as it did before.
     """
+    spark = store.spark
+
     def cycle(batch: DataFrame, batch_id: int) -> None:
         clock = batch.agg(F.max("fetched_at")).first()[0]
         if clock is not None:
-            ingest_cycle(store, batch, sources, f"batch-{batch_id:09d}", clock, **options)
+            ingest_cycle(
+                store, batch, sources, f"{prefix}-{_stream_id(spark, checkpoint)}-{batch_id:09d}", clock, **options)
 
     _drain(payloads, cycle, checkpoint)
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream's checkpoint keeps from its first start on."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def stream_dedup(rows: DataFrame, key: str = "url", seen_at: str = "collected_at", horizon: str = LATENESS) -> DataFrame:
     """First row per key within the horizon; its state is dropped as the watermark moves on.
 
@@ -63,26 +75,43 @@ def stream_dedup(rows: DataFrame, key: str = "url", seen_at: str = "collected_at
     return rows.withWatermark(seen_at, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def stream_hourly_trends(mentions: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Mentions per entity, type and hour, later rows up to the lateness included."""
-    counted = (
-        mentions.withWatermark("published_at", lateness)
-        .groupBy(F.window("published_at", "1 hour"), "entity", "entity_type").agg(F.count("*").alias("article_count")))
-    return counted.select("entity", "entity_type", F.col("window.start").alias("time_bucket"), "article_count")
+def _clocked(rows: DataFrame, collected_at: str, lateness: str) -> DataFrame:
+    """Adds `clock`, the event time of the watermark: the publication time, but at most an hour behind collection.
+
+    A wrong date in the future so can't move the watermark beyond what has really been collected.
+    """
+    latest = F.col(collected_at) + F.expr("INTERVAL 1 HOUR")
+    return rows.withColumn("clock", F.least("published_at", latest)).withWatermark("clock", lateness)
+
+
+def stream_hourly_trends(mentions: DataFrame, lateness: str = LATENESS, collected_at: str = "collected_at") -> DataFrame:
+    """Mentions per entity, type and hour, later rows up to the lateness included.
+
+    `clock_bucket` parts the counts of an hour: rows dated in the future have the hour of their
+    collection there. `latest_counts` adds the parts.
+    """
+    counted = _clocked(mentions, collected_at, lateness).groupBy(
+        F.window("clock", "1 hour"), F.date_trunc("hour", "published_at").alias("time_bucket"), "entity", "entity_type"
+    ).agg(F.count("*").alias("article_count"))
+    return counted.select(
+        "entity", "entity_type", "time_bucket", F.col("window.start").alias("clock_bucket"), "article_count")
 
 
-def stream_sentiment_daily(articles: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Articles per day and label."""
+def stream_sentiment_daily(articles: DataFrame, lateness: str = LATENESS, collected_at: str = "collected_at") -> DataFrame:
+    """Articles per day and label; `clock_bucket` as in the hourly counts."""
     label = F.coalesce("sentiment_label", F.lit("NEUTRAL"))
-    counted = (
-        articles.withColumn("sentiment_label", label).withWatermark("published_at", lateness)
-        .groupBy(F.window("published_at", "1 day"), "sentiment_label").agg(F.count("*").alias("article_count")))
-    return counted.select(F.col("window.start").alias("date_bucket"), "sentiment_label", "article_count")
+    dated = articles.filter(F.col("published_at").isNotNull()).withColumn("sentiment_label", label)
+    counted = _clocked(dated, collected_at, lateness).groupBy(
+        F.window("clock", "1 day"), F.date_trunc("day", "published_at").alias("date_bucket"), "sentiment_label"
+    ).agg(F.count("*").alias("article_count"))
+    return counted.select("date_bucket", "sentiment_label", F.col("window.start").alias("clock_bucket"), "article_count")
 
 
 def latest_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Newest count per key of a `run_updates` folder."""
-    return spark.read.parquet(path).groupBy(*keys).agg(F.max_by("article_count", "batch_id").alias("article_count"))
+    newest = spark.read.parquet(path).groupBy(*keys, "clock_bucket").agg(
+        F.max_by("article_count", "batch_id").alias("article_count"))
+    return newest.groupBy(*keys).agg(F.sum("article_count").alias("article_count"))
 
 
 def stream_breaker(outcomes: DataFrame, path: str, checkpoint: str, chunk: str = "day") -> None:

@@ -73,10 +73,12 @@ def test_cycle_and_replay(spark, landed, sources, tmp_path):
     # One text came under two urls: the first arrival stays.
     assert "http://x.com/1" in urls and "http://y.com/1" not in urls
     assert (first.status, first.articles_ingested, first.articles_saved, first.duplicates_detected) == ("PARTIAL_SUCCESS", 7, 4, 0)
-    assert first.failures == 2 and first.failed_sources == ["broken"] and first.source_count == 7
-    assert first.error_summary == "broken: malformed_xml; VALIDATION: QualityGateRejected"
+    # One failed feed, one rejected article, two entries that give no article.
+    assert first.failures == 4 and first.failed_sources == ["broken"] and first.source_count == 7
+    assert first.error_summary == (
+        "broken: malformed_xml; FETCH: UnreadableEntry; VALIDATION: QualityGateRejected; FETCH: UnreadableEntry")
     raw, dead = store.read("raw_articles").count(), store.read("failed_articles").count()
-    assert (raw, dead) == (8, 1) and raw == first.articles_ingested + dead
+    assert (raw, dead) == (8, 3) and raw == first.articles_ingested + dead - 2
     entities = {(r.entity, r.entity_type) for r in store.read("entities").collect()}
     assert entities == {("RBI", "Regulator"), ("Sensex", "Index")}
     assert {(r.entity, r.article_count) for r in store.read("hourly_trends").collect()} == {("RBI", 1), ("Sensex", 1)}
@@ -102,6 +104,96 @@ def test_stream_ingest_takes_only_what_is_new(spark, sources, tmp_path):
     go()
     assert {r.url for r in store.read("articles").collect()} == {"http://x.com/1", "http://x.com/3", "http://example.com/1"}
     assert store.read("pipeline_runs").count() == 2
+    # A new checkpoint starts at batch 0 again and must not touch the runs of the first stream.
+    jobs.stream_ingest(store, feeds.stream_payloads(spark, str(landed)), sources, str(tmp_path / "cp2"))
+    assert store.read("articles").count() == 3 and store.read("pipeline_runs").count() == 3
+
+
+def test_a_future_date_does_not_silence_the_trends(spark, tmp_path):
+    """Three micro-batches; the first holds a row dated years ahead."""
+    at = lambda text: datetime.fromisoformat(text)
+    batches = [[("a", at("2024-01-01 10:00"), at("2024-01-01 10:05")), ("a", at("2030-05-05 05:00"), at("2024-01-01 10:06"))],
+               [("a", at("2024-01-01 10:30"), at("2024-01-01 11:00"))],
+               [("a", at("2024-01-02 09:00"), at("2024-01-02 09:10")), ("a", at("2030-05-05 05:30"), at("2024-01-02 09:10"))]]
+    schema = "entity string, published_at timestamp, collected_at timestamp"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.withColumn("entity_type", F.lit("t"))
+    jobs.run_updates(jobs.stream_hourly_trends(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {(r.time_bucket.isoformat(), r.article_count) for r in jobs.latest_counts(
+        spark, str(tmp_path / "out"), ["entity", "entity_type", "time_bucket"]).collect()}
+    assert got == {("2024-01-01T10:00:00", 2), ("2024-01-02T09:00:00", 1), ("2030-05-05T05:00:00", 2)}
+
+
+def test_entries_are_repaired_and_none_is_lost(spark):
+    item = "<item><title>{}</title><link>http://a/{}</link><description>{}</description><guid>g{}</guid></item>"
+    shapes = [("A&nbsp;b", "1", "x"), ("AT&T", "2?x=1&y=2", "one<br>two"), ("<![CDATA[c </item> d]]>", "3", "<![CDATA[<p>z</p>]]>"),
+              ("<i>it</i>", "4", "&lt;p&gt;"), ("&#8217;q", "5", "")]
+    body = "".join(item.format(t, k, d, i) for i, (t, k, d) in enumerate(shapes))
+    rows = [("p", "s", f"<rss><channel><!-- <item><title>no</title></item> -->{body}<item><title>open</title><link>http://a/6</link>"
+             "<item><title>x <media:bad></title></item><item><title>alone</title></item></channel></rss>"),
+            ("q", "s", '<atom:feed xmlns:atom="x"><atom:entry><atom:title>pre</atom:title><atom:link href="http://a/7"/>'
+             '<atom:content type="xhtml"><div><p>c</p></div></atom:content></atom:entry></atom:feed>')]
+    payloads = spark.createDataFrame(rows, "payload_id string, source_id string, payload string").withColumn(
+        "fetched_at", F.lit(NOW))
+    scanned = feeds.feed_scan(payloads, keep_empty=True)
+    assert scanned._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") <= 2  # the feed and the entry
+    got = feeds.map_entry(scanned.filter("entry_error is null"))
+    titles = {r.url: (r.title, r.summary) for r in got.collect()}
+    assert titles == {
+        "http://a/1": ("A&nbsp;b", "x"), "http://a/2?x=1&y=2": ("AT&T", "one<br>two"), "http://a/3": ("c </item> d", "<p>z</p>"),
+        "http://a/4": ("<i>it</i>", "<p>"), "http://a/5": ("\u2019q", None), "http://a/6": ("open", None),
+        "http://a/7": ("pre", "<div><p>c</p></div>")} or titles["http://a/5"][1] == ""
+    lost = [(r.error_type, "entry_xml" in r.raw_payload) for r in feeds.entry_failures(scanned).orderBy("seq").collect()]
+    assert lost == [("UnreadableEntry", True), ("IncompleteEntry", True)]
+    # The whole entry stays in the raw payload, and a mapping can read it.
+    own = feeds.map_entry(scanned.filter("entry_error is null"), mapping={
+        "author": F.regexp_extract("entry_xml", "<guid>(.*?)</guid>", 1)})
+    assert {r.author for r in own.collect()} >= {"g0", "g4"} and all("entry_xml" in r.raw_payload for r in own.collect())
+
+
+def test_an_open_breaker_stops_polling(spark, tmp_path):
+    store, item = NewsStore(spark, str(tmp_path)), ITEM.format("A longer title", "http://x.com/{}", "s")
+    sources = spark.createDataFrame(
+        [("good", "Good", "UTC", True, "CLOSED", "RSS", 4), ("bad", "Bad", "UTC", True, "CLOSED", "RSS", 3),
+         ("half", "Half", "UTC", True, "HALF_OPEN", "RSS", 0)],
+        "id string, name string, timezone_hint string, is_active boolean, circuit_breaker_state string, source_type string, "
+        "consecutive_failures bigint")
+    states = []
+    for n in range(3):
+        rows = [(f"good-{n}", "good", item.format(n)), (f"bad-{n}", "bad", "<rss>"), (f"half-{n}", "half", "<rss>" if n else "<rss>")]
+        payloads = spark.createDataFrame(rows, "payload_id string, source_id string, payload string").withColumn(
+            "fetched_at", F.lit(NOW))
+        ingest_cycle(store, payloads, sources, f"r{n}", datetime(2024, 1, 2, n))
+        now = health.with_health(sources, store.read("source_health")).collect()
+        states.append({r.id: (r.circuit_breaker_state, r.consecutive_failures, r.success_count, r.failure_count) for r in now})
+    assert states[0] == {"good": ("CLOSED", 0, 1, 0), "bad": ("CLOSED", 4, 0, 1), "half": ("OPEN", 1, 0, 1)}
+    assert states[1] == {"good": ("CLOSED", 0, 2, 0), "bad": ("OPEN", 5, 0, 2), "half": ("OPEN", 1, 0, 1)}
+    assert states[2]["bad"] == states[1]["bad"] and states[2]["good"][2] == 3
+    assert store.read("outcomes").filter("run_id = 'r2'").count() == 1
+
+
+def test_reads_prune_partitions(spark, tmp_path):
+    from quillflow.operators import articles as A, audit
+
+    store = NewsStore(spark, str(tmp_path))
+    rows = X.articles(spark, SMALL).withColumn("published_date", F.to_date("published_at"))
+    store.write_run("articles", rows.withColumns({
+        c: F.lit(None) for c in ("collected_at", "tags", "sentiment_score", "generated_summary")}), "r1")
+    stored = store.read("articles")
+    as_of = X.instant("2024-01-16 13:30:00")
+    plans = [
+        A.list_filters(stored, A.ArticleFilters(published_after=datetime(2024, 1, 3), published_before=datetime(2024, 1, 5))),
+        A.latest_page(stored, 5, (datetime(2024, 1, 5), "x")), audit.articles_today(stored, as_of)]
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "published_date" in text.split("PartitionFilters: [")[1].split("]")[0], text
+    page = A.latest_page(stored, 1000, (datetime(2024, 1, 5), "x"))
+    assert page.count() == stored.filter("published_at < '2024-01-05' or published_at is null").count()
+    store.write_summary("hourly_trends", trends.hourly_trends(X.mentions(spark, SMALL)), "time_bucket", True)
+    text = trends.trending_entities(store.read("hourly_trends"), as_of)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket_date" in text.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def event_files(spark, folder):
@@ -116,7 +208,7 @@ def event_files(spark, folder):
 def test_streamed_trends_equal_the_batch(spark, tmp_path):
     stream = event_files(spark, str(tmp_path / "in")).select(
         F.col("event_type").alias("entity"), F.pmod("user_id", F.lit(4)).cast("string").alias("entity_type"),
-        F.col("ts").cast("timestamp").alias("published_at"))
+        F.col("ts").cast("timestamp").alias("published_at"), F.col("ts").cast("timestamp").alias("collected_at"))
     jobs.run_updates(jobs.stream_hourly_trends(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     keys = ["entity", "entity_type", "time_bucket"]
     got = jobs.latest_counts(spark, str(tmp_path / "out"), keys)
@@ -125,7 +217,7 @@ def test_streamed_trends_equal_the_batch(spark, tmp_path):
 
 
 def test_streamed_sentiment_equals_the_batch(spark, tmp_path):
-    rows = X.articles(spark, SMALL).select("published_at", "sentiment_label")
+    rows = X.articles(spark, SMALL).select("published_at", "sentiment_label", F.col("published_at").alias("collected_at"))
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     jobs.run_updates(jobs.stream_sentiment_daily(stream), str(tmp_path / "out"), str(tmp_path / "cp"))

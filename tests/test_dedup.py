@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillflow.operators import dedup, maintenance
+from quillflow.session import scratch_dir
 
 KEYS = "seq long, url string, content_hash string"
 
@@ -105,3 +106,38 @@ def test_a_hot_key_is_split_in_the_join(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_hot_hashes_are_split_in_every_store_join(spark, monkeypatch):
+    """One hash with half of the batch's urls and half of the stored ones."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        def rows(prefix, n):
+            hot = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("h"), F.col("id").cast("string")))
+            return spark.range(0, n, 1, 8).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("url"), hot.alias("content_hash"))
+
+        batch, stored = rows("b", 100_000), rows("s", 100_000)
+        plans = []
+
+        def seen(frame, label):
+            plans.append((label, frame))
+            path = scratch_dir(spark, label)
+            frame.write.parquet(path)
+            return spark.read.parquet(path)
+
+        monkeypatch.setattr(dedup, "written", seen)
+        assert dedup._store_hits(batch, stored).count() == 100_000
+        assert dedup.existing_candidates(stored, batch).count() == 100_000
+        for label, frame in plans:
+            if label in ("matches", "candidates"):
+                frame.collect()
+                assert "skew=true" in frame._jdf.queryExecution().executedPlan().toString(), label
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -5,6 +5,7 @@ from compare import differences, oracle_connection
 from conftest import SMALL
 
 from __spark_entry__ import entry, oracle_sql, queries
+from quillflow.plans.catalog import ORACLES, QUERIES
 
 # Results that are rightly empty on so few rows.
 MAY_BE_EMPTY = {"text_match", "search_ranked", "search_page", "list_filters"}
@@ -15,14 +16,15 @@ def oracle():
     return oracle_connection(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, oracle, name):
-    problem = differences(spark, oracle, SMALL, name, queries()[name], oracle_sql()[name])
+    problem = differences(spark, oracle, SMALL, name, QUERIES[name], ORACLES[name])
     assert problem is None or (problem == "EMPTY" and name in MAY_BE_EMPTY), problem
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
