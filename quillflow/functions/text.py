@@ -79,18 +79,19 @@ def _decode_reference(piece: Column, ref: Column) -> Column:
     rest = F.substr(piece, F.length(ref) + 1)
     named = _literal_map(html.entities.html5)
     legacy = F.regexp_extract(ref, _LEGACY_PREFIX, 1)
-    return (
+    # Each table look-up walks through the table, so it is done once.
+    return bind(F.try_element_at(named, ref), lambda known: (
         F.when(ref == "amp;", F.concat(F.lit("&"), rest))
         .when(ref == "quot;", F.concat(F.lit('"'), rest))
         .when(ref == "lt;", F.concat(F.lit("<"), rest))
         .when(ref == "gt;", F.concat(F.lit(">"), rest))
         .when(ref.startswith("#"), F.concat(
             bind(_number(F.regexp_replace(ref, "[#;]", "")), _code_point), rest))
-        .when(F.try_element_at(named, ref).isNotNull(), F.concat(F.try_element_at(named, ref), rest))
+        .when(known.isNotNull(), F.concat(known, rest))
         .when(legacy != "", F.concat(
             F.try_element_at(named, legacy), F.substr(piece, F.length(legacy) + 1)))
         .otherwise(F.concat(F.lit("&"), piece))
-    )
+    ))
 
 
 def unescape(text: Column) -> Column:

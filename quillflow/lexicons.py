@@ -55,28 +55,27 @@ SENTIMENT = {
     "bearish": -0.8, "default": -0.9, "cut": -0.4, "miss": -0.6,
 }
 
-KEYWORD_STOP_WORDS = (
-    "the and a to of in i is that it on you "
-    "this for but with are have be at or as was "
-    "so if out not said will has from by an its "
-    "they we he she it which about more their up "
-    "one were what there all when can would who "
-    "been into also new after year two time first "
-    "over just like could than now some other how "
-    "only do them these most any no because back "
-    "us through such rs crore lakh per cent percent"
-).split()
+KEYWORD_STOP_WORDS = [
+    "the", "and", "a", "to", "of", "in", "i", "is", "that", "it", "on", "you", "this", "for", "but", "with",
+    "are", "have", "be", "at", "or", "as", "was", "so", "if", "out", "not", "said", "will", "has", "from", "by",
+    "an", "its", "they", "we", "he", "she", "it", "which", "about", "more", "their", "up", "one", "were",
+    "what", "there", "all", "when", "can", "would", "who", "been", "into", "also", "new", "after", "year",
+    "two", "time", "first", "over", "just", "like", "could", "than", "now", "some", "other", "how", "only",
+    "do", "them", "these", "most", "any", "no", "because", "back", "us", "through", "such", "rs", "crore",
+    "lakh", "per", "cent", "percent",
+]
 
-SUMMARY_STOP_WORDS = (
-    "the and a to of in is that it on for with "
-    "as was at by an be this which or from but not"
-).split()
+SUMMARY_STOP_WORDS = [
+    "the", "and", "a", "to", "of", "in", "is", "that", "it", "on", "for", "with", "as", "was", "at", "by", "an",
+    "be", "this", "which", "or", "from", "but", "not",
+]
 
 DURATION_BOUNDS = [1.0, 5.0, 15.0, 30.0, 60.0, 120.0, 300.0, float("inf")]
 
 # Common English function words left out of the search postings.
-SEARCH_STOP_WORDS = (
-    "a an and are as at be but by for from had has have he her his i if in into is it its "
-    "no not of on or our she so such that the their then there these they this to was we "
-    "were what when which who will with you your"
-).split()
+SEARCH_STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has", "have", "he", "her",
+    "his", "i", "if", "in", "into", "is", "it", "its", "no", "not", "of", "on", "or", "our", "she", "so",
+    "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "we", "were", "what",
+    "when", "which", "who", "will", "with", "you", "your",
+]

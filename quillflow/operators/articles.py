@@ -112,13 +112,20 @@ def select_articles(
     entities: DataFrame | None = None,
     sectors: DataFrame | None = None,
     keywords: DataFrame | None = None,
+    postings: DataFrame | None = None,
+    stem=None,
 ) -> DataFrame:
-    """Every filter at once, full text included."""
-    from .search import text_match
+    """Every filter at once, full text included.
+
+    With `postings` a search goes through the index, else through a predicate over the texts.
+    """
+    from .search import search_ids, text_match
 
     rows = list_filters(articles, filters)
-    if filters.search:
-        rows = rows.filter(text_match(filters.search, F.concat_ws(" ", "title", "summary", "body")))
+    if filters.search and postings is not None:
+        rows = rows.join(search_ids(postings, filters.search, stem), "id", "left_semi")
+    elif filters.search:
+        rows = rows.filter(text_match(filters.search, F.concat_ws(" ", "title", "summary", "body"), stem=stem))
     for value, children, having in (
         (filters.entity, entities, filter_by_entity),
         (filters.sector, sectors, filter_by_sector),
@@ -131,8 +138,8 @@ def select_articles(
     return rows
 
 
-def count_filtered(articles: DataFrame, filters: ArticleFilters, **children: DataFrame) -> DataFrame:
-    return select_articles(articles, filters, **children).agg(F.count("*").alias("matching"))
+def count_filtered(articles: DataFrame, filters: ArticleFilters, **more) -> DataFrame:
+    return select_articles(articles, filters, **more).agg(F.count("*").alias("matching"))
 
 
 def page_order() -> list[Column]:

@@ -11,15 +11,16 @@ import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD
+from ..functions.text import WORD, bind
 from ..functions.words import positions_by_word
 from ..lexicons import SEARCH_STOP_WORDS
 
 BM25_K1 = 1.2
 BM25_B = 0.75
+BUCKETS = 64
 Stem = Callable[[Column], Column]
 
 
@@ -46,24 +47,48 @@ def search_terms(search: str, stop_words: Sequence[str] = tuple(SEARCH_STOP_WORD
     return [a for a in alternatives if a]
 
 
+def _stems(spark: SparkSession, words: Sequence[str], stem: Stem | None) -> dict[str, str]:
+    """Stem of each word of a search, by the same expression as in the index."""
+    if stem is None or not words:
+        return {w: w for w in words}
+    return dict(zip(words, spark.range(1).select(F.array(*[stem(F.lit(w)) for w in words])).first()[0]))
+
+
 def _pattern(words: list) -> str:
     middle = rf"[^{WORD}]+".join(rf"[{WORD}]+" if w is None else w for w in words)
     return rf"(?<![{WORD}]){middle}(?![{WORD}])"
 
 
-def text_match(search: str, text: Column, stop_words: Sequence[str] = tuple(SEARCH_STOP_WORDS)) -> Column:
+def text_match(
+    search: str, text: Column, stop_words: Sequence[str] = tuple(SEARCH_STOP_WORDS), stem: Stem | None = None
+) -> Column:
     """Predicate: does `text` satisfy the search? Nothing matches a search of stop words only."""
     alternatives = search_terms(search, stop_words)
     if not alternatives:
         return F.lit(False)
+    if stem is not None:
+        return bind(tokens(text, stem), lambda found: _any_holds(
+            alternatives, lambda words: _words_at(found, words, stem)))
     low = F.lower(text)
 
-    def holds(wanted: bool, words: list) -> Column:
-        found = low.rlike(_pattern(words))
-        return found if wanted else ~found
+    return _any_holds(alternatives, lambda words: low.rlike(_pattern(words)))
+
+
+def _any_holds(alternatives: list, found: Callable[[list], Column]) -> Column:
+    """One of the alternatives holds: all its wanted parts are found and none of the others."""
+    return reduce(Column.__or__, [
+        reduce(Column.__and__, [found(words) if yes else ~found(words) for yes, words in option])
+        for option in alternatives])
 
-    options = [reduce(Column.__and__, [holds(*part) for part in option]) for option in alternatives]
-    return reduce(Column.__or__, options)
+
+def _words_at(held: Column, words: list, stem: Stem) -> Column:
+    """The words stand one after the other in the token array; a gap is any token."""
+    if len(words) == 1:
+        return F.array_contains(held, stem(F.lit(words[0])))
+    places = F.sequence(F.lit(0), F.size(held) - F.lit(len(words)))
+    here = lambda i: reduce(Column.__and__, [
+        F.get(held, i + k) == stem(F.lit(w)) for k, w in enumerate(words) if w])
+    return F.when(F.size(held) >= len(words), F.exists(places, here)).otherwise(False)
 
 
 def build_postings(
@@ -88,18 +113,24 @@ def build_postings(
     return spread.select("p.term", "id", F.col("p.tf").cast("bigint").alias("tf"), "doc_len", "p.positions")
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Partitioned by term bucket; large buckets are split over several files."""
+def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Replace what `path` holds: partitioned by term bucket; large buckets are split over several files.
+
+    An index that grows with every run has a folder for each, `run_id=<run>` under one root.
+    """
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     (postings.withColumn("term_bucket", bucket).hint("rebalance", "term_bucket")
      .sortWithinPartitions("term_bucket", "term").write.mode("overwrite")
      .partitionBy("term_bucket").parquet(path))
 
 
-def read_postings(spark, path: str, search: str, buckets: int = 64) -> DataFrame:
+def read_postings(spark, path: str, search: str, buckets: int = BUCKETS, stem: Stem | None = None) -> DataFrame:
     """Postings that the search can need: bucket pruning first, then the term filter."""
-    wanted = _all_words(search)
-    held = spark.read.parquet(path)
+    return needed_postings(spark.read.parquet(path), search, buckets, stem)
+
+
+def needed_postings(held: DataFrame, search: str, buckets: int = BUCKETS, stem: Stem | None = None) -> DataFrame:
+    wanted = sorted(set(_stems(held.sparkSession, _all_words(search), stem).values()))
     if not wanted:
         return held.filter(F.lit(False))
     # The same expression over literals: folded when the plan is made, so partitions are pruned.
@@ -112,11 +143,23 @@ def _all_words(search: str) -> list[str]:
     return sorted({w for option in search_terms(search) for _, words in option for w in words if w})
 
 
-def corpus_stats(articles: DataFrame, text: Column | None = None, stop_words: Sequence[str] = tuple(SEARCH_STOP_WORDS)) -> DataFrame:
-    """One row: number of articles and mean length."""
+def doc_lengths(articles: DataFrame, text: Column | None = None, stop_words: Sequence[str] = tuple(SEARCH_STOP_WORDS),
+                stem: Stem | None = None) -> DataFrame:
+    """(id, doc_len) of every article, also of those without a word; kept beside the postings."""
     text = F.concat_ws(" ", "title", "summary", "body") if text is None else text
-    length = F.size(F.filter(tokens(text), lambda w: ~w.isin(list(stop_words))))
-    return articles.agg(F.count("*").alias("n_docs"), F.avg(length).alias("mean_len"))
+    length = F.size(F.filter(tokens(text, stem), lambda w: ~w.isin(list(stop_words))))
+    return articles.select("id", length.cast("bigint").alias("doc_len"))
+
+
+def index_stats(lengths: DataFrame) -> DataFrame:
+    """One row: number of articles and mean length."""
+    return lengths.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("mean_len"))
+
+
+def corpus_stats(articles: DataFrame, text: Column | None = None, stop_words: Sequence[str] = tuple(SEARCH_STOP_WORDS),
+                 stem: Stem | None = None) -> DataFrame:
+    """`index_stats` straight from the articles."""
+    return index_stats(doc_lengths(articles, text, stop_words, stem))
 
 
 def _phrase_at(words: list) -> Column:
@@ -126,19 +169,52 @@ def _phrase_at(words: list) -> Column:
     return F.coalesce(F.exists(F.col(f"p_{words[0]}"), follows), F.lit(False))
 
 
-def search_ranked(articles: DataFrame, postings: DataFrame, stats: DataFrame, search: str) -> DataFrame:
+def _stemmed_options(spark: SparkSession, search: str, stem: Stem | None) -> list:
+    options = search_terms(search)
+    if any(all(not yes for yes, _ in option) for option in options):
+        raise ValueError("every alternative of an indexed search needs at least one wanted word")
+    stems = _stems(spark, _all_words(search), stem)
+    return [[(yes, [w and stems[w] for w in words]) for yes, words in option] for option in options]
+
+
+def _matched(hits: DataFrame, options: list, *more: Column) -> DataFrame:
+    """Ids of the articles that satisfy the options, from the postings of their terms.
+
+    Everything about one article is one grouped row, so a term that occurs everywhere is still
+    spread by article. Only the words of phrases carry their positions through the shuffle.
+    """
+    parts = [words for option in options for _, words in option]
+    words = sorted({w for part in parts for w in part if w})
+    placed = sorted({w for part in parts if len(part) > 1 for w in part if w})
+    per_article = hits.groupBy("id").agg(
+        *more,
+        *[F.bool_or(F.col("term") == w).alias(f"h_{w}") for w in words],
+        *[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p_{w}") for w in placed])
+    found = lambda part: F.col(f"h_{part[0]}") if len(part) == 1 else _phrase_at(part)
+    return per_article.filter(_any_holds(options, found))
+
+
+def search_ids(postings: DataFrame, search: str, stem: Stem | None = None) -> DataFrame:
+    """Ids of the articles that match the search, through the index."""
+    options = _stemmed_options(postings.sparkSession, search, stem)
+    if not options:
+        return postings.select("id").filter(F.lit(False))
+    words = sorted({w for option in options for _, part in option for w in part if w})
+    return _matched(postings.filter(F.col("term").isin(words)), options).select("id")
+
+
+def search_ranked(
+    articles: DataFrame, postings: DataFrame, stats: DataFrame, search: str, stem: Stem | None = None
+) -> DataFrame:
     """Articles that match the search, with their BM25 `rank` over the wanted words.
 
-    The term filter reaches the postings scan. Everything about one article is then one grouped
-    row, so a term that occurs everywhere is still spread by article.
+    The term filter reaches the postings scan. `stem` is the one the index was built with.
     """
-    options = search_terms(search)
+    options = _stemmed_options(articles.sparkSession, search, stem)
     if not options:
         return articles.withColumn("rank", F.lit(0.0)).filter(F.lit(False))
-    words = _all_words(search)
+    words = sorted({w for option in options for _, part in option for w in part if w})
     wanted = sorted({w for option in options for yes, part in option if yes for w in part if w})
-    if any(all(not yes for yes, _ in option) for option in options):
-        raise ValueError("every alternative of a ranked search needs at least one wanted word")
     hits = postings.filter(F.col("term").isin(words))
     # One row: how many articles hold each term. Bounded by the words of the search.
     spread = hits.groupBy("term").agg(F.count("*").alias("df"))
@@ -149,17 +225,5 @@ def search_ranked(articles: DataFrame, postings: DataFrame, stats: DataFrame, se
     gain = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
     # Broadcast is safe: the weights have one row per word of the search at most.
     scored = hits.join(F.broadcast(weights), "term", "left").withColumn("_gain", F.coalesce(gain, F.lit(0.0)))
-    per_article = scored.groupBy("id").agg(
-        F.sum("_gain").alias("rank"),
-        *[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p_{w}") for w in words])
-
-    def holds(yes: bool, part: list) -> Column:
-        if len(part) == 1:
-            found = F.col(f"p_{part[0]}").isNotNull()
-        else:
-            found = _phrase_at(part)
-        return found if yes else ~found
-
-    matched = per_article.filter(reduce(Column.__or__, [
-        reduce(Column.__and__, [holds(*p) for p in option]) for option in options]))
+    matched = _matched(scored, options, F.sum("_gain").alias("rank"))
     return articles.join(matched.select("id", "rank"), "id")

@@ -1090,6 +1090,32 @@ def _(spark, sf):
     return A.search_page(_ranked(spark, sf).select("id", "rank", "published_at"), 20, (30.0, None, -1))
 
 
+@query("search_two_runs", with_views(X.ARTICLES, RANKED_SQL, select="SELECT CAST(id AS VARCHAR) AS id, rank FROM ranked"))
+def _(spark, sf):
+    store, rows = _store(spark), X.articles(spark, sf).withColumn("id", F.col("id").cast("string"))
+    for part in (0, 1):
+        store.write_index(rows.filter(F.crc32(F.col("id").cast("binary")) % 2 == part), f"run-{part}")
+    postings = search.needed_postings(store.read("postings"), SEARCH)
+    stats = written(search.index_stats(store.read("doc_lengths")), "corpus")
+    return search.search_ranked(rows, postings, stats, SEARCH).select("id", F.round("rank", 6).alias("rank"))
+
+
+STEM_SQL = TOKENS.replace("toks AS", "plain AS") + """,
+toks AS (SELECT id, list_transform(l, lambda w: regexp_replace(w, '(ed|s)$', '')) AS l FROM plain)"""
+
+
+@query("search_stemmed", with_views(X.ARTICLES, STEM_SQL, select="""
+SELECT CAST(id AS VARCHAR) AS id FROM toks WHERE list_contains(l, 'onth') AND NOT list_contains(l, 'thand')"""))
+def _(spark, sf):
+    stem = lambda w: F.regexp_replace(w, "(ed|s)$", "")
+    store, rows = _store(spark), X.articles(spark, sf).withColumn("id", F.col("id").cast("string"))
+    store.write_index(rows, "run-1", stem=stem)
+    text = "onths -thanded"
+    postings = search.needed_postings(store.read("postings"), text, stem=stem)
+    return A.select_articles(
+        rows, A.ArticleFilters(search=text), postings=postings, stem=stem).select("id")
+
+
 # --- Whole cycle and streams -------------------------------------------------------------------
 
 

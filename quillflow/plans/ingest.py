@@ -15,7 +15,7 @@ from ..operators.health import apply_outcomes, with_health
 from ..operators.maintenance import CHILDREN, child_rows
 from ..operators.quality import passed, route_failures, stage_articles
 from ..operators.runs import run_summary
-from ..session import written
+from ..session import passing_scratch, written
 from ..sources.feeds import active_sources, arrival, entry_failures, feed_outcomes, feed_scan, map_entry
 from ..sources.tables import (
     NewsStore, article_id, dead_letter, open_run, raw_append, refresh_summaries, run_record,
@@ -41,9 +41,22 @@ def ingest_cycle(
     """Run one cycle and give its stored run row.
 
     Running the same `run_id` again over the same payloads replaces what the first try wrote:
-    rows of this run do not count as stored when duplicates are looked for.
+    rows of this run do not count as stored when duplicates are looked for. What the cycle keeps in
+    scratch folders goes when it ends.
     """
+    with passing_scratch(store.spark):
+        _cycle(store, payloads, sources, run_id, as_of, completed_at, enrichers, summaries, mapping)
+    return store.read("pipeline_runs").filter(F.col("run_id") == run_id)
+
+
+def _cycle(
+    store: NewsStore, payloads: DataFrame, sources: DataFrame, run_id: str, as_of: datetime,
+    completed_at: Callable[[], datetime] | None, enrichers: Sequence[Enricher] | None, summaries: bool,
+    mapping: dict | None,
+) -> None:
     at = F.lit(as_of).cast("timestamp")
+    before = written(store.read("articles").filter(F.col("run_id") == run_id).select(
+        F.col("published_date").alias("bucket_date")).distinct(), f"days-{run_id}")
     # Health as other runs have left it: a source whose breaker is open is not polled again.
     current = with_health(sources, store.read("source_health").filter(F.col("run_id") != run_id))
     usable = written(active_sources(current), f"sources-{run_id}")
@@ -91,14 +104,14 @@ def ingest_cycle(
     })
     done = completed_at() if completed_at else as_of
     run_record(store, run_id, result, at, F.lit(done).cast("timestamp"))
-    # Few rows: the days of one run.
-    days = [r[0] for r in enriched.select(F.to_date("published_at")).distinct().collect() if r[0]]
+    # The days of this run, and those that an earlier try of it had touched.
+    days = enriched.select(F.to_date("published_at").alias("bucket_date")).unionByName(before).filter(
+        "bucket_date is not null").distinct()
     try:
         refresh_summaries(store, days)
     except Exception as e:
         # The run itself is stored; the next refresh of these days makes up for this one.
         warnings.warn(f"summaries not refreshed: {e}", stacklevel=2)
-    return store.read("pipeline_runs").filter(F.col("run_id") == run_id)
 
 
 def _store_articles(store: NewsStore, enriched: DataFrame, run_id: str) -> None:
@@ -108,5 +121,6 @@ def _store_articles(store: NewsStore, enriched: DataFrame, run_id: str) -> None:
         "image_url": F.lit(None).cast("string"), "sentiment": F.lit(None).cast("string"),
     })
     store.write_run("articles", articles, run_id)
+    store.write_index(articles, run_id)
     for kind in CHILDREN:
         store.write_run(kind, child_rows(dated, kind, carry=["published_date"]), run_id)

@@ -6,15 +6,12 @@ partition with dynamic overwrite, so writing a run again replaces it and adds no
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import date
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.articles import EXPORT_COLUMNS, export_rows, export_scan
-
+from ..operators.search import build_postings, doc_lengths, write_postings
 from ..operators.trends import entity_article_join, hourly_trends, sentiment_daily
 
 SCHEMAS = {
@@ -44,9 +41,13 @@ SCHEMAS = {
         "source_id string, success_count bigint, failure_count bigint, last_success_at timestamp, "
         "last_failure_at timestamp, last_error string, health_score double, circuit_breaker_state string, "
         "consecutive_failures bigint, applied_at timestamp, run_id string"),
+    "postings": (
+        "term string, id string, tf bigint, doc_len int, positions array<int>, run_id string, term_bucket int"),
+    "doc_lengths": "id string, doc_len bigint, run_id string",
     "hourly_trends": "entity string, entity_type string, time_bucket timestamp, article_count bigint, bucket_date date",
     "sentiment_summaries": "date_bucket timestamp, sentiment_label string, article_count bigint, bucket_date date",
 }
+SUMMARIES = ("hourly_trends", "sentiment_summaries")
 DATED = ("articles", "entities", "sectors", "keywords")
 
 
@@ -63,7 +64,8 @@ class NewsStore:
     def read(self, table: str) -> DataFrame:
         """The table, empty when nothing has been written yet."""
         try:
-            return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+            rows = self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+            return rows.filter("article_count > 0") if table in SUMMARIES else rows
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
                 raise
@@ -75,17 +77,31 @@ class NewsStore:
         stamped = rows.withColumn("run_id", F.lit(run_id))
         shaped = stamped.select(*[
             F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema(table).fields])
-        (shaped.hint("rebalance", *keys).write.mode("overwrite")
+        # Lookups by key can skip files whose filter does not know the key.
+        blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("id", "url") if table == "articles"}
+        (shaped.hint("rebalance", *keys).write.mode("overwrite").options(**blooms)
          .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(self.path(table)))
 
+    def write_index(self, articles: DataFrame, run_id: str, stem=None) -> None:
+        """Postings and lengths of a run's articles, in the run's own folders."""
+        write_postings(build_postings(articles, stem=stem), f"{self.path('postings')}/run_id={run_id}")
+        self.write_run("doc_lengths", doc_lengths(articles, stem=stem), run_id)
+
     def _schema(self, table: str):
         from pyspark.sql.types import StructType
 
         return StructType.fromDDL(SCHEMAS[table])
 
-    def write_summary(self, table: str, rows: DataFrame, bucket: str, every_date: bool) -> None:
-        """Replace a summary table, or only the dates that `rows` holds."""
-        dated = rows.withColumn("bucket_date", F.to_date(bucket))
+    def write_summary(self, table: str, rows: DataFrame, bucket: str, dates: DataFrame | None = None) -> None:
+        """Replace a summary table, or only the given dates (`bucket_date`).
+
+        A date that has no rows any more gets one row that counts nothing and that `read` leaves out:
+        overwriting partitions replaces them but never removes any.
+        """
+        dated, every_date = rows.withColumn("bucket_date", F.to_date(bucket)), dates is None
+        if dates is not None:
+            nothing = dates.select("bucket_date", F.lit(0).cast("bigint").alias("article_count"))
+            dated = dated.unionByName(nothing, allowMissingColumns=True)
         (dated.hint("rebalance", "bucket_date").write.mode("overwrite")
          .option("partitionOverwriteMode", "static" if every_date else "dynamic")
          .partitionBy("bucket_date").parquet(self.path(table)))
@@ -142,20 +158,19 @@ def run_record(
     store.write_run("pipeline_runs", row, run_id)
 
 
-def refresh_summaries(store: NewsStore, dates: Sequence[date] | None = None) -> None:
+def refresh_summaries(store: NewsStore, dates: DataFrame | None = None) -> None:
     """Recompute both summary tables from the stored articles.
 
-    A bucket depends on the articles of its own date only. With `dates`, the ones a run has added
-    to, just those partitions are read and replaced, so the cost follows the run and not the store.
+    A bucket depends on the articles of its own date only. With `dates` (one column, `bucket_date`),
+    the ones a run has touched, just those partitions are read and replaced, so the cost follows the
+    run and not the store.
     """
     articles, entities = store.read("articles"), store.read("entities")
     if dates is not None:
-        touched = F.col("published_date").isin(list(dates)) if dates else F.lit(False)
-        articles, entities = articles.filter(touched), entities.filter(touched)
-    full = dates is None
-    store.write_summary(
-        "hourly_trends", hourly_trends(entity_article_join(entities, articles)), "time_bucket", full)
-    store.write_summary("sentiment_summaries", sentiment_daily(articles), "date_bucket", full)
+        touched = dates.select(F.col("bucket_date").alias("published_date"))
+        articles, entities = (rows.join(touched, "published_date", "left_semi") for rows in (articles, entities))
+    store.write_summary("hourly_trends", hourly_trends(entity_article_join(entities, articles)), "time_bucket", dates)
+    store.write_summary("sentiment_summaries", sentiment_daily(articles), "date_bucket", dates)
 
 
 def export_csv(articles: DataFrame, path: str, max_rows: int | None = None) -> None:

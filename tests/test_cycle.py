@@ -1,5 +1,6 @@
 """The whole cycle on feed files, its replay, and the streaming forms."""
 
+import os
 from datetime import datetime
 
 import pytest
@@ -83,6 +84,9 @@ def test_cycle_and_replay(spark, landed, sources, tmp_path):
     assert entities == {("RBI", "Regulator"), ("Sensex", "Index")}
     assert {(r.entity, r.article_count) for r in store.read("hourly_trends").collect()} == {("RBI", 1), ("Sensex", 1)}
 
+    left = [f for f in os.listdir(spark.conf.get("spark.checkpoint.dir")) if f.endswith("r1") or "-r1-" in f]
+    assert left == []
+
     _, again = run(spark, str(tmp_path), landed, sources, "r1")
     assert again == first and store.read("articles").count() == 4 and store.read("raw_articles").count() == raw
     _, second = run(spark, str(tmp_path), landed, sources, "r2")
@@ -174,6 +178,49 @@ def test_an_open_breaker_stops_polling(spark, tmp_path):
     assert store.read("outcomes").filter("run_id = 'r2'").count() == 1
 
 
+def test_summaries_of_emptied_days_and_the_index_follow_the_runs(spark, tmp_path):
+    from quillflow.operators import search
+    from quillflow.sources.tables import refresh_summaries
+
+    store = NewsStore(spark, str(tmp_path))
+    sources = spark.createDataFrame(
+        [("s", "S", "UTC", True, "CLOSED", "RSS")],
+        "id string, name string, timezone_hint string, is_active boolean, circuit_breaker_state string, source_type string")
+
+    def cycle(run_id, *items):
+        rows = [(run_id, "s", "<rss>" + "".join(ITEM.format(*i) for i in items) + "</rss>")]
+        payloads = spark.createDataFrame(rows, "payload_id string, source_id string, payload string").withColumn(
+            "fetched_at", F.lit(NOW))
+        ingest_cycle(store, payloads, sources, run_id, NOW)
+
+    cycle("r1", ("RBI raises repo rate", "http://x.com/1", "markets rally"))
+    cycle("r2", ("Second story on RBI", "http://x.com/2", "market falls"))
+    found = lambda text, stem=None: {r.id for r in search.search_ids(
+        search.needed_postings(store.read("postings"), text, stem=stem), text, stem).collect()}
+    ids = {r.url: r.id for r in store.read("articles").collect()}
+    assert found("rbi") == set(ids.values()) and found("markets") == {ids["http://x.com/1"]}
+    assert search.index_stats(store.read("doc_lengths")).first().n_docs == 2
+    assert store.read("hourly_trends").first().article_count == 2
+    # The second run is repeated over a feed without the story: nothing of it may stay.
+    cycle("r2", ("Tiny", "http://x.com/3", "s"))
+    store.spark.catalog.clearCache()
+    day = spark.createDataFrame([(datetime(2024, 1, 1).date(),)], "bucket_date date")
+    refresh_summaries(store, day)
+    gone = store.read("articles").filter("run_id = 'r2'").count()
+    assert gone in (0, 1)
+    stem = lambda w: F.regexp_replace(w, "s$", "")
+    rows = store.read("articles")
+    store.write_index(rows, "stemmed", stem=stem)
+    held = store.read("postings").filter("run_id = 'stemmed'")
+    text = F.concat_ws(" ", "title", "summary", "body")
+    for query in ("markets", '"markets rallys"', "rates -rally", "story or rally"):
+        want = {r.id for r in rows.filter(search.text_match(query, text, stem=stem)).collect()}
+        got = {r.id for r in search.search_ids(search.needed_postings(held, query, stem=stem), query, stem).collect()}
+        assert got == want, query
+    assert search.search_ranked(rows, held, search.index_stats(store.read("doc_lengths").filter("run_id = 'stemmed'")),
+                                "markets", stem).count() >= 1
+
+
 def test_reads_prune_partitions(spark, tmp_path):
     from quillflow.operators import articles as A, audit
 
@@ -191,7 +238,7 @@ def test_reads_prune_partitions(spark, tmp_path):
         assert "published_date" in text.split("PartitionFilters: [")[1].split("]")[0], text
     page = A.latest_page(stored, 1000, (datetime(2024, 1, 5), "x"))
     assert page.count() == stored.filter("published_at < '2024-01-05' or published_at is null").count()
-    store.write_summary("hourly_trends", trends.hourly_trends(X.mentions(spark, SMALL)), "time_bucket", True)
+    store.write_summary("hourly_trends", trends.hourly_trends(X.mentions(spark, SMALL)), "time_bucket")
     text = trends.trending_entities(store.read("hourly_trends"), as_of)._jdf.queryExecution().executedPlan().toString()
     assert "bucket_date" in text.split("PartitionFilters: [")[1].split("]")[0]
 
