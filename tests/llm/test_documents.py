@@ -1,0 +1,277 @@
+"""Secrets, near duplicates, line dedup, languages and fingerprints against plain versions."""
+
+import random
+import zlib
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from quillflow.llm import fingerprints, graph, langid, lines, neardup, secrets
+
+SCHEMA = "doc_id long, text string"
+
+
+def words(n, seed, vocabulary=500):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+def frame(spark, rows, schema=SCHEMA):
+    return brute.clashing(spark.createDataFrame(rows, schema)).repartition(3)
+
+
+# --- Secrets ---------------------------------------------------------------------------------------
+
+SECRET_TEXTS = [
+    None, "", "token: a token=abcdef", "token=token=abcdefgh", "token=token:secretvalue", 'API_KEY = "abc/def+12="',
+    "secrettoken=abcdefg", "passwd==abcdef", "Password'  :  'x.y-z_1", "AKIA" + "A" * 16, "AKIAAKIA" + "B" * 20,
+    "AKIA" + "A" * 15, "x" + "0f" * 12 + "g", "f" * 23, "é" * 7 + "apikey=" + "0a" * 20 + " é AKIA" + "0" * 30,
+    "token=" + "ab" * 60_000, "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 20, "token token token=abcdef=token:x",
+    "a\nsecret\n=abcdef", "password=" + "deadbeef" * 4 + ",token=abcdef", "key AIza" + "x" * 40]
+
+
+def test_secrets_on_random_texts_and_edges(spark):
+    rng = random.Random(3)
+    parts = ["token", "=", ":", " ", '"', "'", "abcdef", "AKIA", "A1", "0f", "secret", "api", "_", "key", "passwd", "\n", "é", ",",
+             "deadbeefdeadbeefdeadbeef", "."]
+    texts = SECRET_TEXTS + ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    rows = frame(spark, list(enumerate(texts)) + [(3, texts[3]), (None, texts[9])])
+    got = secrets.digests(rows).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        found = brute.secret_spans(texts[r["doc_id"] if r["doc_id"] is not None else 9] or "")
+        assert r["base_sha256"] == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in found)), texts[r["doc_id"]]
+        for kind in ("assign", "access", "hex"):
+            assert r[f"n_{kind}"] == sum(k == kind for k, _, _ in found)
+        told = set(filter(None, r["spans"].split(",")))
+        assert {f"{k}:{a}:{b}" for k, a, b in found} <= told
+
+
+def test_more_rules_and_redaction(spark):
+    rows = frame(spark, [(1, "é -----BEGIN EC PRIVATE KEY----- x"), (2, "ghp_" + "a" * 36 + " é"), (3, None), (4, "plain")])
+    got = {r["doc_id"]: r for r in secrets.scan(rows, redact=True).collect()}
+    assert got[1]["text"] == "é [private_key] x" and got[2]["text"] == "[code_host] é"
+    assert got[3]["text"] is None and got[3]["spans"] == [] and got[4]["text"] == "plain"
+    assert got[1]["rank"] == "x" and got[1]["spans"][0]["start"] == 2
+
+
+def test_automaton_is_minimal_and_rejects_empty_matches():
+    small = secrets.Automaton([secrets._Parser("ab|cb").parse()], searching=False)
+    assert len(small.table) == 4  # start, after a or c, end, dead end
+    with pytest.raises(ValueError):
+        secrets.Scanner((secrets.Rule("any", "a*"),))
+
+
+def test_no_documents(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert secrets.digests(none).count() == 0
+    assert neardup.near_duplicates(none).count() == 0
+    assert fingerprints.edited(none, 8).count() == 0
+    assert langid.digests(none.withColumn("lang", F.lit("en"))).count() == 0
+
+
+# --- Near duplicates -------------------------------------------------------------------------------
+
+
+def near_rows():
+    rows, rng = [], random.Random(8)
+    for group in range(12):
+        base = words(rng.choice([5, 9, 40, 120]), group)
+        for _ in range(rng.randrange(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows) * 7 % 1009, " ".join(copy)))
+    rows += [(2000, None), (2001, ""), (2002, " \t\n"), (2003, "one Two"), (2004, "ONE two "), (2005, "a b c d"),
+             (2006, "a b c d e"), (2007, " ".join(words(20_000, 1, 10**6))), (2007, " ".join(words(20_000, 1, 10**6)))]
+    return rows
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rows = near_rows()
+    want = brute.near_components(rows)
+    got = neardup.near_duplicates(frame(spark, rows + [(None, "one two")])).collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+        else:
+            assert r["component_id"] == want[r["doc_id"]] and r["kept"] == (want[r["doc_id"]] == r["doc_id"])
+    sizes = {r["doc_id"]: r["n_shingles"] for r in got}
+    assert all(sizes[d] == len(brute.shingle_set(t)) for d, t in rows)
+    assert want[2004] == 2003  # equal but for case
+
+
+def test_large_pools_are_cut_without_losing_links(spark, monkeypatch):
+    """One pool of many blocks and size classes."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup.meetings, "__defaults__", (8,))
+    rng, rows = random.Random(4), []
+    base = words(120, 99)
+    for i in range(150):
+        copy = list(base[:rng.randrange(70, 121)])
+        for _ in range(rng.randrange(0, 4)):
+            copy[rng.randrange(len(copy))] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    want = brute.near_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want and len(set(want.values())) > 1
+
+
+def test_odd_sketch_estimates_high_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = np.sort(rng.integers(0, 1 << 63, 2000, dtype=np.uint64))
+    for share in (0.75, 0.85, 0.95, 1.0):
+        n = round(2000 * (1 - share) / (1 + share))
+        other = np.concatenate([base[n:], rng.integers(0, 1 << 63, n, dtype=np.uint64)])
+        sketches = neardup.odd_sketches(np.stack([neardup.minhash(base), neardup.minhash(other)]))
+        assert abs(neardup.estimates(sketches[:1], sketches[1:])[0, 0] - share) < 0.12
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 99), (99, 98), (5, 5), (200, 201), (201, 202), (202, 200)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 98: 98, 99: 98, 100: 98, 200: 200, 201: 200, 202: 200}
+
+
+# --- Lines -----------------------------------------------------------------------------------------
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.choice(["menu", " menu ", "", "foot", f"own {i}", f"l{rng.randrange(30)}"]) for _ in range(6)),
+             rng.choice(["hot"] * 5 + ["s1", "s2", None])) for i in range(400)]
+    rows += [(1000, None, "hot"), (1001, "", "s1"), (1002, "menu\nmenu", "hot"), (1003, "menu", "alone"), (0, rows[0][1], rows[0][2]),
+             (None, "menu\nx", "hot"), (1004, "menu\n" + "y" * 200_000, "hot")]
+    got = lines.drop_boilerplate(frame(spark, rows, SCHEMA + ", host string"), "host", "text", ratio=0.3)
+    want = brute.without_boilerplate([(s, t) for _, t, s in rows], 0.3, lines.LEAST_PAGES)
+    key = lambda d, t: (d is not None, d or 0, t is not None, t or "")
+    assert sorted(key(r["doc_id"], r["text"]) for r in got.collect()) == sorted(key(d, t) for (d, _, _), t in zip(rows, want))
+    assert got.where("dropped_lines > 0").count() > 100 and set(brute.CLASH) <= set(got.columns)
+
+
+def test_pages(spark):
+    html = "<html><head><script>x<p>y</script><style>p{}</style></head><body><nav>Home</nav><!-- a <p> b -->"
+    rows = [(i, f"http://A.example/{i}", f"{html}<p>Text <b>{i}</b><br>more {i}</p></body>") for i in range(10)]
+    rows += [(10, None, "<p>Home</p>"), (11, "no url", None), (12, "http://a.example", "")]
+    got = {r["page_id"]: r for r in lines.page_lines(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3]["host"] == "a.example" and got[3]["text"].strip() == "Text 3\nmore 3" and got[3]["dropped_lines"] == 1
+    assert got[10]["text"].strip() == "Home" and got[11]["text"] is None and got[12]["text"] == ""
+
+
+# --- Languages -------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def network(spark):
+    rng, syllables = random.Random(2), {"aa": ["tion", "the", "ing", "er"], "bb": ["eux", "é", "ou", "que"], "cc": ["sch", "ü", "ung", "ein"]}
+    texts, labels = [], []
+    for k, (_, parts) in enumerate(sorted(syllables.items())):
+        for _ in range(60):
+            text = " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(40))
+            texts.append(text)
+            labels.append(k)
+    return texts, labels, langid.train([t.encode() for t in texts], labels, ["aa", "bb", "cc"], steps=120)
+
+
+def test_gradients_match_differences():
+    import numpy as np
+
+    net = langid.Network(["a", "b"], hidden=3, seed=1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x = np.random.default_rng(0).integers(97, 103, (5, 4)).astype(np.uint8)
+    label = np.array([0, 1, 1, 0])
+    states = net.states
+
+    def exact(x, way, keep=False):
+        return states(x, way, keep)
+
+    _, grads = net.gradients(x, label)
+    for name in ("Uf", "Ub", "W", "c", "bf", "bb"):
+        value = net.p[name]
+        for place in list(np.ndindex(value.shape))[:6]:
+            old, losses = value[place], []
+            for step in (1e-3, -1e-3):
+                value[place] = old + step
+                losses.append(net.gradients(x, label)[0])
+            value[place] = old
+            assert abs((losses[0] - losses[1]) / 2e-3 - grads[name][place]) < 2e-3
+
+
+def test_languages(spark, network):
+    texts, labels, net = network
+    rows = list(enumerate(texts)) + [(900, None), (901, ""), (902, "123 -- !"), (903, texts[0] * 100), (0, texts[0]), (None, texts[70])]
+    got = langid.predict(frame(spark, rows), net).collect()
+    assert len(got) == len(rows)
+    right = sum(r["lang_pred"] == net.languages[labels[r["doc_id"]]] for r in got if r["doc_id"] is not None and r["doc_id"] < 900)
+    assert right >= 0.97 * len(texts)
+    by_id = {r["doc_id"]: r for r in got}
+    assert all((by_id[i]["lang_pred"], by_id[i]["score"]) == ("und", 0.0) for i in (900, 901, 902))
+    assert by_id[903]["lang_pred"] == by_id[0]["lang_pred"] and by_id[None]["lang_pred"] == "bb"
+    assert all(0 <= r["score"] <= 1 and r["part"] == "x" for r in got)
+
+
+def test_batches_do_not_change_predictions(network):
+    import numpy as np
+
+    texts, _, net = network
+    data = [t.encode() for t in texts[:20]] + [b""]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in data])])
+    whole = langid.document_probabilities(net, np.frombuffer(b"".join(data), np.uint8), offsets)
+    for i, own in enumerate(data[:5]):
+        one = langid.document_probabilities(net, np.frombuffer(own, np.uint8), np.array([0, len(own)]))
+        assert np.allclose(whole[i], one[0], atol=1e-4)
+
+
+def test_no_labels_means_undetermined(spark):
+    rows = frame(spark, [(1, "some text", None), (2, None, "en")], SCHEMA + ", lang string")
+    assert {r["lang_pred"] for r in langid.digests(rows).collect()} == {"und"}
+
+
+def test_held_out_is_by_checksum(spark):
+    got = spark.range(50).select("id", langid.held_out("id").alias("h")).collect()
+    assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)
+
+
+# --- Fingerprints ----------------------------------------------------------------------------------
+
+
+def test_edited_documents(spark):
+    rows = [(i * 3, " ".join(words(random.Random(i).randrange(0, 400), i))) for i in range(60)]
+    rows += [(1000, None), (1001, "é日本 ü"), (1002, "x"), (1003, " ".join(words(30_000, 5)))]
+    for parts in (1, 8, 64):
+        got = {r["doc_id"]: r for r in fingerprints.edited(frame(spark, rows), parts).collect()}
+        assert len(got) == len(rows)
+        for i, (doc_id, text) in enumerate(rows):
+            text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
+            half = len(text) // 2
+            edited = text[:len(text) - half] + after[:half]
+            r = got[doc_id]
+            assert r["n_chars"] == len(text) and r["edited_sha256"] == brute.sha(edited)
+            a, b = brute.shingle_set(text), brute.shingle_set(edited)
+            true = len(a & b) / len(a | b) if a | b else 1.0
+            assert abs(r["near_edited"] - true) < 0.15 and 0 <= r["near_next"] <= 1
+
+
+def test_repeated_and_null_ids_keep_their_rows(spark):
+    rows = [(None, "a b"), (None, "c d"), (5, "e f"), (5, "e f"), (5, "g h"), (7, "last one")]
+    for parts in (1, 12):
+        got = fingerprints.edited(frame(spark, rows), parts).collect()
+        assert sorted(r["doc_id"] or -1 for r in got) == [-1, -1, 5, 5, 5, 7]
+        assert len({r["fingerprint"] for r in got}) == 5  # equal texts have equal fingerprints
+
+
+def test_sketch_estimates(spark):
+    a, b = words(4000, 1, 10**6), words(4000, 2, 10**6)
+    rows = spark.createDataFrame([(" ".join(a + b), " ".join(a), " ".join(b), "")], "ab string, a string, b string, n string")
+    s = {c: fingerprints.fingerprint(F.col(c)) for c in ("ab", "a", "b", "n")}
+    r = rows.select(
+        fingerprints.distinct_count(s["ab"]).alias("n"), fingerprints.resemblance(s["ab"], s["a"]).alias("j"),
+        fingerprints.containment(s["a"], s["ab"]).alias("c"), fingerprints.containment(s["n"], s["a"]).alias("e"),
+        fingerprints.resemblance(s["n"], s["a"]).alias("z"), fingerprints.resemblance(s["n"], s["n"]).alias("o"),
+        fingerprints.resemblance(fingerprints.merged(s["a"], s["b"]), s["ab"]).alias("m")).first()
+    assert abs(r["n"] / 8000 - 1) < 0.25 and abs(r["j"] - 0.5) < 0.12 and r["c"] > 0.8
+    assert (r["e"], r["z"], r["o"]) == (1.0, 0.0, 1.0) and r["m"] > 0.97
