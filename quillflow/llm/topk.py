@@ -21,6 +21,7 @@ K = 5
 SCALE = 256
 VECTORS = 4096  # vectors in a block of the index
 QUERIES = 512  # queries in a block
+BLOCK_WIDTH = 64  # components at which a block is full; of longer vectors it has fewer
 # Lower ends of the impact segments as shares of a block's largest impact, from high to low.
 SEGMENTS = (0.5, 0.35, 0.25, 0.15, 0.08, 0.0)
 FEW = 64  # possible members of a query, on average, below which exact scoring takes over
@@ -73,7 +74,7 @@ def _blocks(vectors: DataFrame, most: int, index: bool) -> DataFrame:
             for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist()):
                 ids.append(i)
                 rows.append(v)
-                if len(ids) == most:
+                if len(ids) == most or len(ids) * len(v) >= most * BLOCK_WIDTH:
                     yield block(task, number, ids, rows)
                     number, ids, rows = number + 1, [], []
         if ids:
