@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 RATIO = 0.1
 LEAST_PAGES = 3
 
@@ -65,7 +67,7 @@ def drop_boilerplate(
 BLOCKS = (
     "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|"
     "li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul")
-HIDDEN = (r"<script[^>]*>.*?</script>", r"<style[^>]*>.*?</style>", r"<!--.*?-->")
+HIDDEN = r"<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 BLOCK = rf"</?({BLOCKS})(/|[ \t\r\n][^>]*)?>"
 TAG = r"<[^>]*>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
@@ -73,8 +75,7 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
 
 def shown_lines(html: Column) -> Column:
     """The text of a page with one line per block element; entities stay as they are written."""
-    for pattern in HIDDEN:
-        html = F.regexp_replace(html, f"(?is){pattern}", " ")
+    html = F.regexp_replace(html, f"(?is){HIDDEN}", " ")
     html = F.regexp_replace(html, f"(?is){BLOCK}", "\n")
     html = F.regexp_replace(html, f"(?is){TAG}", "")
     return F.regexp_replace(html, "[ \t\r]*\n[ \t\r\n]*", "\n")
@@ -88,14 +89,15 @@ def host(url: Column) -> Column:
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """page_id, host, text without the host's boilerplate lines, dropped_lines of (page_id, url, html)."""
-    rows = pages.select("page_id", host(F.col("url")).alias("host"), shown_lines(F.col("html")).alias("text"))
+    # Read twice, by the counts and by the result: written once, so that no page is taken apart twice.
+    rows = written(
+        pages.select("page_id", host(F.col("url")).alias("host"), shown_lines(F.col("html")).alias("text")), "lines")
     return drop_boilerplate(rows, "host", "text")
 
 
 def _sql() -> str:
     text = "html"
-    for pattern in HIDDEN:
-        text = f"regexp_replace({text}, '{pattern}', ' ', 'gis')"
+    text = f"regexp_replace({text}, '{HIDDEN}', ' ', 'gis')"
     text = f"regexp_replace({text}, '{BLOCK}', chr(10), 'gis')"
     text = f"regexp_replace({text}, '{TAG}', '', 'gis')"
     blank = "'[ ' || chr(9) || chr(13) || ']*' || chr(10) || '[ ' || chr(9) || chr(13) || chr(10) || ']*'"
