@@ -24,9 +24,10 @@ from .common import slices, text_bytes
 
 HIDDEN = 8
 WINDOW = 128  # bytes that are read in one go; the state starts anew in each window
-LANES = 8192
-BATCH_BYTES = 4 << 20
+LANES = 4096
+BATCH_BYTES = 2 << 20
 SAMPLE = 1500  # training documents, chosen by a hash of doc_id
+PIECE = 20_000  # code points of a training text that are used
 TRAIN_WINDOW = 48
 TRAIN_BATCH = 96
 STEPS = 500
@@ -138,7 +139,6 @@ class Network:
 def train(texts: list[bytes], labels: list[int], languages: list[str], steps: int = STEPS, seed: int = 7) -> Network:
     """Adam on random windows of the texts; every window's positions have its text's language."""
     net, rng = Network(languages, seed=seed), np.random.default_rng(seed)
-    net.steps = steps
     arrays = [np.frombuffer(t, np.uint8) for t in texts]
     by_label = [[i for i, x in enumerate(labels) if x == k] for k in range(len(languages))]
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -185,11 +185,19 @@ def document_probabilities(net: Network, data: np.ndarray, offsets: np.ndarray)
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Network | None:
-    """Train on at most `sample` rows of (doc_id, text, lang) with a language and a text, those with the smallest
-    hashes of doc_id and text. None without any such row."""
-    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    chosen = known.select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "lang").limit(sample)
-    rows = chosen.select(F.substring("text", 1, 20_000).alias("text"), "lang").collect()
+    """Train on about `sample` rows of (doc_id, text, lang) with a language and a text, at most that many, with the
+    smallest hashes. None without any such row.
+
+    A count over the narrow columns gives the share of rows that is looked at, so that the tasks together
+    send little more than the sample to the driver. Of a long text one piece takes part, from a hashed place.
+    """
+    known = documents.where(F.col("lang").isNotNull())
+    share = min(1.0, 1.5 * sample / max(1, known.select("doc_id").count()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    rows = known.where(place < int(share * (1 << 30))).where(F.length("text") > 0).withColumn(
+        "h", F.xxhash64("doc_id", "text"))
+    piece = F.substring("text", F.pmod("h", F.greatest(F.length("text") - PIECE, F.lit(0)) + 1).cast("int") + 1, PIECE)
+    rows = rows.select("h", "lang", piece.alias("text")).orderBy("h", "lang").limit(sample).collect()
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
