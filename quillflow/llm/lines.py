@@ -46,7 +46,8 @@ def drop_boilerplate(
     Other columns stay; a column named dropped_lines is replaced. No rows give no rows.
     """
     names = [c for c in pages.columns if c != "dropped_lines"]
-    known = boilerplate(pages, site, text, ratio, least).select(
+    # Written first: its exact size then decides about a broadcast, and mostly no text has to be shuffled.
+    known = written(boilerplate(pages, site, text, ratio, least), "boilerplate").select(
         F.col("site").alias("_site"), F.col("boilerplate").alias("_boilerplate"))
     rows = pages.select(*[f"`{c}`" for c in names])
     joined = rows.join(known, rows[site] == known["_site"], "left")
