@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillflow.llm import langid, lines, neardup, packing, secrets
-from quillflow.llm.common import table, written
+from quillflow.llm.common import bounded_batches, table, written
 from quillflow.llm.queries import VOCABULARY
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,6 +25,7 @@ def _documents(rows: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or without a clear language go. The network learns from the stage's own input;
     a missing `lang` is filled with the prediction."""
+    bounded_batches(spark)
     net = langid.fit(docs.select("doc_id", "text", "lang").where(~langid.held_out()))
     known = langid.predict(docs, net)
     if net is None:  # nothing to learn from: only texts without letters go
@@ -41,6 +42,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays; of rows that repeat a doc_id
     the least one. Rows without a doc_id stay."""
+    bounded_batches(spark)
     found = written(neardup.near_duplicates(docs).select("doc_id", "kept"), "kept")
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     rows = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -52,11 +54,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by its kind in brackets; no document goes."""
+    bounded_batches(spark)
     return _documents(secrets.scan(docs.select(*COLUMNS), redact=True))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, VOCABULARY)
 
 

@@ -30,8 +30,10 @@ SKETCH_BITS = 512
 LEAST_ESTIMATE = 0.55
 COMMON, TOTAL = 75, 100  # TOTAL * intersection >= COMMON * union
 BLOCK = 256
-BATCH_BYTES = 4 << 20
-DENSE_CELLS = 6_000_000
+BLOCK_SHINGLES = 2_000_000  # a block of long documents has fewer of them
+BATCH_BYTES = 1 << 20
+DENSE_CELLS = 4_000_000
+FILTER_BITS = 1 << 23
 
 _K = BANDS * ROWS
 _RNG = np.random.default_rng(20)
@@ -186,20 +188,38 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
+def probably(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key may be among `wanted` (one column of that name): all that are, and few others.
+
+    A bitmap of FILTER_BITS places, built on the executors, is all that is broadcast: its size is fixed.
+    It keeps most texts out of the shuffle of the exact join that follows; a full bitmap only lets more pass.
+    """
+    place = lambda: F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = wanted.select(F.bitmap_bucket_number(place()).alias("_bucket"), F.bitmap_bit_position(place()).alias("_bit"))
+    bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    marked = rows.withColumn("_at", F.bitmap_bit_position(place())).withColumn(
+        "_bucket", F.bitmap_bucket_number(place())).join(F.broadcast(bits), "_bucket")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def meetings(pools: DataFrame, block: int = BLOCK) -> DataFrame:
     """(pool, meeting, side, node) of (pool, node, n): who is compared with whom.
 
-    A pool of up to two blocks is one meeting. A larger one is cut by size class and hash into blocks;
-    each block meets itself and every other block of its class (and of the next class).
+    A pool of up to two blocks, in documents and in shingles, is one meeting. A larger one is cut by
+    size class and hash into blocks; each block meets itself and every other block of its class and
+    of the next class.
     """
-    total = pools.groupBy("pool").agg(F.count("*").alias("n_pool"))
-    step = F.lit(math.log(TOTAL / COMMON) * (1 + 1e-9))  # so that rounding never puts partners two classes apart
-    sized = pools.join(total, "pool").withColumn(
-        "class", F.when(F.col("n_pool") > 2 * block, F.floor(F.log(F.col("n")) / step)).otherwise(0).cast("int"))
-    small = sized.where(F.col("n_pool") <= 2 * block).select(
-        "pool", F.lit("").alias("meeting"), F.lit(0).alias("side"), "node")
-    large = sized.where(F.col("n_pool") > 2 * block)
-    count = large.groupBy("pool", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    total = pools.groupBy("pool").agg(F.count("*").alias("n_pool"), F.sum("n").alias("shingles"))
+    # So that rounding never puts partners two classes apart.
+    step = F.lit(math.log(TOTAL / COMMON) * (1 + 1e-9))
+    is_large = (F.col("n_pool") > 2 * block) | (F.col("shingles") > 2 * BLOCK_SHINGLES)
+    sized = pools.join(total, "pool").withColumn("large", is_large).withColumn(
+        "class", F.when(F.col("large"), F.floor(F.log(F.col("n")) / step)).otherwise(0).cast("int"))
+    small = sized.where(~F.col("large")).select("pool", F.lit("").alias("meeting"), F.lit(0).alias("side"), "node")
+    large = sized.where("large")
+    count = large.groupBy("pool", "class").agg(
+        F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     around = count.select("pool", "class", "blocks", F.lit(None).cast("int").alias("up"), F.lit(None).cast("int").alias("down"))
     for shift, name in ((1, "up"), (-1, "down")):
         beside = count.select("pool", (F.col("class") - shift).alias("class"), F.col("blocks").alias("other"))
@@ -246,8 +266,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sizes = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "set_key")
     members = written(
         sizes.join(pools, "node").groupBy("pool", "node").agg(F.max("n").alias("n")), "members")
-    texts = documents.select("doc_id", "text").join(
-        members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    wanted = members.select(F.col("node").alias("doc_id"))
+    texts = probably(documents.select("doc_id", "text"), "doc_id", wanted).join(wanted, "doc_id", "left_semi")
     sets = full_sets(texts).withColumnRenamed("doc_id", "node")
     met = meetings(members).join(sets, "node")
     links = met.groupBy("pool", "meeting").applyInArrow(_compare, "a long, b long")

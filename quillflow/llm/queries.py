@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import DEFAULTS
 from . import ans, bpe, chat, fingerprints, langid, lines, neardup, packing, secrets, topk
-from .common import scratch_dir, table
+from .common import bounded_batches, scratch_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", DEFAULTS["spark.sql.session.timeZone"])
+            bounded_batches(spark)
             return fn(spark, sf)
 
         QUERIES[name] = run
