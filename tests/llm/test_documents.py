@@ -119,14 +119,6 @@ def test_large_pools_are_cut_without_losing_links(spark, monkeypatch):
     assert got == want and len(set(want.values())) > 1
 
 
-def test_bitmap_filter_loses_nothing_and_keeps_little_else(spark):
-    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
-    wanted = rows.where("doc_id % 100 = 7").select("doc_id")
-    kept = neardup.probably(rows, "doc_id", wanted)
-    assert kept.join(wanted, "doc_id", "left_semi").count() == 200 and kept.count() < 300
-    assert kept.columns == rows.columns and neardup.probably(rows, "doc_id", wanted.limit(0)).count() == 0
-
-
 def test_odd_sketch_estimates_high_similarity():
     import numpy as np
 
