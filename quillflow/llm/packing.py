@@ -2,13 +2,16 @@
 
 All that packing has to know are the lengths of the pieces, of which there are at most `capacity`
 different ones. So the search runs over the histogram of lengths, whatever the number of pieces,
-and its answer is a list of fillings with the number of sequences that each is used for. Pieces
-then find their places by their rank among pieces of their length.
+and its answer is a list of fillings with the number of sequences that each is used for. It ends
+when a plan meets the bound; beyond its node limits the best plan found stands. Pieces then find
+their places by their rank among pieces of their length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +25,9 @@ from .pretokens import library_ids
 CAPACITY = 2048
 END_ID = 0
 BATCH_BYTES = 6 << 20
-SEARCH_NODES = 20_000  # nodes of one branch-and-bound search; its best-fit incumbent stands if they are used up
+SEARCH_NODES = 20_000  # nodes of the search for one filling; its best-fit incumbent stands if they are used up
+FILLING_NODES = 2_000  # nodes of one listing of a largest piece's fillings
+PLAN_NODES = 60_000  # nodes of one search for a plan of a given number of sequences, listings included
 
 
 @dataclass
@@ -78,18 +83,169 @@ def complete(room: int, lengths: np.ndarray, counts: np.ndarray, nodes: int = SE
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
     """Fillings that use every piece of the histogram {length: pieces} exactly once.
 
-    The plan made of best-fit fillings alone is the incumbent; bin completion replaces it where it
-    needs fewer sequences.
+    The incumbent is the least of best-fit decreasing and of two plans that complete one bin after
+    the other. While it needs more sequences than the bound, branch and bound looks for a plan of
+    the bound's number, and where it finds none, of numbers halfway to the incumbent's.
     """
-    return min((_completed(histogram, capacity, nodes) for nodes in (0, SEARCH_NODES)),
-               key=lambda fillings: sum(f.times for f in fillings))
-
-
-def _completed(histogram: dict[int, int], capacity: int, nodes: int) -> list[Filling]:
-    """Complete the bin of the largest piece left, as often as the pieces of that filling last, and go on."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
+    plans = [best_fit(counts, capacity), *(_completed(counts, capacity, nodes) for nodes in (0, SEARCH_NODES))]
+    best = min(plans, key=sequences)
+    most = least_sequences(counts, capacity)
+    failed = most - 1
+    while failed + 1 < sequences(best):
+        found = within(counts, capacity, most)
+        if found is None:
+            failed = most
+        else:
+            best = found
+        most = failed + max(1, (sequences(best) - failed) // 2)
+    return best
+
+
+def sequences(fillings: list[Filling]) -> int:
+    return sum(f.times for f in fillings)
+
+
+def least_sequences(counts: np.ndarray, capacity: int) -> int:
+    """A bound: pieces over half a sequence share none, and pieces of at least `least` tokens only go into
+    the room that the large ones leave, those over capacity - least leaving none. ceil(total / capacity) or more."""
+    sizes = np.arange(capacity + 1)
+    pieces = np.concatenate([[0], np.cumsum(counts)])  # of lengths below the index
+    tokens = np.concatenate([[0], np.cumsum(counts * sizes)])
+    half, least = capacity // 2 + 1, np.arange(capacity // 2 + 1)
+    full = pieces[-1] - pieces[capacity - least + 1]
+    large = pieces[capacity - least + 1] - pieces[half]
+    rest = tokens[capacity - least + 1] - tokens[least] - large * capacity
+    return int((full + large + np.maximum(0, -(-rest // capacity))).max())
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[Filling]:
+    """Best-fit decreasing: each piece goes where it leaves the least room. Equal sequences are kept as one."""
+    rooms: list[int] = []  # ascending, of the fillings in `open_`
+    open_: dict[int, list[Filling]] = {}
+
+    def put(filling: list[int], times: int, room: int) -> None:
+        if times:
+            if room not in open_:
+                insort(rooms, room)
+            open_.setdefault(room, []).append(Filling(filling, times))
+
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[length])
+        while n:
+            at = bisect_left(rooms, length)
+            if at == len(rooms):  # none has room: as many new ones as are filled with this length
+                put([], -(-n // (capacity // length)), capacity)
+                continue
+            room = rooms[at]
+            old = open_[room].pop()
+            if not open_[room]:
+                del open_[room], rooms[at]
+            fit = room // length
+            whole = min(old.times, n // fit)
+            part = n - whole * fit if whole < old.times else 0  # pieces of one more, not filled up
+            put(old.lengths + [length] * fit, whole, room - length * fit)
+            put(old.lengths + [length] * part, int(part > 0), room - length * part)
+            put(old.lengths, old.times - whole - (part > 0), room)
+            n -= whole * fit + part
+    return [f for room in rooms for f in open_[room]]
+
+
+def fillings(largest: int, capacity: int, lengths: np.ndarray, counts: np.ndarray, spare: int) -> tuple[list, int]:
+    """Fillings of the largest piece that waste at most `spare` and that no swap dominates, least waste first,
+    and the nodes used. At most FILLING_NODES nodes are looked at.
+
+    A filling is dominated if another piece still fits, or if a piece left over can take the place
+    of one shorter or of two together: what it replaces fits wherever that piece would lie.
+    """
+    left_over = counts.copy()
+    left_over[largest] -= 1
+    sizes = lengths[(left_over[lengths] > 0) & (lengths <= capacity - largest)]
+    weight = np.concatenate([[0], np.cumsum(sizes * left_over[sizes])]).tolist()
+    sizes, many = sizes.tolist(), left_over[sizes].tolist()
+    found, used = [], 0
+    stack: list[tuple[int, int, list[int]]] = [(len(sizes) - 1, capacity - largest, [])]
+    while stack and used < FILLING_NODES:
+        used += 1
+        i, left, chosen = stack.pop()
+        i = min(i, bisect_right(sizes, left) - 1)
+        if i < 0:
+            if left <= spare and not _dominated(chosen, left, left_over):
+                found.append((left, [largest, *chosen]))
+            continue
+        if left - weight[i + 1] > spare:
+            continue
+        size = sizes[i]
+        for take in range(min(left // size, many[i]) + 1):  # the most of it is looked at first
+            stack.append((i - 1, left - take * size, chosen + [size] * take))
+    found.sort(key=lambda f: f[0])  # stable: of equal waste, longer pieces stay first
+    return found, used
+
+
+def _dominated(chosen: list[int], waste: int, counts: np.ndarray) -> bool:
+    left = counts.copy()
+    for size in chosen:
+        left[size] -= 1
+    kinds = sorted(set(chosen))
+    pairs = {a + b for k, a in enumerate(kinds) for b in kinds[k + 1:]} | {2 * a for a in kinds if chosen.count(a) > 1}
+    return bool(left[1:waste + 1].any()) or any(left[a + 1:a + waste + 1].any() for a in kinds) or any(
+        left[p:p + waste + 1].any() for p in pairs)
+
+
+def within(counts: np.ndarray, capacity: int, most: int) -> list[Filling] | None:
+    """A plan of at most `most` sequences; None if there is none, or none was found in PLAN_NODES nodes.
+
+    Branch and bound: the largest piece left is in some sequence, so every filling of it is a
+    branch, used as often as its pieces last, and then half as often, down to once. What the
+    fillings of a branch waste together may not pass what `most` sequences have to spare.
+    """
+    nodes = PLAN_NODES
+
+    def branches(counts: np.ndarray, spare: int):
+        nonlocal nodes
+        lengths = np.flatnonzero(counts)
+        found, used = fillings(int(lengths[-1]), capacity, lengths, counts, spare)
+        nodes -= used
+        ways = []
+        for waste, filling in found:
+            need, each = np.unique(filling, return_counts=True)
+            times = int((counts[need] // each).min())
+            ways.append((waste, filling, need, each, min(times, spare // waste) if waste else times))
+        while ways:
+            for waste, filling, need, each, times in ways:
+                rest = counts.copy()
+                rest[need] -= each * times
+                yield Filling(filling, times), rest, spare - waste * times
+            ways = [(*way[:4], way[4] // 2) for way in ways if way[4] > 1]
+
+    spare = most * capacity - int((counts * np.arange(capacity + 1)).sum())
+    path: list[Filling] = []
+    seen: dict[bytes, int] = {}  # pieces left -> the most to spare with which they were tried
+    stack = [branches(counts, spare)] if spare >= 0 else []
+    while stack and nodes > 0:
+        nodes -= 1
+        branch = next(stack[-1], None)
+        if branch is None:
+            stack.pop()
+            if path:
+                path.pop()
+            continue
+        filling, rest, spare = branch
+        if not rest.any():
+            return [*path, filling]
+        key = hashlib.blake2b(rest.tobytes(), digest_size=16).digest()
+        if seen.get(key, -1) < spare:
+            seen[key] = spare
+            path.append(filling)
+            stack.append(branches(rest, spare))
+    return None
+
+
+def _completed(pieces: np.ndarray, capacity: int, nodes: int) -> list[Filling]:
+    """Complete the bin of the largest piece left, as often as the pieces of that filling last, and go on."""
+    counts = pieces.copy()
     out: list[Filling] = []
     while True:
         lengths = np.flatnonzero(counts)

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import brute
+import numpy as np
 import pytest
 
 from quillflow.llm import ans, bpe, packing
@@ -119,6 +120,27 @@ def test_plan_uses_every_piece_and_few_sequences():
         assert sum(f.times for f in fillings) <= first_fit + 1
 
 
+@pytest.mark.parametrize("n", [1, 7, 1000])
+def test_plan_finds_the_exact_fit_of_skewed_lengths(n):
+    histogram = {1088: n, 520: n, 440: n, 948: n, 560: n, 540: n, 400: n, 824: 2 * n}
+    fillings, used = packing.plan(histogram), defaultdict(int)
+    for filling in fillings:
+        assert sum(filling.lengths) <= 2048 and filling.times > 0
+        for length in filling.lengths:
+            used[length] += filling.times
+    assert dict(used) == histogram and packing.sequences(fillings) == 3 * n
+
+
+def test_plan_is_between_the_bound_and_best_fit_decreasing():
+    for _ in range(20):
+        histogram = {random.randrange(1, 101): random.randrange(1, 30) for _ in range(random.randrange(1, 25))}
+        counts = np.zeros(101, np.int64)
+        counts[list(histogram)] = list(histogram.values())
+        best_fit = best_fit_decreasing(histogram, 100)
+        assert packing.sequences(packing.best_fit(counts, 100)) == best_fit
+        assert packing.least_sequences(counts, 100) <= packing.sequences(packing.plan(histogram, 100)) <= best_fit
+
+
 def best_fit_decreasing(histogram, capacity):
     room: list[int] = []
     for length in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
