@@ -30,11 +30,23 @@ LANE_BYTES = 1024
 @dataclass(frozen=True)
 class Rule:
     """`regex` over ASCII: literals, classes, groups, `|`, `?*+{m,n}`, `(?i:...)`. A match is kept if the
-    Python pattern `keep` matches all of its bytes; matches that are not kept still take their text."""
+    Python pattern `keep` matches all of its bytes; matches that are not kept still take their text. A kept
+    match goes on over what the Python pattern `tail` matches of the text behind it."""
 
     kind: str
     regex: str
     keep: str = ""
+    tail: str = ""
+
+
+# What follows the first line of a private key. With an END line: all up to it, as far as it is no prose (headers, escaped
+# line breaks, quotes, marks of comments and markup may be between). Without: runs of base64 that are no words, and then
+# what is left of a run on a line of its own or with padding. Outside the automaton, which stays small.
+_GAP = r"""(?:[\x20\t-\r"'`,>#*|]|\\[nrt])"""
+_END = r"-{5,}END\x20[A-Z\x20]*PRIVATE\x20KEY-----"
+KEY_BODY = rf"""(?:[A-Za-z0-9+/=:,;&%_"'`#<>*|\\\x20\t-\r]++|-(?!----))*+{_END}|""" + (
+    rf"(?:{_GAP}++(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_GAP}++[A-Za-z0-9+/]{{20,}}+=*+)++"
+    rf"(?:{_GAP}++[A-Za-z0-9+/]++(?:={{1,2}}|(?=[\x20\t\"'`,]*(?:[\r\n\\]|\Z))))?")
 
 
 BASE = (
@@ -45,7 +57,7 @@ BASE = (
 )
 # Runs of these rules overlap those of the base, and each such rule about doubles the states.
 MORE = (
-    Rule("private_key", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----"),
+    Rule("private_key", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", tail=KEY_BODY),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", r"(?s:.{40,})"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", r"(?s:.{15,})"),
     Rule("maps_key", r"AIza[A-Za-z0-9_-]+", r"(?s:.{39,})"),
@@ -281,6 +293,7 @@ class Scanner:
         self.forward = [Automaton([tree], searching=False) for tree in trees]
         self.backward = [Automaton([_reversed(tree)], searching=True) for tree in trees]
         self.keep = [re.compile(r.keep.encode()) if r.keep else None for r in rules]
+        self.tail = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
         self.alive = [(a.table != np.arange(len(a.table))[:, None]).any(1) | (a.accept > 0) for a in self.forward]
         _, byte_class = np.unique(self.all.table, axis=1, return_inverse=True)
         self.byte_class = byte_class.reshape(-1).astype(np.int32)
@@ -356,13 +369,20 @@ class Scanner:
         todo: dict[tuple[int, int, int], int] = {}
         for key, mask in zip(zip(row.tolist(), low.tolist(), high.tolist()), bits.tolist()):
             todo[key] = todo.get(key, 0) | mask
+        whole: dict[int, bytes] = {}
         for (i, a, b), mask in todo.items():
             part, base = data[a:b].tobytes(), a - int(offsets[i])
             for number in range(len(self.rules)):
                 if mask >> number & 1:
                     for start, end in self.matches(number, part):
                         if self.keep[number] is None or self.keep[number].fullmatch(part[start:end]):
-                            out.setdefault(i, []).append((base + start, number, base + end))
+                            last = base + end
+                            if self.tail[number]:
+                                if i not in whole:
+                                    whole[i] = data[offsets[i]:offsets[i + 1]].tobytes()
+                                more = self.tail[number].match(whole[i], last)
+                                last = more.end() if more else last
+                            out.setdefault(i, []).append((base + start, number, last))
         for found in out.values():
             found.sort()
         return out

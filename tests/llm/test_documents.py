@@ -56,6 +56,27 @@ def test_more_rules_and_redaction(spark):
     assert got[1]["rank"] == "x" and got[1]["spans"][0]["start"] == 2
 
 
+def test_a_private_key_goes_with_its_body_and_end(spark):
+    rng = random.Random(9)
+    run = lambda n: "".join(rng.choice("ABCDEFabcdefgh0123456789+/") for _ in range(n))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = [run(64) for _ in range(12)] + [run(30) + "=="]
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123ABCD", ""]
+    short = ["-----BEGIN PRIVATE KEY-----", run(64), run(8), "-----END PRIVATE KEY-----"]
+    keys = {
+        1: "\n".join([begin, *body, end]), 2: "\r\n".join([begin, *head, *body, end]), 3: " ".join([begin, *body, end]),
+        4: "\\n".join([begin, *body, end]), 5: "\n".join([begin, *body]), 6: "\n".join([begin, *head, *body[:-1], run(11)]),
+        7: "\n".join(short), 8: "<br>\n> ".join([begin, *body, end])}
+    rows = [(k, f"é before {key}\nAnd after it.") for k, key in keys.items()]
+    rows += [(9, f"{keys[1]}\nprose between\n{keys[7]}"), (10, f"{begin} begins a key. Words follow."), (11, keys[5][:-40])]
+    got = {r["doc_id"]: r for r in secrets.scan(frame(spark, rows), redact=True).collect()}
+    for k in keys:
+        assert got[k]["text"] == "é before [private_key]\nAnd after it.", k
+        assert [(s["start"], s["end"]) for s in got[k]["spans"] if s["kind"] == "private_key"] == [(9, 9 + len(keys[k]))]
+    assert got[9]["text"] == "[private_key]\nprose between\n[private_key]"
+    assert got[10]["text"] == "[private_key] begins a key. Words follow." and got[11]["text"] == "[private_key]"
+
+
 def test_automaton_is_minimal_and_rejects_empty_matches():
     small = secrets.Automaton([secrets._Parser("ab|cb").parse()], searching=False)
     assert len(small.table) == 4  # start, after a or c, end, dead end
