@@ -35,8 +35,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a large share of their source's documents has are taken out; no document goes."""
-    return _documents(lines.drop_boilerplate(docs, "source", "text"))
+    """Lines that a large share of their source's documents has are taken out, also where no other line is left;
+    no document goes."""
+    return _documents(lines.drop_boilerplate(docs, "source", "text", protect=False))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

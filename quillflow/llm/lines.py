@@ -38,12 +38,13 @@ def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, le
 
 
 def drop_boilerplate(
-        pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+        pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST_PAGES,
+        protect: bool = True) -> DataFrame:
     """The rows of `pages` without boilerplate lines in `text`, and `dropped_lines`, how many went.
 
     Repeated rows are pages of their own. Rows without a site or text stay as they are, blank lines
-    stay, and a text of boilerplate lines only stays whole: there is nothing that they accompany.
-    Other columns stay; a column named dropped_lines is replaced. No rows give no rows.
+    stay. With `protect`, a text of boilerplate lines only stays whole: there is nothing that they
+    accompany. Without, its lines go too; what is left is empty or blank lines, and the row stays. Other columns stay; a column named dropped_lines is replaced. No rows give no rows.
     """
     names = [c for c in pages.columns if c != "dropped_lines"]
     # Written first: its exact size then decides about a broadcast, and mostly no text has to be shuffled.
@@ -55,8 +56,9 @@ def drop_boilerplate(
     kept = F.when(F.col("_boilerplate").isNotNull(), F.filter(lines_of(F.col(text)), good))
     all_lines = lines_of(F.col(text))
     joined = joined.withColumn("_kept", kept)
-    cut = F.col("_kept").isNotNull() & (F.size("_kept") < F.size(all_lines)) & F.exists(
-        "_kept", lambda x: F.trim(x) != "")
+    cut = F.col("_kept").isNotNull() & (F.size("_kept") < F.size(all_lines))
+    if protect:
+        cut = cut & F.exists("_kept", lambda x: F.trim(x) != "")
     joined = joined.withColumn("_cut", F.coalesce(cut, F.lit(False)))
     return joined.select(
         *[F.when(F.col("_cut"), F.array_join("_kept", "\n")).otherwise(F.col(f"`{c}`")).alias(c) if c == text

@@ -174,6 +174,25 @@ def test_line_dedup_matches_brute_force(spark):
     assert got.where("dropped_lines > 0").count() > 100 and set(brute.CLASH) <= set(got.columns)
 
 
+def test_pages_of_boilerplate_only_lose_it_without_protection(spark):
+    rows = [(i, f"menu\nown {i}\nfoot", "hot") for i in range(10)] + [
+        (10, "menu\n\n foot ", "hot"), (11, "menu", "hot"), (12, None, "hot"), (13, "menu", None), (14, "", "hot")]
+    for protect, whole in ((True, [("menu\n\n foot ", 0), ("menu", 0)]), (False, [("", 2), ("", 1)])):
+        got = lines.drop_boilerplate(frame(spark, rows, SCHEMA + ", host string"), "host", "text", 0.5, protect=protect)
+        found = {r["doc_id"]: (r["text"], r["dropped_lines"]) for r in got.collect()}
+        assert len(found) == 15 and all(found[i] == (f"own {i}", 2) for i in range(10))
+        assert [found[10], found[11]] == whole and [found[12], found[13], found[14]] == [(None, 0), ("menu", 0), ("", 0)]
+
+
+def test_line_stage_protects_no_document(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"menu\nown {i}", "en", "s", 0) for i in range(10)] + [(10, "menu", "en", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got[10] == ("", 0) and got[3] == ("own 3", 5) and len(got) == 11
+
+
 def test_pages(spark):
     html = "<html><head><script>x<p>y</script><style>p{}</style></head><body><nav>Home</nav><!-- a <p> b -->"
     rows = [(i, f"http://A.example/{i}", f"{html}<p>Text <b>{i}</b><br>more {i}</p></body>") for i in range(10)]
