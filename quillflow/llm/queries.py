@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import DEFAULTS
-from . import ans, bpe, chat, fingerprints, langid, lines, manifest, neardup, packing, secrets, topk
+from . import ans, bpe, chat, fingerprints, langid, lines, manifest, neardup, packing, secrets, spelling, topk
 from .common import bounded_batches, scratch_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,11 @@ def _topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.digests(table(spark, sf, "embeddings"))
 
 
+@query("op11_spelling")
+def _spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.digests(table(spark, sf, "documents"))
+
+
 @query("op12_manifest", manifest.ORACLE)
 def _manifest(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.digests(table(spark, sf, "documents"))
