@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import DEFAULTS
-from . import ans, bpe, chat, fingerprints, langid, lines, manifest, neardup, packing, secrets, spelling, topk
+from . import ans, bpe, chat, fingerprints, langid, lines, manifest, neardup, packing, secrets, spelling, topk, toxicity
 from .common import bounded_batches, scratch_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,8 @@ def _spelling(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_manifest", manifest.ORACLE)
 def _manifest(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.digests(table(spark, sf, "documents"))
+
+
+@query("op13_toxicity")
+def _toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.digests(table(spark, sf, "documents"), table(spark, sf, "labels"))
