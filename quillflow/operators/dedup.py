@@ -33,11 +33,23 @@ def first_by_number(rows: DataFrame, keys: Sequence[Column | str], order_by: str
     return rows.join(winners.select(order_by), order_by, "left_semi").select(*rows.columns)
 
 
-def existing_candidates(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def _held(stored, column: str, wanted: DataFrame) -> DataFrame:
+    """Those of the distinct keys `wanted` that are stored: by a key index, or from the stored rows themselves."""
+    if hasattr(stored, "held"):
+        return stored.held(column, wanted)
+    return stored.select(column).distinct().join(wanted, column, "left_semi")
+
+
+def existing_candidates(stored, batch: DataFrame) -> DataFrame:
     """Stored (url, content_hash) pairs that share a url or a hash with the batch.
 
-    Two equi-joins; one join on `url OR hash` would compare every pair of rows.
+    Two equi-joins; one join on `url OR hash` would compare every pair of rows. `stored` is a
+    DataFrame or a `KeyIndex`, of which only the buckets of the batch are read.
     """
+    if hasattr(stored, "matching"):
+        found = [stored.matching(c, written(batch.select(c).distinct(), "wanted")).select("url", "content_hash")
+                 for c in ("url", "content_hash")]
+        return written(found[0].unionByName(found[1]), "candidates").distinct()
     # Stored pairs are made distinct before they are shuffled. The batch's keys are written, so that
     # a hash that many stored urls share can be split: that does not happen beside an aggregate.
     keys = stored.select("url", "content_hash").distinct()
@@ -48,8 +60,9 @@ def existing_candidates(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return written(by_url.unionByName(by_hash.select("url", "content_hash")), "candidates").distinct()
 
 
-def dedup_against_store(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Adds `is_duplicate`, `dup_method` and `matched_url`; a url match beats a hash match.
+def dedup_against_store(batch: DataFrame, stored) -> DataFrame:
+    """Adds `is_duplicate`, `dup_method` and `matched_url`; a url match beats a hash match. `stored` is a
+    DataFrame of urls and hashes or a `KeyIndex`.
 
     The hits are written first. Their exact size then decides about a broadcast, and a join over
     files can split a hot key, which adaptive execution does not do right behind an aggregate.
@@ -63,7 +76,7 @@ def dedup_against_store(batch: DataFrame, stored: DataFrame) -> DataFrame:
     })
 
 
-def _store_hits(pairs: DataFrame, stored: DataFrame) -> DataFrame:
+def _store_hits(pairs: DataFrame, stored) -> DataFrame:
     """Distinct batch pairs known to the store, with the way they matched.
 
     Both sides of the first join have one row per key and input partition; the keys found are written,
@@ -73,7 +86,7 @@ def _store_hits(pairs: DataFrame, stored: DataFrame) -> DataFrame:
 
     def known(column: str) -> DataFrame:
         wanted = pairs.select(column).distinct()
-        held = written(stored.select(column).distinct().join(wanted, column, "left_semi"), "held")
+        held = written(_held(stored, column, wanted), "held")
         return pairs.join(held, column, "left_semi").select("url", "content_hash")
 
     # Numbers, so that max() is the precedence and stays a hash aggregate.
@@ -103,7 +116,7 @@ def dedup_in_batch(batch: DataFrame, order_by: str = "seq") -> DataFrame:
     return marked.withColumn("batch_method", method).drop("_at", "_mark")
 
 
-def label_batch(batch: DataFrame, stored: DataFrame, order_by: str = "seq") -> DataFrame:
+def label_batch(batch: DataFrame, stored, order_by: str = "seq") -> DataFrame:
     """Store check first, in-batch check among the rows the store does not know.
 
     Adds `dup_method` (null for new rows) and `matched_url`. The checked keys are written once, so
@@ -119,8 +132,9 @@ def label_batch(batch: DataFrame, stored: DataFrame, order_by: str = "seq") -> D
     return batch.select(order_by, *others).join(labels, order_by) if others else labels
 
 
-def insert_if_absent(
-    incoming: DataFrame, stored: DataFrame, key: str = "url", order_by: str = "seq"
-) -> DataFrame:
-    """Rows to insert: key not stored, first per key inside the batch."""
-    return first_by_number(incoming, [key], order_by).join(stored.select(key), key, "left_anti").select(*incoming.columns)
+def insert_if_absent(incoming: DataFrame, stored, key: str = "url", order_by: str = "seq") -> DataFrame:
+    """Rows to insert: key not stored, first per key inside the batch. `stored` is a DataFrame or a `KeyIndex`."""
+    fresh = first_by_number(incoming, [key], order_by)
+    known = stored.select(key) if isinstance(stored, DataFrame) else written(
+        _held(stored, key, incoming.select(key).distinct()), "held")
+    return fresh.join(known, key, "left_anti").select(*incoming.columns)

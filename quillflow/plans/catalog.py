@@ -19,6 +19,7 @@ from ..operators import articles as A
 from ..operators import audit, dedup, enrich, health, maintenance, quality, runs, search, summaries, trends
 from ..session import DEFAULTS, scratch_dir, written
 from ..sources import feeds, tables
+from ..sources.keys import KeyIndex
 from ..streaming import jobs
 from . import fixtures as X
 from .ingest import ingest_cycle
@@ -550,6 +551,39 @@ def _(spark, sf):
         "seq", "dup_method", "matched_url")
 
 
+def _key_index(spark: SparkSession, sf: str) -> KeyIndex:
+    """The stored keys as an index that nine runs have written and one merge has joined; one run is written twice."""
+    index = KeyIndex(spark, scratch_dir(spark, "keys"), 16)
+    stored = X.stored_articles(spark, sf).select("url", "content_hash")
+    runs = stored.withColumn("run_id", F.concat(F.lit("run-"), F.pmod(F.xxhash64("url"), F.lit(9)).cast("string")))
+    runs = written(runs, "runs")
+    index.build(runs.withColumn("url", F.when(F.col("run_id") == "run-3", F.concat("url", F.lit("/old"))).otherwise(F.col("url"))))
+    index.merge()
+    index.write_run("run-3", runs.filter("run_id = 'run-3'"))
+    return index
+
+
+@query("index_candidates", "WITH " + X.BATCH + """
+SELECT DISTINCT url, content_hash FROM stored
+WHERE url IN (SELECT url FROM incoming) OR content_hash IN (SELECT content_hash FROM incoming)""")
+def _(spark, sf):
+    return dedup.existing_candidates(_key_index(spark, sf), _batch(spark, sf))
+
+
+@query("dedup_against_index", "WITH " + X.BATCH + LABEL_SQL + """
+SELECT c.seq, coalesce(c.store_method, CASE WHEN n.u > 1 THEN 'batch_url' WHEN h.h > 1 THEN 'batch_hash' END) AS dup_method,
+       CASE WHEN c.store_method = 'exact_url' THEN c.url END AS matched_url
+FROM checked c LEFT JOIN new_url n ON n.seq = c.seq LEFT JOIN new_hash h ON h.seq = c.seq""")
+def _(spark, sf):
+    return dedup.label_batch(_batch(spark, sf), _key_index(spark, sf)).select("seq", "dup_method", "matched_url")
+
+
+@query("insert_through_index", "WITH " + X.BATCH + """
+SELECT seq, url FROM url_ranked WHERE url_place = 1 AND url NOT IN (SELECT url FROM stored)""")
+def _(spark, sf):
+    return dedup.insert_if_absent(_batch(spark, sf), _key_index(spark, sf)).select("seq", "url")
+
+
 @query("first_wins", "WITH " + X.BATCH + """
 SELECT url, min(seq) AS seq FROM incoming GROUP BY url""")
 def _(spark, sf):

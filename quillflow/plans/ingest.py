@@ -78,7 +78,8 @@ def _cycle(
     failures = route_failures(staged).unionByName(entry_failures(scanned))
     dead_letter(store, failures, run_id, at)
 
-    known = store.read("articles").filter(F.col("run_id") != run_id).select("url", "content_hash")
+    keys = store.keys()
+    known = keys.without(run_id) if keys.exists() else staged.select("url", "content_hash").limit(0)
     labels = written(
         label_batch(passed(staged).select("seq", "url", "content_hash"), known)
         .select("seq", "dup_method", "matched_url"), f"labels-{run_id}")
@@ -86,6 +87,8 @@ def _cycle(
     enriched = written(
         enrich(fresh.withColumn("id", article_id(F.col("url"))), enrichers, summaries), f"enriched-{run_id}")
     _store_articles(store, enriched, run_id)
+    keys.write_run(run_id, enriched)
+    keys.merge()
 
     marked = staged.select("seq", "source_id", "stage").join(labels, "seq", "left")
     bad = fetches.filter("not ok and error != 'zero_articles'")

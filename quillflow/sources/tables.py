@@ -13,6 +13,7 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.articles import EXPORT_COLUMNS, export_rows, export_scan
 from ..operators.search import build_postings, doc_lengths, write_postings
 from ..operators.trends import entity_article_join, hourly_trends, sentiment_daily
+from .keys import KeyIndex
 
 SCHEMAS = {
     "articles": (
@@ -71,6 +72,15 @@ class NewsStore:
                 raise
             return self.spark.createDataFrame([], SCHEMAS[table])
 
+    def keys(self) -> KeyIndex:
+        """The index of stored urls and hashes, built from the articles where a store has none yet."""
+        index = KeyIndex(self.spark, self.path("keys"))
+        if not index.exists():
+            articles = self.read("articles")
+            if not articles.isEmpty():
+                index.build(articles)
+        return index
+
     def write_run(self, table: str, rows: DataFrame, run_id: str) -> None:
         """Replace this run's rows of `table`."""
         keys = ["published_date", "run_id"] if table in DATED else ["run_id"]
