@@ -52,6 +52,17 @@ def positions_by_word(words: Column, keep) -> Column:
         run_items(r, at, n, lambda x: x["i"]).alias("positions"))))
 
 
+def merged_terms(postings: Column, stem) -> Column:
+    """`positions_by_word` with the stems as terms: each distinct word is stemmed once, equal stems are joined."""
+    stemmed = F.array_sort(F.transform(postings, lambda p: F.struct(stem(p["term"]).alias("term"), p["positions"].alias("positions"))))
+
+    def joined(rows: Column, at: Column, n: Column) -> Column:
+        places = F.array_sort(F.flatten(run_items(rows, at, n, lambda r: r["positions"])))
+        return F.struct(F.get(rows, at)["term"].alias("term"), F.size(places).alias("tf"), places.alias("positions"))
+
+    return bind(stemmed, lambda rows: over_runs(rows, "term", joined))
+
+
 MIN_BODY = 200
 MIN_SENTENCE = 20
 SUMMARY_LIMIT = 1000

@@ -2,7 +2,7 @@
 
 The search text is the usual web form: words must all occur, "quoted words" form a phrase, `or`
 separates alternatives, a leading minus excludes. Words are lower case and unstemmed unless a
-`stem` expression is given; very common words are ignored.
+`stem` expression is given, for instance `functions.stems.english`; very common words are ignored.
 """
 
 from __future__ import annotations
@@ -15,18 +15,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, bind
-from ..functions.words import positions_by_word
+from ..functions.words import merged_terms, positions_by_word
 from ..lexicons import SEARCH_STOP_WORDS
+from ..session import written
+from .articles import search_page
 
 BM25_K1 = 1.2
 BM25_B = 0.75
 BUCKETS = 64
+BLOCKS_PER_CLASS = 16
 Stem = Callable[[Column], Column]
 
 
-def tokens(text: Column, stem: Stem | None = None) -> Column:
+def tokens(text: Column, stem: Stem | None = None, stop_words: Sequence[str] = ()) -> Column:
+    """Words of a text in order. With `stem` their stems; a stop word then leaves an empty place."""
     words = F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]+"), 0)
-    return words if stem is None else F.transform(words, stem)
+    return words if stem is None else F.transform(words, lambda w: F.when(~w.isin(list(stop_words)), stem(w)))
 
 
 def search_terms(search: str, stop_words: Sequence[str] = tuple(SEARCH_STOP_WORDS)) -> list[list[tuple[bool, list]]]:
@@ -67,7 +71,7 @@ def text_match(
     if not alternatives:
         return F.lit(False)
     if stem is not None:
-        return bind(tokens(text, stem), lambda found: _any_holds(
+        return bind(tokens(text, stem, stop_words), lambda found: _any_holds(
             alternatives, lambda words: _words_at(found, words, stem)))
     low = F.lower(text)
 
@@ -84,10 +88,10 @@ def _any_holds(alternatives: list, found: Callable[[list], Column]) -> Column:
 def _words_at(held: Column, words: list, stem: Stem) -> Column:
     """The words stand one after the other in the token array; a gap is any token."""
     if len(words) == 1:
-        return F.array_contains(held, stem(F.lit(words[0])))
+        return F.coalesce(F.array_contains(held, stem(F.lit(words[0]))), F.lit(False))
     places = F.sequence(F.lit(0), F.size(held) - F.lit(len(words)))
     here = lambda i: reduce(Column.__and__, [
-        F.get(held, i + k) == stem(F.lit(w)) for k, w in enumerate(words) if w])
+        F.coalesce(F.get(held, i + k) == stem(F.lit(w)), F.lit(False)) for k, w in enumerate(words) if w])
     return F.when(F.size(held) >= len(words), F.exists(places, here)).otherwise(False)
 
 
@@ -97,20 +101,33 @@ def build_postings(
     stop_words: Sequence[str] = tuple(SEARCH_STOP_WORDS),
     stem: Stem | None = None,
 ) -> DataFrame:
-    """One row per (term, article): count, positions and article length in words.
+    """One row per (term, article): count, positions, article length in words and the article's block.
 
-    An article's words are counted inside its row, so building the postings needs no shuffle.
-    Store them with `write_postings`.
+    An article's words are counted inside its row, so building the postings needs no shuffle. Stop
+    words are told before stemming. Store the rows with `write_postings`.
     """
     text = F.concat_ws(" ", "title", "summary", "body") if text is None else text
     stops = list(stop_words)
-    listed = articles.select(
-        "id", positions_by_word(tokens(text, stem), lambda w: ~w.isin(stops)).alias("_p"))
+    counted = positions_by_word(tokens(text), lambda w: ~w.isin(stops))
+    listed = articles.select("id", (counted if stem is None else bind(counted, lambda p: merged_terms(p, stem))).alias("_p"))
     length = F.aggregate("_p", F.lit(0), lambda total, p: total + p["tf"])
     # The length is taken before the terms are spread out, or it would be summed once per term.
     sized = listed.withColumn("doc_len", length)
     spread = sized.select("id", "doc_len", F.explode_outer("_p").alias("p")).filter(F.col("p").isNotNull())
-    return spread.select("p.term", "id", F.col("p.tf").cast("bigint").alias("tf"), "doc_len", "p.positions")
+    return spread.select(
+        "p.term", "id", F.col("p.tf").cast("bigint").alias("tf"), "doc_len", "p.positions", _block().alias("doc_block"))
+
+
+def _block() -> Column:
+    """Articles of one length class (by powers of the square root of two) and hash: of short ones a word tells more."""
+    length_class = F.floor(F.log2(F.greatest("doc_len", F.lit(1)).cast("double")) * 2)
+    return (length_class * BLOCKS_PER_CLASS + F.pmod(F.xxhash64("id", F.lit("block")), F.lit(BLOCKS_PER_CLASS))).cast("int")
+
+
+def posting_blocks(postings: DataFrame) -> DataFrame:
+    """(term, doc_block) with what bounds any gain in it: articles, highest count, least length."""
+    return postings.groupBy("term", "doc_block").agg(
+        F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"))
 
 
 def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -119,8 +136,10 @@ def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS) -> No
     An index that grows with every run has a folder for each, `run_id=<run>` under one root.
     """
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    # Sorted by block inside a term: a filter on both skips pages that hold other blocks.
+    order = ["term_bucket", "term", *(c for c in ("doc_block",) if c in postings.columns)]
     (postings.withColumn("term_bucket", bucket).hint("rebalance", "term_bucket")
-     .sortWithinPartitions("term_bucket", "term").write.mode("overwrite")
+     .sortWithinPartitions(*order).write.mode("overwrite")
      .partitionBy("term_bucket").parquet(path))
 
 
@@ -147,7 +166,7 @@ def doc_lengths(articles: DataFrame, text: Column | None = None, stop_words: Seq
                 stem: Stem | None = None) -> DataFrame:
     """(id, doc_len) of every article, also of those without a word; kept beside the postings."""
     text = F.concat_ws(" ", "title", "summary", "body") if text is None else text
-    length = F.size(F.filter(tokens(text, stem), lambda w: ~w.isin(list(stop_words))))
+    length = F.size(F.filter(tokens(text), lambda w: ~w.isin(list(stop_words))))
     return articles.select("id", length.cast("bigint").alias("doc_len"))
 
 
@@ -204,11 +223,13 @@ def search_ids(postings: DataFrame, search: str, stem: Stem | None = None) -> Da
 
 
 def search_ranked(
-    articles: DataFrame, postings: DataFrame, stats: DataFrame, search: str, stem: Stem | None = None
+    articles: DataFrame, postings: DataFrame, stats: DataFrame, search: str, stem: Stem | None = None,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """Articles that match the search, with their BM25 `rank` over the wanted words.
 
-    The term filter reaches the postings scan. `stem` is the one the index was built with.
+    The term filter reaches the postings scan. `stem` is the one the index was built with. `frequencies` (term, df)
+    are needed where `postings` are a part of the index only.
     """
     options = _stemmed_options(articles.sparkSession, search, stem)
     if not options:
@@ -217,13 +238,77 @@ def search_ranked(
     wanted = sorted({w for option in options for yes, part in option if yes for w in part if w})
     hits = postings.filter(F.col("term").isin(words))
     # One row: how many articles hold each term. Bounded by the words of the search.
-    spread = hits.groupBy("term").agg(F.count("*").alias("df"))
+    spread = hits.groupBy("term").agg(F.count("*").alias("df")) if frequencies is None else frequencies
     n_docs, mean_len = stats.select("n_docs").scalar(), stats.select("mean_len").scalar()
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = spread.filter(F.col("term").isin(wanted)).select("term", idf.alias("idf"))
-    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / mean_len)
-    gain = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
+    gain = _gain(F.col("idf"), F.col("tf"), F.col("doc_len"), mean_len)
     # Broadcast is safe: the weights have one row per word of the search at most.
     scored = hits.join(F.broadcast(weights), "term", "left").withColumn("_gain", F.coalesce(gain, F.lit(0.0)))
     matched = _matched(scored, options, F.sum("_gain").alias("rank"))
     return articles.join(matched.select("id", "rank"), "id")
+
+
+def _gain(idf: Column, tf: Column, doc_len: Column, mean_len: Column) -> Column:
+    norm = BM25_K1 * (1 - BM25_B + BM25_B * doc_len / mean_len)
+    return idf * tf * (BM25_K1 + 1) / (tf + norm)
+
+
+def block_bounds(blocks: DataFrame, stats: DataFrame, search: str, stem: Stem | None = None) -> list[tuple[int, float]]:
+    """(doc_block, bound) of the blocks that can hold a match, highest bound first.
+
+    A block's bound is the sum, over the wanted words, of the largest gain that its highest count and least length allow. A
+    block without all wanted words of some alternative holds no match. Read from the block table alone: a row per word
+    of the search and block.
+    """
+    options = _stemmed_options(blocks.sparkSession, search, stem)
+    wanted = sorted({w for option in options for yes, part in option if yes for w in part if w})
+    if not wanted:
+        return []
+    held = blocks.filter(F.col("term").isin(wanted)).groupBy("term", "doc_block").agg(
+        F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+    total = held.groupBy("term").agg(F.sum("df").alias("df"))
+    n_docs, mean_len = stats.select("n_docs").scalar(), stats.select("mean_len").scalar()
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    bound = _gain(F.col("idf"), F.col("max_tf"), F.col("min_len"), mean_len)
+    per_block = held.drop("df").join(total.select("term", idf.alias("idf")), "term").groupBy("doc_block").agg(
+        F.sum(F.greatest(bound, F.lit(0.0))).alias("bound"), F.collect_set("term").alias("terms"))
+    found = []
+    for row in per_block.collect():
+        terms = set(row["terms"])
+        if any(all(w in terms for yes, part in option if yes for w in part if w) for option in options):
+            found.append((row["doc_block"], row["bound"] * (1 + 1e-9)))  # sums of doubles may differ in their last bits
+    return sorted(found, key=lambda b: (-b[1], b[0]))
+
+
+FIRST_WAVE = 8
+
+
+def search_top(
+    articles: DataFrame, postings: DataFrame, blocks: DataFrame, stats: DataFrame, search: str, limit: int,
+    cursor: tuple | None = None, stem: Stem | None = None, first_wave: int = FIRST_WAVE,
+    told: Callable[[list[int]], None] | None = None,
+) -> DataFrame:
+    """The page that `search_page` gives over `search_ranked`, without ranking every match.
+
+    All postings of an article lie in its block, so a block's matches are ranked completely by reading it alone. Blocks are
+    read in waves, highest bound first, each wave twice the one before; once the page is full, a block whose bound is
+    below the page's last rank can't add to it and is never read. `told` hears which blocks each wave reads.
+    """
+    left = block_bounds(blocks, stats, search, stem)
+    words = sorted({w for option in _stemmed_options(articles.sparkSession, search, stem) for _, part in option for w in part if w})
+    known = blocks.filter(F.col("term").isin(words)).groupBy("term").agg(F.sum("df").alias("df"))
+    page, size = None, first_wave
+    while left:
+        wave, left, size = [b for b, _ in left[:size]], left[size:], size * 2
+        if told:
+            told(wave)
+        ranked = search_ranked(articles, postings.filter(F.col("doc_block").isin(wave)), stats, search, stem, known)
+        best = search_page(ranked, limit, cursor)
+        page = written(best if page is None else search_page(page.unionByName(best), limit), "page")
+        ranks = sorted((r["rank"] for r in page.select("rank").collect()), reverse=True)
+        if len(ranks) > limit:
+            left = [(b, bound) for b, bound in left if bound >= ranks[limit]]
+    if page is None:
+        page = articles.withColumn("rank", F.lit(0.0)).filter(F.lit(False))
+    return search_page(page, limit)

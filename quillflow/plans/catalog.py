@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import dates, text, urls
+from ..functions import dates, stems, text, urls
 from ..functions import enrichment as E
 from ..operators import articles as A
 from ..operators import audit, dedup, enrich, health, maintenance, quality, runs, search, summaries, trends
@@ -1150,6 +1150,40 @@ def _(spark, sf):
         rows, A.ArticleFilters(search=text), postings=postings, stem=stem).select("id")
 
 
+@query("search_top", with_views(X.ARTICLES, RANKED_SQL, select="""
+SELECT id, rank, published_at FROM ranked JOIN articles USING (id)
+WHERE rank < 30 ORDER BY rank DESC, published_at DESC NULLS LAST, id DESC LIMIT 21"""))
+def _(spark, sf):
+    store, rows = _store(spark), X.articles(spark, sf)
+    store.write_index(rows.withColumn("id", F.col("id").cast("string")), "run-1")
+    keyed = rows.withColumn("number", F.col("id")).withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0"))
+    store.write_index(keyed, "run-1")  # written again: the run's blocks are replaced with its postings
+    stats = written(search.index_stats(store.read("doc_lengths")), "corpus")
+    page = search.search_top(
+        keyed, search.needed_postings(store.read("postings"), SEARCH), store.read("posting_blocks"), stats, SEARCH, 20, (30.0, None, ""))
+    return page.select(F.col("number").alias("id"), F.round("rank", 6).alias("rank"), "published_at")
+
+
+@query("english_stem", with_views(X.ARTICLES, TOKENS, """
+vocabulary AS (SELECT DISTINCT unnest(l) AS word FROM toks)""", stems.ENGLISH_SQL, select="SELECT word, stem FROM stems"))
+def _(spark, sf):
+    words = X.articles(spark, sf).select(F.explode(search.tokens(F.concat_ws(" ", "title", "summary", "body"))).alias("word"))
+    return words.distinct().select("word", stems.english(F.col("word")).alias("stem"))
+
+
+@query("search_english", with_views(X.ARTICLES, TOKENS, """
+vocabulary AS (SELECT DISTINCT unnest(l) AS word FROM toks)""", stems.ENGLISH_SQL, select=f"""
+SELECT CAST(t.id AS VARCHAR) AS id FROM (SELECT id, unnest(l) AS word FROM toks) t JOIN stems USING (word)
+WHERE word NOT IN {_in(STOPS)} GROUP BY t.id HAVING bool_or(stem = 'enher') AND bool_or(stem = 'onth') AND NOT bool_or(stem = 'thand')"""))
+def _(spark, sf):
+    rows = X.articles(spark, sf).withColumn("id", F.col("id").cast("string"))
+    store = tables.NewsStore(spark, scratch_dir(spark, "store"), stem=stems.english)
+    store.write_index(rows, "run-1")
+    text = "enhering onths -thanded"
+    postings = search.needed_postings(store.read("postings"), text, stem=store.stem)
+    return A.select_articles(rows, A.ArticleFilters(search=text), postings=postings, stem=store.stem).select("id")
+
+
 # --- Whole cycle and streams -------------------------------------------------------------------
 
 

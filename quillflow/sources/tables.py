@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.articles import EXPORT_COLUMNS, export_rows, export_scan
-from ..operators.search import build_postings, doc_lengths, write_postings
+from ..operators.search import build_postings, doc_lengths, posting_blocks, write_postings
 from ..operators.trends import entity_article_join, hourly_trends, sentiment_daily
 from .keys import KeyIndex
 
@@ -43,7 +43,8 @@ SCHEMAS = {
         "last_failure_at timestamp, last_error string, health_score double, circuit_breaker_state string, "
         "consecutive_failures bigint, applied_at timestamp, run_id string"),
     "postings": (
-        "term string, id string, tf bigint, doc_len int, positions array<int>, run_id string, term_bucket int"),
+        "term string, id string, tf bigint, doc_len int, positions array<int>, doc_block int, run_id string, term_bucket int"),
+    "posting_blocks": "term string, doc_block int, df bigint, max_tf bigint, min_len int, run_id string",
     "doc_lengths": "id string, doc_len bigint, run_id string",
     "hourly_trends": "entity string, entity_type string, time_bucket timestamp, article_count bigint, bucket_date date",
     "sentiment_summaries": "date_bucket timestamp, sentiment_label string, article_count bigint, bucket_date date",
@@ -53,11 +54,12 @@ DATED = ("articles", "entities", "sectors", "keywords")
 
 
 class NewsStore:
-    """Paths, reads and writes of the stored tables."""
+    """Paths, reads and writes of the stored tables. `stem` is the word stem that the search index is kept with."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, stem=None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.stem = stem
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -93,8 +95,12 @@ class NewsStore:
          .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(self.path(table)))
 
     def write_index(self, articles: DataFrame, run_id: str, stem=None) -> None:
-        """Postings and lengths of a run's articles, in the run's own folders."""
-        write_postings(build_postings(articles, stem=stem), f"{self.path('postings')}/run_id={run_id}")
+        """Postings, their blocks and article lengths of a run, in the run's own folders."""
+        stem = stem or self.stem
+        folder = f"{self.path('postings')}/run_id={run_id}"
+        write_postings(build_postings(articles, stem=stem), folder)
+        held = self.read("postings").filter(F.col("run_id") == run_id)
+        self.write_run("posting_blocks", posting_blocks(held), run_id)
         self.write_run("doc_lengths", doc_lengths(articles, stem=stem), run_id)
 
     def _schema(self, table: str):
