@@ -24,8 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of the undirected edges (a, b) the smallest node that it reaches.
 
     Each round every node hands its larger neighbours to the smallest node it knows, then does the
-    same with its smaller ones; both only group and join narrow rows, and a much linked node is
-    aggregated before it is shuffled and split by adaptive execution in the join. Rounds grow with
+    same with its smaller ones; both only group and join narrow rows. The smallest neighbours are written
+    before they are joined, so that adaptive execution can split a much linked node. Rounds grow with
     the logarithm of a component's size. Every round is written, which cuts the lineage.
     """
     edges = written(_tidy(edges), "edges")
@@ -34,10 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
         if not state[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(_tidy(large), "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b")))
         edges = written(_tidy(small), "edges")

@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_bytes, written
@@ -26,10 +26,10 @@ from .shingles import batch_shingles, distinct, mixed
 
 BANDS, ROWS = 48, 5  # misses a pair of similarity 0.75 with a chance of 2e-6
 SKETCH_BITS = 512
-# At similarity 0.75 the estimate falls below this about once in 10^8 pairs.
-LEAST_ESTIMATE = 0.55
+# At similarity 0.75 the estimate falls below this about twice in 10^12 pairs: far less than the bands miss.
+LEAST_ESTIMATE = 0.42
 COMMON, TOTAL = 75, 100  # TOTAL * intersection >= COMMON * union
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 400_000  # documents of a block, and shingles of all of them, about
 BATCH_BYTES = 1 << 20
 DENSE_CELLS = 6_000_000
 
@@ -84,41 +84,52 @@ def _batch_sets(column: pa.Array):
     return hashes, before
 
 
+def _set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def text_key() -> Column:
+    return F.xxhash64("text")
+
+
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the whole set; null without words), bands."""
-    schema = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+    """doc_id, text_key (hash of the text as it is), n_shingles, set_key (digest of the whole set; null without words), bands."""
+    schema = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
 
     def run(batches):
         for batch in slices(batches, "text", BATCH_BYTES):
             hashes, before = _batch_sets(batch.column("text"))
             sets = [hashes[a:b] for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            keys = [_set_key(s) if len(s) else None for s in sets]
             bands: list = [None] * len(sets)
             if full:
                 samples = np.stack([minhash(sets[i]) for i in full])
                 for i, line in zip(full, band_keys(samples)):
                     bands[i] = line
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(np.diff(before), pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(before), pa.int64()),
+                 pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n_shingles", "set_key", "bands"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, schema)
 
 
 def full_sets(documents: DataFrame) -> DataFrame:
-    """doc_id, shingles (sorted 64-bit hashes), sketch."""
+    """set_key, shingles (sorted 64-bit hashes), sketch of the texts that have words."""
 
     def run(batches):
         for batch in slices(batches, "text", BATCH_BYTES):
             hashes, before = _batch_sets(batch.column("text"))
-            sets = [hashes[a:b] for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
+            sets = [hashes[a:b] for a, b in zip(before[:-1].tolist(), before[1:].tolist()) if b > a]
+            if not sets:
+                continue
             sketches = odd_sketches(np.stack([minhash(s) for s in sets]))
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()),
-                 pa.array([s.tobytes() for s in sketches], pa.binary())], ["doc_id", "shingles", "sketch"])
+                [pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sketches], pa.binary())], ["set_key", "shingles", "sketch"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary, sketch binary")
+    return documents.select("text").mapInArrow(run, "set_key binary, shingles binary, sketch binary")
 
 
 def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,22 +200,24 @@ def _compare(table: pa.Table) -> pa.Table:
 def meetings(pools: DataFrame, block: int = BLOCK) -> DataFrame:
     """(pool, meeting, side, node) of (pool, node, n): who is compared with whom.
 
-    A pool of up to two blocks is one meeting. A larger one is cut by size class and hash into blocks;
-    each block meets itself and every other block of its class (and of the next class).
+    A pool of up to two blocks is one meeting. A larger one is cut by size class and hash into blocks of
+    about `block` documents that have about BLOCK_SHINGLES together; each block meets itself and every other block of
+    its class (and of the next class).
     """
-    total = pools.groupBy("pool").agg(F.count("*").alias("n_pool"))
+    weight = F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)
+    total = written(pools.groupBy("pool").agg(weight.alias("n_blocks")), "pool-sizes")
     step = F.lit(math.log(TOTAL / COMMON) * (1 + 1e-9))  # so that rounding never puts partners two classes apart
     sized = pools.join(total, "pool").withColumn(
-        "class", F.when(F.col("n_pool") > 2 * block, F.floor(F.log(F.col("n")) / step)).otherwise(0).cast("int"))
-    small = sized.where(F.col("n_pool") <= 2 * block).select(
+        "class", F.when(F.col("n_blocks") > 2, F.floor(F.log(F.col("n")) / step)).otherwise(0).cast("int"))
+    small = sized.where("n_blocks <= 2").select(
         "pool", F.lit("").alias("meeting"), F.lit(0).alias("side"), "node")
-    large = sized.where(F.col("n_pool") > 2 * block)
-    count = large.groupBy("pool", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    large = written(sized.where("n_blocks > 2"), "large-pools")
+    count = large.groupBy("pool", "class").agg(F.ceil(weight).cast("int").alias("blocks"))
     around = count.select("pool", "class", "blocks", F.lit(None).cast("int").alias("up"), F.lit(None).cast("int").alias("down"))
     for shift, name in ((1, "up"), (-1, "down")):
         beside = count.select("pool", (F.col("class") - shift).alias("class"), F.col("blocks").alias("other"))
         around = around.join(beside, ["pool", "class"], "left").withColumn(name, F.coalesce("other", F.lit(0))).drop("other")
-    placed = large.join(around, ["pool", "class"]).withColumn(
+    placed = large.join(written(around, "blocks"), ["pool", "class"]).withColumn(
         "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
     def run(n):  # 0 .. n-1
@@ -224,40 +237,47 @@ def meetings(pools: DataFrame, block: int = BLOCK) -> DataFrame:
     return small.unionByName(many)
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of (doc_id, text).
+def verdicts(documents: DataFrame) -> DataFrame:
+    """The columns of `near_duplicates`, and text_key, set_key and component (a number of its own), for every row.
 
-    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; shingles are five words. Null, empty and
-    wordless texts have no shingles and are linked with nothing. Rows of one doc_id are one document:
-    they share their links. A null doc_id can't be named in a link: such rows have a null component
-    and are kept. `kept`: doc_id is the smallest of its component.
+    The unit is the class of rows with one shingle set, so two texts under one doc_id go their own ways. Classes are
+    numbered in order of their smallest doc_id: a component's smallest number names its smallest doc_id.
     """
     signed = written(signatures(documents), "signatures")
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("node"))
-    classes = written(classes, "classes")
-    nodes = signed.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"])
-    banded = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    ties = banded.join(hubs.select("bucket", "hub"), "bucket").where("node <> hub").select(
-        F.col("node").alias("a"), F.col("hub").alias("b"))
+        F.min("doc_id").alias("doc_id"))
+    classes = written(classes.orderBy("doc_id", "set_key").withColumn("node", F.monotonically_increasing_id()), "classes")
+    nodes = signed.join(classes, ["set_key", "doc_id"])
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    # Aggregates are written before they are joined: beside them a hot key of the join could not be split.
+    hubs = written(banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where(
+        "hub < last").select("bucket", "hub"), "hubs")
+    ties = banded.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     pools = written(components(ties).select("node", F.col("component").alias("pool")), "pools")
 
-    sizes = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "set_key")
-    members = written(
-        sizes.join(pools, "node").groupBy("pool", "node").agg(F.max("n").alias("n")), "members")
-    texts = documents.select("doc_id", "text").join(
-        members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = full_sets(texts).withColumnRenamed("doc_id", "node")
-    met = meetings(members).join(sets, "node")
+    members = written(nodes.select("node", "doc_id", "set_key", F.col("n_shingles").alias("n")).distinct().join(
+        pools, "node").select("pool", "node", "n", "doc_id", "set_key"), "members")
+    texts = documents.select("doc_id", "text").join(members.select("doc_id"), "doc_id", "left_semi")
+    keys = members.select("node", "set_key")
+    met = meetings(members.select("pool", "node", "n")).join(keys, "node").join(full_sets(texts), "set_key")
     links = met.groupBy("pool", "meeting").applyInArrow(_compare, "a long, b long")
-    linked = written(components(links), "components")
-
-    # Rows of one doc_id with different texts belong together, so labels go by doc_id, then over classes.
-    labels = classes.join(linked, "node", "left").select(
-        "set_key", F.coalesce("component", "node").alias("component_id"))
-    done = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
-    return done.select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
-        "component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn(
+    linked = components(links)
+
+    firsts = classes.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
+    labels = written(classes.select("set_key", "node").join(linked, "node", "left").select(
+        "set_key", F.coalesce("component", "node").alias("component")).join(firsts, "component"), "labels")
+    done = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(labels, "set_key", "left")
+    named = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return done.withColumn("component_id", named).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of (doc_id, text).
+
+    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; shingles are five words. Null, empty and
+    wordless texts have no shingles and are linked with nothing. Links go by text: rows of one doc_id with
+    different texts may be in different components, each named after its smallest doc_id. A null doc_id can't
+    be named in a link: such rows have a null component and are kept. `kept`: doc_id is the smallest of its component.
+    """
+    return verdicts(documents).select("doc_id", "n_shingles", "component_id", "kept")

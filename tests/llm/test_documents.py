@@ -109,6 +109,30 @@ def near_rows():
     return rows
 
 
+def test_texts_of_one_doc_id_go_their_own_ways(spark):
+    a, b = " ".join(words(40, 1)), " ".join(words(40, 2))
+    rows = [(3, a), (7, a), (7, b), (9, b), (11, b + " more"), (7, None)]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(frame(spark, rows)).collect()))
+    assert got == [(3, 3, True), (7, 3, False), (7, 7, True), (7, 7, True), (9, 7, False), (11, 7, False)]
+
+
+def test_long_texts_of_one_pool_are_compared_in_small_blocks(spark, monkeypatch):
+    """Blocks are bounded by shingles as well: thirty texts of a pool with a block for every two or three."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 1200)
+    base = words(500, 3, 10**6)
+    rows = []
+    for k in range(30):
+        copy = list(base)
+        for j in range(k % 5):
+            copy[100 * j] = f"x{k}y{j}"
+        rows.append((k, " ".join(copy)))
+    pools = spark.createDataFrame([(0, k, 496) for k in range(30)], "pool long, node long, n long")
+    sides = neardup.meetings(pools).groupBy("meeting", "side").count()
+    assert sides.agg(F.max("count")).first()[0] <= 10
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_near_duplicates_match_brute_force(spark):
     rows = near_rows()
     want = brute.near_components(rows)

@@ -195,6 +195,38 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r["doc_id"] or -1 for r in got) == [-1, 1, 3, 4]
 
 
+def test_a_text_of_its_own_stays_though_its_doc_id_has_a_copy(spark):
+    import corpus_pipeline
+
+    text, own = "one two three four five six seven", "quite another text with words of its very own"
+    rows = [(0, text, "en", "s", 1), (3, text, "en", "s", 1), (3, own, "en", "s", 1), (3, own, "de", "s", 1), (3, own.upper(), "en", "s", 1),
+            (5, "", "en", "s", 0), (5, "", "en", "s", 0), (7, own + " and", "en", "s", 2), (None, own, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, brute.DOC_SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, brute.clashing(docs), SMALL).collect()), key=str)
+    assert len(got) == 5 and [g for g in got if g[0] in (0, 5, None)] == [(0, text), (5, ""), (5, ""), (None, own)]
+    assert [g[1].lower() for g in got if g[0] == 3] == [own]
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_near_dedup_shuffles_texts_once(spark, threshold):
+    """One exchange carries the texts, whether joins are broadcast or not."""
+    import corpus_pipeline
+
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, threshold)
+        docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+        plan = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    wide = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "_key" in line]
+    assert plan.count("Scan parquet") == plan.count("FileScan parquet") == 2 and 1 <= len(wide) <= 2
+    assert sum("text#" in line for line in plan.split("\n") if "FileScan" in line) == 1
+
+
 def test_stages_take_no_rows(spark):
     import corpus_pipeline
 
