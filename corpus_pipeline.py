@@ -6,7 +6,7 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillflow.llm import langid, lines, neardup, packing, secrets
@@ -41,16 +41,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; of rows that repeat a doc_id
-    the least one. Rows without a doc_id stay."""
+    """Of each group of linked texts one stays: the one with the smallest doc_id, of several under that doc_id the
+    one with the least hash, of rows repeated whole the least row. Texts without words, and rows without a doc_id,
+    all stay; so does a text of its own under a doc_id that another row has, too.
+
+    Who goes is settled on narrow rows, by doc_id and hash of the text. The documents are shuffled once, by these two.
+    """
     bounded_batches(spark)
-    found = written(neardup.near_duplicates(docs).select("doc_id", "kept"), "kept")
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = rows.join(repeated, "doc_id", "left_anti").select(*COLUMNS)
-    least = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row"))
-    return once.unionByName(least.select("row.*"))
+    found = written(neardup.verdicts(docs).where("doc_id is not null and set_key is not null").select(
+        "doc_id", "text_key", "component", "kept"), "verdicts")
+    several = found.where("kept").groupBy("component").agg(
+        F.min("text_key").alias("least"), F.max("text_key").alias("most")).where("least < most")
+    second = found.where("kept").join(written(several, "several"), "component").where("text_key > least")
+    gone = found.where("not kept").select("doc_id", "text_key").unionByName(second.select("doc_id", "text_key"))
+    gone = written(gone.distinct().withColumnRenamed("text_key", "_key"), "gone")
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.select(*COLUMNS, neardup.text_key().alias("_key"), F.monotonically_increasing_id().alias("_row"))
+    keyed = keyed.withColumn("_key", F.when(alone, F.col("_row")).otherwise(F.col("_key")))
+    first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("lang", "source", "n_chars", "_row"))
+    rows = keyed.withColumn("_first", first).where("_first = 1")
+    return rows.join(gone, ["doc_id", "_key"], "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
