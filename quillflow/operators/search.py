@@ -130,15 +130,18 @@ def posting_blocks(postings: DataFrame) -> DataFrame:
         F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"))
 
 
+def bucketed(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    return rows.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+
+
 def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Replace what `path` holds: partitioned by term bucket; large buckets are split over several files.
 
     An index that grows with every run has a folder for each, `run_id=<run>` under one root.
     """
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     # Sorted by block inside a term: a filter on both skips pages that hold other blocks.
     order = ["term_bucket", "term", *(c for c in ("doc_block",) if c in postings.columns)]
-    (postings.withColumn("term_bucket", bucket).hint("rebalance", "term_bucket")
+    (bucketed(postings, buckets).hint("rebalance", "term_bucket")
      .sortWithinPartitions(*order).write.mode("overwrite")
      .partitionBy("term_bucket").parquet(path))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from ..operators import audit, dedup, enrich, health, maintenance, quality, runs
 from ..session import DEFAULTS, scratch_dir, written
 from ..sources import feeds, tables
 from ..sources.keys import KeyIndex
+from ..sources.segments import SegmentedTable, cascade_delete
 from ..streaming import jobs
 from . import fixtures as X
 from .ingest import ingest_cycle
@@ -748,6 +749,113 @@ def _store(spark: SparkSession) -> tables.NewsStore:
     return tables.NewsStore(spark, scratch_dir(spark, "store"))
 
 
+# --- The same changes on stored tables: only the folders that hold a change are written again ----------
+
+SOURCE_SCHEMA = (
+    "id bigint, name string, slug string, url string, is_active boolean, health_score double, published_date date, run_id string")
+
+
+def _stored_sources(spark: SparkSession, sf: str) -> SegmentedTable:
+    """The sources in four folders, by the runs that have written them."""
+    held = SegmentedTable(spark, scratch_dir(spark, "sources"), SOURCE_SCHEMA)
+    rows = X.sources(spark, sf).withColumn("published_date", F.lit(None))
+    for part in range(4):
+        held.write_run(f"run-{part}", rows.filter(F.col("id") % 4 == part))
+    return held
+
+
+def _stored_articles(spark: SparkSession, sf: str, **changes: Column) -> tables.NewsStore:
+    """The articles of two runs, the second written twice."""
+    store = _store(spark)
+    rows = X.articles(spark, sf).withColumns({
+        "feed_source_id": F.col("feed_source_id").cast("string"), "collected_at": now(), "tags": F.array("category"),
+        "sentiment_score": F.lit(0.0), "generated_summary": F.lit(None), "published_date": F.to_date("published_at"), **changes})
+    rows = written(rows.withColumn("id", F.format_string("%012d", "id")), "rows")
+    store.write_run("articles", rows.filter("cast(id as bigint) % 2 = 0"), "run-0")
+    for _ in range(2):
+        store.write_run("articles", rows.filter("cast(id as bigint) % 2 = 1"), "run-1")
+    return store
+
+
+@query("stored_upsert", ORACLES["upsert_by_key"])
+def _(spark, sf):
+    key = F.col("c_custkey")
+    incoming = X.table(spark, sf, "customer").select(
+        (key + 1_000_000).cast("bigint").alias("id"), F.col("c_name").alias("name"),
+        F.concat(F.lit("supplier-"), F.lpad(key.cast("string"), 9, "0")).alias("slug"),
+        F.concat(F.lit("https://new.example.com/"), key.cast("string")).alias("url"), F.lit(True).alias("is_active"),
+        F.lit(None).cast("date").alias("published_date"), F.lit("run-9").alias("run_id"))
+    held = _stored_sources(spark, sf)
+    held.upsert(incoming, "slug", ["name", "url", "is_active"])
+    return held.read().select("id", "name", "slug", "url", "is_active", "health_score")
+
+
+@query("stored_update", ORACLES["conditional_update"])
+def _(spark, sf):
+    held = _stored_sources(spark, sf)
+    held.update(F.col("slug").isin("supplier-000000003", "supplier-000000008"), is_active=F.lit(False))
+    return held.read().select("id", "slug", "is_active")
+
+
+@query("stored_backfill", with_views(X.ARTICLES, X.SOURCES, select="""
+SELECT a.id, CASE WHEN a.summary IS NULL OR a.published_at IS NULL THEN coalesce(s.name, CASE WHEN a.summary IS NOT NULL THEN '' END)
+                  ELSE a.source_name END AS source_name
+FROM articles a LEFT JOIN sources s ON s.id = a.feed_source_id"""))
+def _(spark, sf):
+    holes = F.when(F.col("summary").isNull(), F.lit(None)).when(F.col("published_at").isNull(), "").otherwise(F.col("source_name"))
+    held = _stored_articles(spark, sf, source_name=holes).table("articles")
+    held.backfill(X.sources(spark, sf).withColumn("id", F.col("id").cast("string")))
+    return held.read().select(F.col("id").cast("bigint").alias("id"), "source_name")
+
+
+@query("stored_cascade", with_views(X.ARTICLES, X.SOURCES, WORDS, ENTITY_SQL, select="""
+, kept AS (SELECT id FROM articles WHERE feed_source_id NOT IN (SELECT id FROM sources WHERE NOT is_active))
+SELECT 'articles' AS kind, CAST(id AS VARCHAR) AS row_key FROM kept
+UNION ALL SELECT 'entities', article_id || ':' || entity FROM ents WHERE article_id IN (SELECT id FROM kept)""".lstrip()))
+def _(spark, sf):
+    store = _stored_articles(spark, sf)
+    found = E.entities(E.article_text(F.col("title"), F.col("body")), X.ENTITY_WORDS)
+    dated = store.read("articles").select("id", "published_date", found.alias("entities"))
+    store.write_run("entities", maintenance.child_rows(dated, "entities", carry=["published_date"]), "run-1")
+    off = X.sources(spark, sf).filter(~F.col("is_active")).select(F.col("id").cast("string").alias("id"))
+    cascade_delete(store.table("articles"), [store.table("entities")], off)
+    number = lambda c: F.col(c).cast("bigint").cast("string")
+    return store.read("articles").select(F.lit("articles").alias("kind"), number("id").alias("row_key")).unionAll(
+        store.read("entities").select(F.lit("entities"), F.concat(number("article_id"), F.lit(":"), "entity")))
+
+
+@query("stored_page", with_views(X.ARTICLES, select="""
+SELECT id, title, published_at FROM articles
+WHERE published_at < TIMESTAMP '2024-01-16' OR (published_at = TIMESTAMP '2024-01-16' AND id < 500) OR published_at IS NULL
+ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 51"""))
+def _(spark, sf):
+    held = _stored_articles(spark, sf).table("articles")
+    held.merge(fan_in=2)  # the two runs of each date in one folder
+    page = held.latest_page(50, (datetime(2024, 1, 16), f"{500:012d}"))
+    return page.select(F.col("id").cast("bigint").alias("id"), "title", "published_at")
+
+
+@query("stored_lookup", with_views(X.ARTICLES, select="SELECT id, title, url, content_hash FROM articles WHERE id = 42"))
+def _(spark, sf):
+    held = _stored_articles(spark, sf).table("articles")
+    return held.lookup(f"{42:012d}").select(F.col("id").cast("bigint").alias("id"), "title", "url", "content_hash")
+
+
+@query("merged_runs", with_views(X.ARTICLES, select="""
+SELECT id, title, 'run-' || CASE WHEN id % 2 = 0 THEN 0 WHEN id % 3 = 0 THEN 1 ELSE 2 END AS run_id FROM articles WHERE id % 6 <> 5"""))
+def _(spark, sf):
+    store = _stored_articles(spark, sf)
+    rows = written(store.read("articles"), "rows")
+    store.table("articles").merge(fan_in=2)
+    # A run whose rows lie in merged folders is repeated over a part of its rows; another one follows.
+    odd = rows.filter("cast(id as bigint) % 2 = 1")
+    store.write_run("articles", odd.filter("cast(id as bigint) % 3 = 0"), "run-1")
+    store.write_run("articles", odd.filter("cast(id as bigint) % 3 = 1"), "run-2")
+    store.table("articles").merge(fan_in=3)
+    store.table("articles").vacuum()
+    return store.read("articles").select(F.col("id").cast("bigint").alias("id"), "title", "run_id")
+
+
 @query("raw_append", with_views(X.ARTICLES, X.RAW, select="""
 SELECT source_id, url AS source_url, published_at_raw, link FROM raw"""))
 def _(spark, sf):

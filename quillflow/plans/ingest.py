@@ -55,7 +55,7 @@ def _cycle(
     mapping: dict | None,
 ) -> None:
     at = F.lit(as_of).cast("timestamp")
-    before = written(store.read("articles").filter(F.col("run_id") == run_id).select(
+    before = written(store.read_run("articles", run_id).select(
         F.col("published_date").alias("bucket_date")).distinct(), f"days-{run_id}")
     # Health as other runs have left it: a source whose breaker is open is not polled again.
     current = with_health(sources, store.read("source_health").filter(F.col("run_id") != run_id))
@@ -88,7 +88,7 @@ def _cycle(
         enrich(fresh.withColumn("id", article_id(F.col("url"))), enrichers, summaries), f"enriched-{run_id}")
     _store_articles(store, enriched, run_id)
     keys.write_run(run_id, enriched)
-    keys.merge()
+    store.maintain(as_of.date())
 
     marked = staged.select("seq", "source_id", "stage").join(labels, "seq", "left")
     bad = fetches.filter("not ok and error != 'zero_articles'")

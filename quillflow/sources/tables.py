@@ -1,19 +1,23 @@
 """Stored tables: layout, schemas and writers.
 
-All tables are Parquet folders under one root. Rows of a run are written into that run's own
-partition with dynamic overwrite, so writing a run again replaces it and adds nothing twice.
+All tables are Parquet folders under one root, and writing a run again replaces it and adds nothing twice. Articles, their
+child tables and the search index are segmented tables; the others keep a run's rows in its own
+partition, which is overwritten.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.articles import EXPORT_COLUMNS, export_rows, export_scan
-from ..operators.search import build_postings, doc_lengths, posting_blocks, write_postings
+from ..operators.search import bucketed, build_postings, doc_lengths, posting_blocks
 from ..operators.trends import entity_article_join, hourly_trends, sentiment_daily
 from .keys import KeyIndex
+from .segments import SegmentedTable
 
 SCHEMAS = {
     "articles": (
@@ -44,13 +48,14 @@ SCHEMAS = {
         "consecutive_failures bigint, applied_at timestamp, run_id string"),
     "postings": (
         "term string, id string, tf bigint, doc_len int, positions array<int>, doc_block int, run_id string, term_bucket int"),
-    "posting_blocks": "term string, doc_block int, df bigint, max_tf bigint, min_len int, run_id string",
+    "posting_blocks": "term string, doc_block int, df bigint, max_tf bigint, min_len int, run_id string, term_bucket int",
     "doc_lengths": "id string, doc_len bigint, run_id string",
     "hourly_trends": "entity string, entity_type string, time_bucket timestamp, article_count bigint, bucket_date date",
     "sentiment_summaries": "date_bucket timestamp, sentiment_label string, article_count bigint, bucket_date date",
 }
 SUMMARIES = ("hourly_trends", "sentiment_summaries")
 DATED = ("articles", "entities", "sectors", "keywords")
+INDEXED = {"postings": ["term", "doc_block"], "posting_blocks": ["term"]}
 
 
 class NewsStore:
@@ -64,8 +69,32 @@ class NewsStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def table(self, table: str) -> SegmentedTable:
+        """A dated table or a table of the search index with its updates, merges and pages."""
+        if table in INDEXED:
+            return SegmentedTable(
+                self.spark, self.path(table), SCHEMAS[table], "term", part="term_bucket", sort=INDEXED[table])
+        if table not in DATED:
+            raise ValueError(f"{table} is kept in plain folders")
+        key, blooms = ("id", ("id", "url")) if table == "articles" else ("article_id", ("article_id",))
+        return SegmentedTable(self.spark, self.path(table), SCHEMAS[table], key, blooms)
+
+    def read_run(self, table: str, run_id: str) -> DataFrame:
+        """Rows of one run; only folders with rows of it are opened."""
+        if table in DATED or table in INDEXED:
+            return self.table(table).read_run(run_id)
+        return self.read(table).filter(F.col("run_id") == run_id)
+
+    def maintain(self, before: date) -> None:
+        """Join the folders of dates before `before`, of the search index and of the key index where many have gathered."""
+        for table in (*DATED, *INDEXED):
+            self.table(table).merge(before if table in DATED else None)
+        self.keys().merge()
+
     def read(self, table: str) -> DataFrame:
         """The table, empty when nothing has been written yet."""
+        if table in DATED or table in INDEXED:
+            return self.table(table).read()
         try:
             rows = self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
             return rows.filter("article_count > 0") if table in SUMMARIES else rows
@@ -85,22 +114,20 @@ class NewsStore:
 
     def write_run(self, table: str, rows: DataFrame, run_id: str) -> None:
         """Replace this run's rows of `table`."""
-        keys = ["published_date", "run_id"] if table in DATED else ["run_id"]
+        if table in DATED or table in INDEXED:
+            self.table(table).write_run(run_id, rows)
+            return
         stamped = rows.withColumn("run_id", F.lit(run_id))
         shaped = stamped.select(*[
             F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema(table).fields])
-        # Lookups by key can skip files whose filter does not know the key.
-        blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("id", "url") if table == "articles"}
-        (shaped.hint("rebalance", *keys).write.mode("overwrite").options(**blooms)
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(self.path(table)))
+        (shaped.hint("rebalance", "run_id").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(self.path(table)))
 
     def write_index(self, articles: DataFrame, run_id: str, stem=None) -> None:
         """Postings, their blocks and article lengths of a run, in the run's own folders."""
         stem = stem or self.stem
-        folder = f"{self.path('postings')}/run_id={run_id}"
-        write_postings(build_postings(articles, stem=stem), folder)
-        held = self.read("postings").filter(F.col("run_id") == run_id)
-        self.write_run("posting_blocks", posting_blocks(held), run_id)
+        self.write_run("postings", bucketed(build_postings(articles, stem=stem)), run_id)
+        self.write_run("posting_blocks", bucketed(posting_blocks(self.read_run("postings", run_id))), run_id)
         self.write_run("doc_lengths", doc_lengths(articles, stem=stem), run_id)
 
     def _schema(self, table: str):
