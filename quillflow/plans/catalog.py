@@ -136,6 +136,13 @@ def _(spark, sf):
     return good.unionByName(lost)
 
 
+@query("feed_shapes", with_views(X.ARTICLES, X.ODD, select="SELECT * FROM odd"))
+def _(spark, sf):
+    scanned = feeds.feed_scan(X.odd_payloads(spark, sf), keep_empty=True)
+    collapsed = F.trim(F.regexp_replace("title", f"[{text.SPACE}]+", " "))
+    return scanned.filter("entry_error is null").select("payload_id", collapsed.alias("title"), "link", "published", "description")
+
+
 @query("active_sources", with_views(X.SOURCES, select="""
 SELECT id, name, slug FROM sources
 WHERE is_active AND circuit_breaker_state <> 'OPEN' AND source_type = 'RSS'"""))

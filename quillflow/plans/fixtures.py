@@ -351,6 +351,47 @@ def rough_payloads(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("<rss><channel><title>all</title>"), body, F.lit("</channel></rss>")).alias("payload"))
 
 
+def odd_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """One feed document per article in six shapes that a scanner can trip over."""
+    def xml(c: Column) -> Column:
+        for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = F.replace(c, F.lit(plain), F.lit(safe))
+        return c
+
+    n, title, link = F.col("id"), xml(F.col("title")), F.col("url")
+
+    def item(title: Column, description: str, link: Column = link) -> Column:
+        return F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), link, F.lit("</link><description>"),
+                        F.lit(description), F.lit("</description><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate></item>"))
+
+    feed = lambda *parts: F.concat(F.lit("<rss><channel>"), *parts, F.lit("</channel></rss>"))
+    shapes = [
+        feed(F.lit("<!-- see <![CDATA[ and <item> here -->"), item(title, "plain")),
+        F.concat(F.lit("<RSS><CHANNEL><ITEM><TITLE>"), title, F.lit("</TITLE><LINK>"), link,
+                 F.lit("</LINK><DESCRIPTION>loud</DESCRIPTION><PUBDATE>Mon, 01 Jan 2024 00:00:00 GMT</PUBDATE></ITEM></CHANNEL></RSS>")),
+        feed(item(title, "one <source src='a.mp4'> two <link rel=x>")),
+        feed(item(title, "a <title>b</title> c <description>d</description>")),
+        feed(item(F.concat(title, F.lit(" \x01\x1f&#2;!")), "odd \x0b sign")),
+        feed(item(title, "<![CDATA[<!-- kept]]>"), item(title, "after", F.concat(link, F.lit("/second"))))]
+    payload = F.when(F.lit(False), "")
+    for k, shape in enumerate(shapes):
+        payload = payload.when(n % 6 == k, shape)
+    return articles(spark, sf).select(
+        n.cast("string").alias("payload_id"), F.col("source_name").alias("source_id"), instant(AS_OF).alias("fetched_at"),
+        payload.alias("payload"))
+
+
+ODD = f"""
+odd AS (
+  SELECT CAST(id AS VARCHAR) AS payload_id,
+         trim(regexp_replace(title, '[{SPACE}]+', ' ', 'g')) || CASE WHEN id % 6 = 4 THEN ' !' ELSE '' END AS title,
+         url || second AS link, 'Mon, 01 Jan 2024 00:00:00 GMT' AS published,
+         CASE id % 6 WHEN 0 THEN 'plain' WHEN 1 THEN 'loud' WHEN 2 THEN 'one <source src=''a.mp4''> two <link rel=x>'
+           WHEN 3 THEN 'a <title>b</title> c <description>d</description>' WHEN 4 THEN 'odd  sign'
+           ELSE CASE second WHEN '' THEN '<!-- kept' ELSE 'after' END END AS description
+  FROM articles, (VALUES (''), ('/second')) v(second) WHERE second = '' OR id % 6 = 5)"""
+
+
 ROUGH = f"""
 rough AS (
   SELECT CAST(id AS VARCHAR) AS payload_id,

@@ -16,14 +16,23 @@ from ..functions.text import SPACE, bind
 from ..functions.urls import normalize_url
 
 _PREFIX = r"(?:[A-Za-z_][\w.-]*:)?"
-_OPEN = rf"(?=<{_PREFIX}(?:item|entry)(?:\s[^>]*)?(?<!/)>)"
-_CLOSE = rf"(?s)</{_PREFIX}(?:item|entry)\s*>.*\z"
-# Element names of the feed formats; any other tag without a prefix is markup inside a text.
-ELEMENTS = (
-    "item entry title link description author name email uri category comments enclosure guid pubDate source id "
-    "published updated summary content contributor rights").split()
-_MARKUP = rf"<(?!/?(?:{'|'.join(ELEMENTS)}|[A-Za-z_][\w.-]*:[\w.-]+)(?:[\s/>]))"
+_OPEN = rf"(?i)(?=<{_PREFIX}(?:item|entry)(?:\s[^>]*)?(?<!/)>)"
+_CLOSE = rf"(?is)</{_PREFIX}(?:item|entry)\s*>.*\z"
+# Comments and CDATA sections in one pattern: whichever opens first covers the other. Else a run of text, or a tag and what follows.
+_PIECE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?(?:\]\]>|\z)|[^<]++|<[^<]*+"
+_CHUNK = r"[^<]++|<[^<]*+"
+_NAME = r"^</?([A-Za-z_][\w.-]*(?::[\w.-]+)?)(?=[\s/>])"
+# Elements of the feed formats whose content is text: any markup in them belongs to the text.
+TEXTS = (
+    "title link description name email uri category comments guid pubdate id published updated summary content rights "
+    "content:encoded dc:date dc:creator").split()
+# Elements that hold others.
+HOLDERS = "item entry author contributor source enclosure".split()
 _BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});)"
+# Characters that XML forbids, and references to them.
+_FORBIDDEN = (
+    r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
+    r"|&#(?:0*(?:[0-8]|1[124-9]|2[0-9]|3[01])|[xX]0*(?:[0-8bcefBCEF]|1[0-9a-fA-F]));")
 
 _TERM = "array<struct<_VALUE:string,_term:string>>"
 _BODY = "struct<_VALUE:string,_type:string>"
@@ -65,46 +74,86 @@ def _with_source(files: DataFrame) -> DataFrame:
 
 
 def _plain(payload: Column) -> Column:
-    """The payload with CDATA sections as escaped text and without comments, so that a tag in it is a tag."""
+    """The payload with CDATA sections as escaped text and without comments and forbidden characters, so that a tag in it is a tag."""
     escaped = lambda t: F.replace(F.replace(F.replace(
         t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
-    def section(piece: Column) -> Column:
-        return bind(F.instr(piece, "]]>"), lambda end: F.when(end == 0, escaped(piece)).otherwise(
-            F.concat(escaped(F.substring(piece, 1, end - 1)), F.substr(piece, end + 3))))
-
-    pieces = F.split(payload, r"<!\[CDATA\[")
-    open_text = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(section(p))), "")
-    return F.regexp_replace(open_text, r"(?s)<!--.*?-->", "")
+    comment, section = r"(?s)^<!--.*-->$", r"^<!\[CDATA\["
+    inner = lambda p: F.regexp_replace(F.regexp_replace(p, section, ""), r"\]\]>$", "")
+    pieces = F.regexp_extract_all(payload, F.lit(_PIECE), 0)
+    told = F.transform(pieces, lambda p: F.when(p.rlike(comment), "").when(p.rlike(section), escaped(inner(p))).otherwise(p))
+    plain = F.when(payload.rlike(r"<!--|<!\[CDATA\["), F.array_join(told, "")).otherwise(payload)
+    return F.regexp_replace(plain, _FORBIDDEN, "")
 
 
 def _entries(payload: Column) -> Column:
     """The entries of a payload as text. An entry ends at its closing tag or, without one, at the next entry."""
     cut = F.split(_plain(payload), _OPEN)
     return F.transform(
-        F.filter(cut, lambda p: p.rlike(rf"^<{_PREFIX}(?:item|entry)[\s>]")),
+        F.filter(cut, lambda p: p.rlike(rf"(?i)^<{_PREFIX}(?:item|entry)[\s>]")),
         lambda p: F.regexp_replace(p, _CLOSE, ""))
 
 
+def _tag_name(chunk: Column) -> Column:
+    return F.lower(F.regexp_extract(chunk, _NAME, 1))
+
+
+def _marks(chunks: Column) -> Column:
+    """One letter per chunk: `t` where it begins with a tag of the entry, `x` where it is text.
+
+    The open text element is carried along. Inside it only its own closing tag counts, and tags of other name spaces are left as
+    they are; the same element inside itself is text and has its closing tag there.
+    """
+    state = F.struct(F.lit("").alias("open"), F.lit(0).alias("depth"), F.lit("").alias("marks"))
+
+    def step(was: Column, chunk: Column) -> Column:
+        name, closing = _tag_name(chunk), chunk.startswith("</")
+        whole = chunk.rlike(r"^<[^>]*/>")  # opened and closed in one
+        inside, same = was["open"] != "", name == was["open"]
+        known = name.isin(TEXTS + HOLDERS) | F.contains(name, F.lit(":"))
+        ends = inside & same & closing & (was["depth"] == 0)
+        begins = ~inside & ~closing & ~whole & name.isin(TEXTS)
+        tag = (known & ~inside) | ends | (inside & ~same & F.contains(name, F.lit(":")))
+        depth = was["depth"] + F.when(inside & same & ~whole, F.when(closing, F.when(ends, 0).otherwise(-1)).otherwise(1)).otherwise(0)
+        return F.struct(
+            F.when(ends, "").when(begins, name).otherwise(was["open"]).alias("open"), depth.cast("int").alias("depth"),
+            F.concat(was["marks"], F.when(tag & (name != ""), "t").otherwise("x")).alias("marks"))
+
+    return F.aggregate(chunks, state, step, lambda s: s["marks"])
+
+
 def _sound(entry: Column) -> Column:
-    """The entry as XML: its own prefix dropped, stray markup and ampersands as text, the closing tag put back."""
+    """The entry as XML: its own prefix dropped, names in the usual case, markup in texts and stray ampersands as text, the
+    closing tag put back."""
+    def spelled(chunk: Column) -> Column:
+        name = F.regexp_extract(chunk, _NAME, 1)
+        usual = F.when(F.lower(name) == "pubdate", "pubDate").otherwise(F.lower(name))
+        start = F.when(chunk.startswith("</"), "</").otherwise("<")
+        return F.concat(start, usual, F.substr(chunk, F.length(start) + F.length(name) + 1))
+
+    def rebuilt(chunks: Column) -> Column:
+        text = lambda c: F.when(c.startswith("<"), F.concat(F.lit("&lt;"), F.substr(c, F.lit(2)))).otherwise(c)
+        return bind(_marks(chunks), lambda marks: F.array_join(F.transform(chunks, lambda c, i: F.when(
+            F.substr(marks, i + 1, F.lit(1)) == "t", spelled(c)).otherwise(text(c))), ""))
+
     def repaired(e: Column) -> Column:
-        text = F.regexp_replace(F.regexp_replace(e, _MARKUP, "&lt;"), _BARE_AMPERSAND, "&amp;")
-        return F.concat(text, F.when(e.rlike(r"^<item[\s>]"), "</item>").otherwise("</entry>"))
+        xml = bind(F.regexp_extract_all(e, F.lit(_CHUNK), 0), rebuilt)
+        return F.concat(F.regexp_replace(xml, _BARE_AMPERSAND, "&amp;"), F.when(
+            e.rlike(r"(?i)^<item[\s>]"), "</item>").otherwise("</entry>"))
 
     def unprefixed(prefix: Column) -> Column:
         return F.when(prefix == "", entry).otherwise(F.replace(
             F.replace(entry, F.concat(F.lit("<"), prefix), F.lit("<")), F.concat(F.lit("</"), prefix), F.lit("</")))
 
-    return bind(bind(F.regexp_extract(entry, rf"^<({_PREFIX})(?:item|entry)", 1), unprefixed), repaired)
+    return bind(bind(F.regexp_extract(entry, rf"(?i)^<({_PREFIX})(?:item|entry)", 1), unprefixed), repaired)
 
 
 def feed_scan(payloads: DataFrame, keep_empty: bool = False) -> DataFrame:
     """One row per entry of every payload, with its place in the payload and its text.
 
     Entries are cut out before they are parsed, so one broken entry costs only itself. Everyday
-    faults are repaired: undeclared entities, bare ampersands, HTML tags in texts, a missing closing
-    tag. With `keep_empty` nothing is left out: a payload without entries gives one row that holds its
+    faults are repaired: undeclared entities, bare ampersands, control characters, markup in texts (also with names
+    of feed elements), element names in capitals, comments and CDATA that hold each other's openers, a missing
+    closing tag. With `keep_empty` nothing is left out: a payload without entries gives one row that holds its
     `payload_error`, and an entry that can't be read, or has no title or link, holds its `entry_error`.
     """
     root = F.from_xml("payload", "version string, _corrupt_record string", {"mode": "PERMISSIVE"})
