@@ -89,10 +89,16 @@ def lineage_join(articles: DataFrame, raw: DataFrame, url_like: str = "%") -> Da
 
 
 def raw_vs_canonical(articles: DataFrame, raw: DataFrame, limit: int = 5) -> DataFrame:
-    """Raw and cleaned values side by side for the newest articles."""
+    """Raw and cleaned values side by side for the newest articles.
+
+    The newest linked articles are found on narrow columns; payloads are read for those few only.
+    """
     field = lambda name: F.get_json_object("r.raw_payload", f"$.{name}")
+    known = raw.select(F.col("source_url").alias("url"))
+    newest = articles.select("id", "url", "title", "published_at", "quality_score", "created_at").join(
+        known, "url", "left_semi").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
     return (
-        _linked(articles, raw)
+        _linked(F.broadcast(newest), raw)  # `limit` rows at most
         .select(
             F.col("a.id").alias("canonical_id"), F.col("r.id").alias("raw_id"),
             field("title").alias("raw_title"), F.col("a.title").alias("canonical_title"),

@@ -1424,6 +1424,18 @@ def _(spark, sf):
     return jobs.latest_counts(spark, out, ["entity", "entity_type", "time_bucket"])
 
 
+@query("stream_sentiment_daily", with_views(X.ARTICLES, DAILY_SQL, select="SELECT * FROM daily"))
+def _(spark, sf):
+    landed, out = scratch_dir(spark, "landed"), scratch_dir(spark, "moods")
+    rows = X.articles(spark, sf).select("id", "published_at", "sentiment_label", F.col("published_at").alias("collected_at"))
+    day = F.coalesce(F.floor(F.day("published_at") / 8), F.lit(0))
+    for part in range(4):
+        rows.filter(day == part).coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    jobs.run_updates(jobs.stream_sentiment_daily(stream), out, scratch_dir(spark, "offsets"), fold_every=2)
+    return jobs.latest_counts(spark, out, ["date_bucket", "sentiment_label"])
+
+
 @query("stream_breaker", BREAKER_ORACLE)
 def _(spark, sf):
     stream = _event_stream(spark, sf).select(

@@ -31,9 +31,69 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
     _drain(stream, lambda rows, n: _write_batch(rows, path, n), checkpoint)
 
 
-def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """As `run_to_files` for a stream of changed aggregates."""
-    _drain(stream, lambda rows, n: _write_batch(rows, path, n), checkpoint, "update")
+FOLD_EVERY = 16  # batches
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str, fold_every: int = FOLD_EVERY) -> None:
+    """As `run_to_files` for a stream of changed aggregates, whose latest values are folded into a base now and then.
+
+    Batches are numbered; the base says up to which batch it goes. It is complete before readers take it, and the
+    batches in it go only with the next base, so a reader that began with the last one can end.
+    """
+    spark = stream.sparkSession
+
+    def keep(rows: DataFrame, n: int) -> None:
+        _write_batch(rows, path, n)
+        upto = _base(spark, path)
+        if n - (-1 if upto is None else upto) >= fold_every:
+            _fold(spark, path, upto, n)
+
+    _drain(stream, keep, checkpoint, "update")
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    place, files = _folder(spark, path)
+    found = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+    return sorted(int(n.split("=")[1]) for n in found if n.startswith(f"{name}="))
+
+
+def _base(spark: SparkSession, path: str) -> int | None:
+    """The batch up to which the newest complete base goes."""
+    for upto in reversed(_numbers(spark, f"{path}/_base", "upto")):
+        place, files = _folder(spark, f"{path}/_base/upto={upto}/_SUCCESS")
+        if files.exists(place):
+            return upto
+    return None
+
+
+def _latest(spark: SparkSession, path: str, upto: int | None) -> DataFrame:
+    """Newest value of every key, out of the base and the batches after it."""
+    batches = [n for n in _numbers(spark, path, "batch_id") if upto is None or n > upto]
+    parts = [spark.read.parquet(f"{path}/batch_id={n}").withColumn("batch_id", F.lit(n)) for n in batches]
+    if upto is not None:
+        parts.insert(0, spark.read.parquet(f"{path}/_base/upto={upto}"))
+    if not parts:
+        return spark.read.parquet(path)
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    keys = [c for c in rows.columns if c not in ("article_count", "batch_id")]
+    return rows.groupBy(*keys).agg(F.max(F.struct("batch_id", "article_count")).alias("_last")).select(
+        *keys, "_last.article_count", "_last.batch_id")
+
+
+def _fold(spark: SparkSession, path: str, upto: int | None, n: int) -> None:
+    _latest(spark, path, upto).write.mode("overwrite").parquet(f"{path}/_base/upto={n}")
+    old = [f"{path}/_base/upto={k}" for k in _numbers(spark, f"{path}/_base", "upto") if upto is not None and k < upto]
+    old += [f"{path}/batch_id={k}" for k in _numbers(spark, path, "batch_id") if upto is not None and k <= upto]
+    for folder in old:
+        place, files = _folder(spark, folder)
+        files.delete(place, True)
 
 
 def landing_stream(payloads: DataFrame, path: str, checkpoint: str) -> None:
@@ -108,10 +168,8 @@ def stream_sentiment_daily(articles: DataFrame, lateness: str = LATENESS, collec
 
 
 def latest_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest count per key of a `run_updates` folder."""
-    newest = spark.read.parquet(path).groupBy(*keys, "clock_bucket").agg(
-        F.max_by("article_count", "batch_id").alias("article_count"))
-    return newest.groupBy(*keys).agg(F.sum("article_count").alias("article_count"))
+    """Newest count per key of a `run_updates` folder: the base and at most `fold_every` batches after it are read."""
+    return _latest(spark, path, _base(spark, path)).groupBy(*keys).agg(F.sum("article_count").alias("article_count"))
 
 
 def stream_breaker(outcomes: DataFrame, path: str, checkpoint: str, chunk: str = "day") -> None:
