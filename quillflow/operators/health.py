@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lexicons import MAX_ARTICLE_AGE_HOURS
+from ..session import written
 
 OPEN_AFTER = 5
 
@@ -35,19 +36,25 @@ def circuit_breaker(
     at: str = "ts",
     order: str = "event_id",
     initial: DataFrame | None = None,
-    chunk: str = "day",
+    chunk: str | None = None,
 ) -> DataFrame:
     """Consecutive failures and breaker state after every outcome.
 
-    A source's history is cut into time chunks, so no task has to hold a whole source: failures
-    are counted inside each chunk, one summary row per chunk carries the run of failures over to
-    the next, and the two are added. `initial` gives (source_id, circuit_breaker_state,
+    The history, sorted by source and time, is cut into ranges of about equal length, so no task has to hold a
+    whole source or a busy day of one: failures are counted inside each range, one summary row per source and
+    range carries the run of failures over to the next, and the two are added. `chunk` cuts by a calendar unit instead,
+    which saves the sort. `initial` gives (source_id, circuit_breaker_state,
     consecutive_failures) from before the first outcome.
     """
     ok = F.col("ok")
     inside = Window.partitionBy("source_id", "_chunk").orderBy(at, order)
+    if chunk is None:
+        # Written: which range a row is in must not change between the readers of this column.
+        cut = written(outcomes.repartitionByRange("source_id", at, order).withColumn("_chunk", F.spark_partition_id()), "ranges")
+    else:
+        cut = outcomes.withColumn("_chunk", F.date_trunc(chunk, F.col(at)))
     rows = (
-        outcomes.withColumn("_chunk", F.date_trunc(chunk, F.col(at)))
+        cut
         .withColumn("_place", F.row_number().over(inside))
         .withColumn("_last_ok", F.max(F.when(ok, F.col("_place"))).over(
             inside.rowsBetween(Window.unboundedPreceding, 0)))

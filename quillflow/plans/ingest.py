@@ -58,7 +58,7 @@ def _cycle(
     before = written(store.read_run("articles", run_id).select(
         F.col("published_date").alias("bucket_date")).distinct(), f"days-{run_id}")
     # Health as other runs have left it: a source whose breaker is open is not polled again.
-    current = with_health(sources, store.read("source_health").filter(F.col("run_id") != run_id))
+    current = with_health(sources, store.health(without=run_id))
     usable = written(active_sources(current), f"sources-{run_id}")
     open_run(store, run_id, at)
     fetched = payloads.join(usable.select(F.col("id").alias("source_id")), "source_id", "left_semi")

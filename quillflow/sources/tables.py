@@ -85,8 +85,53 @@ class NewsStore:
             return self.table(table).read_run(run_id)
         return self.read(table).filter(F.col("run_id") == run_id)
 
+    def health(self, without: str) -> DataFrame:
+        """Stored health as other runs have left it: a row per source of the snapshot, and the runs after it."""
+        recent = self.read("source_health").filter(F.col("run_id") != without)
+        upto = self._snapshots()
+        if not upto:
+            return recent
+        base = self.spark.read.schema(SCHEMAS["source_health"]).parquet(f"{self.path('source_health_base')}/{upto[-1]}")
+        return recent.unionByName(base.filter(F.col("run_id") != without))
+
+    def _snapshots(self) -> list[str]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path("source_health_base"))
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return []
+        done = [s.getPath() for s in files.listStatus(folder)]
+        success = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(p.getName() for p in done if files.exists(success(p, "_SUCCESS")))
+
+    def fold_health(self, keep: int = 8) -> int:
+        """Fold the health of all but the `keep` newest runs into a snapshot, once as many more have gathered.
+
+        Health rows are running totals, so the newest of a source stands for all before it. The snapshot is complete
+        before the folders that it stands for go; rows that are there twice tell the same. Gives the number of runs folded.
+        """
+        runs = self.read("source_health").groupBy("run_id").agg(F.max("applied_at").alias("at")).orderBy("at", "run_id").collect()
+        if len(runs) < 2 * keep:
+            return 0
+        old = [r["run_id"] for r in runs[:-keep]]
+        held, before = self.read("source_health").filter(F.col("run_id").isin(old)), self._snapshots()
+        if before:
+            held = held.unionByName(
+                self.spark.read.schema(SCHEMAS["source_health"]).parquet(f"{self.path('source_health_base')}/{before[-1]}"))
+        names = self._schema("source_health").names
+        last = F.max(F.struct("applied_at", "run_id", *[c for c in names if c not in ("applied_at", "run_id", "source_id")]))
+        newest = held.groupBy("source_id").agg(last.alias("_last")).select(
+            *[F.col("source_id") if c == "source_id" else F.col("_last")[c].alias(c) for c in names])
+        newest.write.mode("overwrite").parquet(f"{self.path('source_health_base')}/{len(before) + 1:012d}")
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for run in old:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path('source_health')}/run_id={escape(run)}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return len(old)
+
     def maintain(self, before: date) -> None:
-        """Join the folders of dates before `before`, of the search index and of the key index where many have gathered."""
+        """Join the folders of dates before `before`, of the search index and of the key index where many have gathered, and
+        fold old health."""
+        self.fold_health()
         for table in (*DATED, *INDEXED):
             self.table(table).merge(before if table in DATED else None)
         self.keys().merge()

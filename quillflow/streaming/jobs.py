@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,9 +131,27 @@ def stream_dedup(rows: DataFrame, key: str = "url", seen_at: str = "collected_at
     """First row per key within the horizon; its state is dropped as the watermark moves on.
 
     Articles can be undated, so the collection time drives the watermark. What the state has
-    forgotten the store still knows: the permanent check is the one in the ingestion cycle.
+    forgotten the store still knows: the permanent check is the one in the ingestion cycle. Every input partition
+    hands on one row per key and batch, so a key that fills a batch reaches its state task as a few rows.
     """
-    return rows.withWatermark(seen_at, horizon).dropDuplicatesWithinWatermark([key])
+    return first_of_partition(rows, key).withWatermark(seen_at, horizon).dropDuplicatesWithinWatermark([key])
+
+
+def first_of_partition(rows: DataFrame, key: str) -> DataFrame:
+    """The first row per key of every partition; rows without a key all count as one key. Holds a partition's distinct keys."""
+
+    def run(batches):
+        seen: set = set()
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(key)).to_pylist()
+            fresh = []
+            for place, value in enumerate(values):
+                if value not in seen:
+                    seen.add(value)
+                    fresh.append(place)
+            yield batch.take(pa.array(fresh, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _clocked(rows: DataFrame, collected_at: str, lateness: str) -> DataFrame:
@@ -172,7 +191,7 @@ def latest_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return _latest(spark, path, _base(spark, path)).groupBy(*keys).agg(F.sum("article_count").alias("article_count"))
 
 
-def stream_breaker(outcomes: DataFrame, path: str, checkpoint: str, chunk: str = "day") -> None:
+def stream_breaker(outcomes: DataFrame, path: str, checkpoint: str, chunk: str | None = None) -> None:
     """Breaker state after every outcome, kept per source across micro-batches.
 
     A micro-batch is the batch computation with the state of the last batch as its start. State is

@@ -1,3 +1,5 @@
+import glob
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -5,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillflow.operators import health, runs
+from quillflow.sources.tables import NewsStore
+from quillflow.streaming import jobs
 
 
 def brute(rows, start):
@@ -61,3 +65,53 @@ def test_run_status(spark):
     assert part.status == "PARTIAL_SUCCESS" and part.failures == 21
     assert part.error_summary == "; ".join(["src down"] + [f"VALIDATION: e{i}" for i in range(9)])
     assert run_row(spark, [(1, "a", "VALIDATION", None)], [(1, "VALIDATION", "x")], []).status == "FAILED"
+
+
+def test_one_busy_day_is_cut_into_equal_ranges(spark):
+    """One source has 90 % of the outcomes, all on one day; a source's breaker is still the sequential one."""
+    n = 40_000
+    rows = spark.range(0, n, 1, 4).select(
+        F.when(F.col("id") % 10 != 0, "busy").otherwise(F.concat(F.lit("s"), (F.col("id") % 70).cast("string"))).alias("source_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 80_000).alias("ts"), F.col("id").alias("event_id"),
+        (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("ok"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = health.circuit_breaker(rows).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    state = {}
+    for r in sorted(got, key=lambda r: (r["source_id"], r["ts"], r["event_id"])):
+        failures = 0 if r["ok"] else state.get(r["source_id"], 0) + 1
+        state[r["source_id"]] = failures
+        assert r["consecutive_failures"] == failures and r["circuit_breaker_state"] == ("OPEN" if failures >= 5 else "CLOSED")
+    root = spark.conf.get("spark.checkpoint.dir")
+    newest = max(glob.glob(f"{root}/ranges-*"), key=os.path.getmtime)
+    sizes = sorted(r["count"] for r in spark.read.parquet(newest).groupBy("source_id", "_chunk").count().filter("source_id = 'busy'").collect())
+    whole = sorted(r["count"] for r in spark.read.parquet(newest).groupBy("_chunk").count().collect())
+    assert len(sizes) >= 6 and whole[-1] <= 2 * whole[len(whole) // 2]
+
+
+def test_health_is_read_from_a_snapshot_and_the_newest_runs(spark, tmp_path):
+    store = NewsStore(spark, str(tmp_path))
+    names = [f.name for f in store._schema("source_health").fields]
+    want = {}
+    for run in range(11):
+        rows = [(f"s{k}", run + 1, 0, None, None, None, 100.0, "CLOSED", 0, datetime(2024, 1, 1, run)) for k in range(3) if (run + k) % 3]
+        frame = spark.createDataFrame(rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in store._schema("source_health").fields[:-1]))
+        store.write_run("source_health", frame, f"r/{run:02d}")
+        want.update({r[0]: r[1] for r in rows})
+        store.fold_health(keep=3)
+    assert len(names) == 11 and store.read("source_health").select("run_id").distinct().count() <= 6
+    sources = spark.createDataFrame([("s0",), ("s1",), ("s2",), ("new",)], "id string")
+    got = {r["id"]: r["success_count"] for r in health.with_health(sources, store.health("none")).collect()}
+    assert got == {**want, "new": 0}
+    # A run that is written again does not see itself.
+    last = {r["id"]: r["success_count"] for r in health.with_health(sources, store.health("r/10")).collect()}
+    assert max(last.values()) == 10
+
+
+def test_a_hot_url_reaches_its_state_task_once_per_partition(spark):
+    rows = spark.range(0, 8000, 1, 4).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("url"), "id")
+    got = jobs.first_of_partition(rows.unionByName(rows.limit(2).withColumn("url", F.lit(None))), "url").groupBy("url").count()
+    counts = {r["url"]: r["count"] for r in got.filter("count > 1 or url is null").collect()}
+    assert counts["hot"] <= 5 and got.count() == 4000 + 2
