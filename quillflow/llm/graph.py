@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 ROUNDS = 60
+PART_ROWS = 200_000  # rows of a written part, at least: a small graph is not cut into hundreds of files in every round
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
@@ -16,6 +17,11 @@ def _tidy(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _kept(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """`rows`, of which there are `most` at most, written in parts of a useful size."""
+    return written(rows.coalesce(max(1, -(-most // PART_ROWS))), label)
+
+
 def _state(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -34,13 +40,13 @@ def components(edges: DataFrame) -> DataFrame:
         if not state[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m")), "least")
+        least = _kept(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m")), "least", 2 * state[0])
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(_tidy(large), "edges")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = _kept(_tidy(large), "edges", 2 * state[0])
+        least = _kept(large.groupBy("a").agg(F.min("b").alias("m")), "least", 2 * state[0])
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b")))
-        edges = written(_tidy(small), "edges")
+        edges = _kept(_tidy(small), "edges", 4 * state[0])
         now = _state(edges)
         if now == state:
             break
