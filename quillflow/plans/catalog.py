@@ -1302,6 +1302,16 @@ def _(spark, sf):
 # --- Whole cycle and streams -------------------------------------------------------------------
 
 
+def _arriving(shares: list[DataFrame], drain: Callable[[DataFrame], None]) -> None:
+    """Let shares of a table land one after the other and drain the stream after each: a micro-batch per share, read and
+    written with as many tasks as the table has."""
+    spark = shares[0].sparkSession
+    landed = scratch_dir(spark, "landed")
+    for share in shares:
+        share.write.mode("append").parquet(landed)
+        drain(spark.readStream.schema(share.schema).parquet(landed))
+
+
 def _feed_sources(spark: SparkSession, sf: str) -> DataFrame:
     return X.articles(spark, sf).select("source_name").distinct().select(
         F.col("source_name").alias("id"), F.col("source_name").alias("name"), F.lit("Asia/Kolkata").alias("timezone_hint"),
@@ -1349,14 +1359,10 @@ def _(spark, sf):
     "ORDER BY source_name, poll, id", "ORDER BY poll % 2, source_name, poll, id"), select="""
 SELECT url, title, source_name, published_at, content_hash, clean_summary AS summary FROM saved"""))
 def _(spark, sf):
-    landed = scratch_dir(spark, "landed")
-    payloads = X.payloads(spark, sf)
+    payloads, store, offsets = X.payloads(spark, sf), _store(spark), scratch_dir(spark, "offsets")
     poll = F.element_at(F.split("payload_id", "-"), -1).cast("bigint")
-    for part in (0, 1):  # two micro-batches
-        payloads.filter(poll % 2 == part).coalesce(1).write.mode("append").parquet(landed)
-    store = _store(spark)
-    stream = spark.readStream.schema(payloads.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    jobs.stream_ingest(store, stream, _feed_sources(spark, sf), scratch_dir(spark, "offsets"))
+    _arriving([payloads.filter(poll % 2 == part) for part in (0, 1)], lambda stream: jobs.stream_ingest(
+        store, stream, _feed_sources(spark, sf), offsets))
     return store.read("articles").select("url", "title", "source_name", "published_at", "content_hash", "summary")
 
 
@@ -1405,43 +1411,36 @@ def _(spark, sf):
     return spark.read.parquet(out).select("url")
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events in time order as four files, each its own micro-batch."""
-    events, landed = X.table(spark, sf, "events"), scratch_dir(spark, "landed")
-    week = F.least(F.floor(F.day("ts") / 8), F.lit(3))
-    for part in range(4):
-        events.filter(week == part).coalesce(1).write.mode("append").parquet(landed)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+def _weeks(rows: DataFrame, day: Column) -> list[DataFrame]:
+    """The rows in time order as four shares."""
+    week = F.coalesce(F.least(F.floor(day / 8), F.lit(3)), F.lit(0))
+    return [rows.filter(week == part) for part in range(4)]
 
 
 @query("stream_hourly_trends", with_views(X.MENTIONS, select="SELECT * FROM hourly"))
 def _(spark, sf):
-    stream = _event_stream(spark, sf).select(
+    out, offsets = scratch_dir(spark, "trends"), scratch_dir(spark, "offsets")
+    events = X.table(spark, sf, "events")
+    _arriving(_weeks(events, F.day("ts")), lambda stream: jobs.run_updates(jobs.stream_hourly_trends(stream.select(
         F.col("event_type").alias("entity"), F.pmod("user_id", F.lit(4)).cast("string").alias("entity_type"),
-        F.col("ts").cast("timestamp").alias("published_at"), F.col("ts").cast("timestamp").alias("collected_at"))
-    out = scratch_dir(spark, "trends")
-    jobs.run_updates(jobs.stream_hourly_trends(stream), out, scratch_dir(spark, "offsets"))
+        F.col("ts").cast("timestamp").alias("published_at"), F.col("ts").cast("timestamp").alias("collected_at"))), out, offsets))
     return jobs.latest_counts(spark, out, ["entity", "entity_type", "time_bucket"])
 
 
 @query("stream_sentiment_daily", with_views(X.ARTICLES, DAILY_SQL, select="SELECT * FROM daily"))
 def _(spark, sf):
-    landed, out = scratch_dir(spark, "landed"), scratch_dir(spark, "moods")
+    out, offsets = scratch_dir(spark, "moods"), scratch_dir(spark, "offsets")
     rows = X.articles(spark, sf).select("id", "published_at", "sentiment_label", F.col("published_at").alias("collected_at"))
-    day = F.coalesce(F.floor(F.day("published_at") / 8), F.lit(0))
-    for part in range(4):
-        rows.filter(day == part).coalesce(1).write.mode("append").parquet(landed)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    jobs.run_updates(jobs.stream_sentiment_daily(stream), out, scratch_dir(spark, "offsets"), fold_every=2)
+    _arriving(_weeks(rows, F.day("published_at")), lambda stream: jobs.run_updates(
+        jobs.stream_sentiment_daily(stream), out, offsets, fold_every=2))
     return jobs.latest_counts(spark, out, ["date_bucket", "sentiment_label"])
 
 
 @query("stream_breaker", BREAKER_ORACLE)
 def _(spark, sf):
-    stream = _event_stream(spark, sf).select(
+    out, offsets = scratch_dir(spark, "breaker"), scratch_dir(spark, "offsets")
+    _arriving(_weeks(X.table(spark, sf, "events"), F.day("ts")), lambda stream: jobs.stream_breaker(stream.select(
         F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
-        (F.col("event_type") != "error").alias("ok"))
-    out = scratch_dir(spark, "breaker")
-    jobs.stream_breaker(stream, out, scratch_dir(spark, "offsets"))
+        (F.col("event_type") != "error").alias("ok")), out, offsets))
     return jobs.breaker_history(spark, out).select(
         "source_id", "event_id", "consecutive_failures", "circuit_breaker_state")

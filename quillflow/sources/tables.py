@@ -53,6 +53,7 @@ SCHEMAS = {
     "hourly_trends": "entity string, entity_type string, time_bucket timestamp, article_count bigint, bucket_date date",
     "sentiment_summaries": "date_bucket timestamp, sentiment_label string, article_count bigint, bucket_date date",
 }
+BLOCK_BUCKETS = 8  # the block table is small beside the postings
 SUMMARIES = ("hourly_trends", "sentiment_summaries")
 DATED = ("articles", "entities", "sectors", "keywords")
 INDEXED = {"postings": ["term", "doc_block"], "posting_blocks": ["term"]}
@@ -172,7 +173,7 @@ class NewsStore:
         """Postings, their blocks and article lengths of a run, in the run's own folders."""
         stem = stem or self.stem
         self.write_run("postings", bucketed(build_postings(articles, stem=stem)), run_id)
-        self.write_run("posting_blocks", bucketed(posting_blocks(self.read_run("postings", run_id))), run_id)
+        self.write_run("posting_blocks", bucketed(posting_blocks(self.read_run("postings", run_id)), BLOCK_BUCKETS), run_id)
         self.write_run("doc_lengths", doc_lengths(articles, stem=stem), run_id)
 
     def _schema(self, table: str):
