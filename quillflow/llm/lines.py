@@ -44,7 +44,8 @@ def drop_boilerplate(
 
     Repeated rows are pages of their own. Rows without a site or text stay as they are, blank lines
     stay. With `protect`, a text of boilerplate lines only stays whole: there is nothing that they
-    accompany. Without, its lines go too; what is left is empty or blank lines, and the row stays. Other columns stay; a column named dropped_lines is replaced. No rows give no rows.
+    accompany. Without, its lines go too; what is left is empty or blank lines, and the row stays.
+    Other columns stay; a column named dropped_lines is replaced. No rows give no rows.
     """
     names = [c for c in pages.columns if c != "dropped_lines"]
     # Written first: its exact size then decides about a broadcast, and mostly no text has to be shuffled.
@@ -73,7 +74,7 @@ BLOCKS = (
 HIDDEN = r"<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 BLOCK = rf"</?({BLOCKS})(/|[ \t\r\n][^>]*)?>"
 TAG = r"<[^>]*>"
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)"
 
 
 def shown_lines(html: Column) -> Column:
@@ -91,11 +92,14 @@ def host(url: Column) -> Column:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """page_id, host, text without the host's boilerplate lines, dropped_lines of (page_id, url, html)."""
+    """page_id, host, text without the host's boilerplate lines, dropped_lines of (page_id, url, html).
+
+    Also a page of boilerplate only loses its lines. Repeated rows are pages of their own.
+    """
     # Read twice, by the counts and by the result: written once, so that no page is taken apart twice.
     rows = written(
         pages.select("page_id", host(F.col("url")).alias("host"), shown_lines(F.col("html")).alias("text")), "lines")
-    return drop_boilerplate(rows, "host", "text")
+    return drop_boilerplate(rows, "host", "text", protect=False)
 
 
 def _sql() -> str:
@@ -106,15 +110,15 @@ def _sql() -> str:
     blank = "'[ ' || chr(9) || chr(13) || ']*' || chr(10) || '[ ' || chr(9) || chr(13) || chr(10) || ']*'"
     text = f"regexp_replace({text}, {blank}, chr(10), 'g')"
     return f"""
-WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host, {text} AS text FROM pages),
-l AS (SELECT host, trim(unnest(string_split(text, chr(10))), ' ') AS line, page_id FROM p WHERE host IS NOT NULL),
-c AS (SELECT host, line, count(DISTINCT page_id) AS n FROM l WHERE line <> '' GROUP BY host, line),
+WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host, {text} AS text, row_number() OVER () AS r FROM pages),
+l AS (SELECT host, trim(unnest(string_split(text, chr(10))), ' ') AS line, r FROM p WHERE host IS NOT NULL),
+c AS (SELECT host, line, count(DISTINCT r) AS n FROM l WHERE line <> '' GROUP BY host, line),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 b AS (SELECT c.host, list(line) AS bad FROM c JOIN t USING (host) WHERE n >= {LEAST_PAGES} AND n > pages * {RATIO} GROUP BY c.host),
 k AS (SELECT page_id, p.host, text, string_split(text, chr(10)) AS lines,
       list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') = '' OR NOT coalesce(list_contains(bad, trim(x, ' ')), false)) AS kept
       FROM p LEFT JOIN b ON p.host = b.host),
-d AS (SELECT *, len(kept) < len(lines) AND len(list_filter(kept, lambda x: trim(x, ' ') <> '')) > 0 AS cut FROM k)
+d AS (SELECT *, len(kept) < len(lines) AS cut FROM k)
 SELECT page_id, host, CASE WHEN cut THEN array_to_string(kept, chr(10)) ELSE text END AS text,
        CASE WHEN cut THEN len(lines) - len(kept) ELSE 0 END AS dropped_lines
 FROM d"""

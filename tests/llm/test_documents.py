@@ -217,6 +217,24 @@ def test_line_stage_protects_no_document(spark):
     assert got[10] == ("", 0) and got[3] == ("own 3", 5) and len(got) == 11
 
 
+def test_repeated_pages_and_pages_of_boilerplate_in_the_query(spark, tmp_path):
+    """The query and its SQL agree where pages repeat, hold boilerplate only, or name a user in the url."""
+    import duckdb
+    from compare import differences
+
+    rows = [(i % 7, f"http://me:pw@a.example:80/{i}", f"<p>menu</p><p>own {i}</p>") for i in range(12)]
+    rows += [(20, "http://A.example?x@y", "<p>menu</p>"), (20, "http://A.example?x@y", "<p>menu</p>"), (21, "http://b.example", "<p>menu</p>"),
+             (22, None, "<p>menu</p>"), (23, "http://a.example", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    fn = lambda s, folder: lines.page_lines(s.read.parquet(f"{folder}/pages.parquet"))
+    assert differences(spark, con, str(tmp_path), "op5_lines", fn, lines.ORACLE) is None
+    got = [(r["page_id"], r["text"].strip(), r["dropped_lines"]) for r in fn(spark, str(tmp_path)).where("host = 'a.example' and text is not null").collect()]
+    assert sorted(got)[-2:] == [(20, "", 1), (20, "", 1)] and all(t.startswith("own") and n == 1 for k, t, n in got if k < 20)
+
+
 def test_pages(spark):
     html = "<html><head><script>x<p>y</script><style>p{}</style></head><body><nav>Home</nav><!-- a <p> b -->"
     rows = [(i, f"http://A.example/{i}", f"{html}<p>Text <b>{i}</b><br>more {i}</p></body>") for i in range(10)]
