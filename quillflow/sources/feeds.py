@@ -28,6 +28,10 @@ TEXTS = (
     "content:encoded dc:date dc:creator").split()
 # Elements that hold others.
 HOLDERS = "item entry author contributor source enclosure".split()
+# An entry whose elements, in the usual case, hold nothing but text: as most are, and nothing in it can be misread.
+_FLAT = (
+    r"(?s)^<(?:item|entry)(?:\s[^<>]*)?>[^<]*+"
+    r"(?:<([a-z][a-z0-9.:_-]*|pubDate)(?:\s[^<>]*)?(?:(?<=/)>|(?<!/)>[^<]*+</\1\s*>)[^<]*+)*+$")
 _BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});)"
 # Characters that XML forbids, and references to them.
 _FORBIDDEN = (
@@ -136,7 +140,7 @@ def _sound(entry: Column) -> Column:
             F.substr(marks, i + 1, F.lit(1)) == "t", spelled(c)).otherwise(text(c))), ""))
 
     def repaired(e: Column) -> Column:
-        xml = bind(F.regexp_extract_all(e, F.lit(_CHUNK), 0), rebuilt)
+        xml = F.when(e.rlike(_FLAT), e).otherwise(bind(F.regexp_extract_all(e, F.lit(_CHUNK), 0), rebuilt))
         return F.concat(F.regexp_replace(xml, _BARE_AMPERSAND, "&amp;"), F.when(
             e.rlike(r"(?i)^<item[\s>]"), "</item>").otherwise("</entry>"))
 
