@@ -82,7 +82,7 @@ def sectors(
         )
         for place, (name, terms) in enumerate(dictionary.items())
     ])
-    best = F.slice(F.array_sort(F.filter(scored, lambda s: s["minus"] < 0)), 1, keep)
+    best = F.slice(F.sort_array(F.filter(scored, lambda s: s["minus"] < 0)), 1, keep)
     return F.transform(best, lambda s: F.struct(s["sector"].alias("sector"), (-s["minus"]).alias("score")))
 
 
@@ -108,10 +108,9 @@ def sentiment(
 
 def keywords(text: Column, stop_words: Sequence[str] = tuple(KEYWORD_STOP_WORDS), keep: int = 5) -> Column:
     """Most frequent words of three or more ASCII letters; ties keep text order."""
-    words = F.filter(latin_words(text), lambda w: ~w.isin(list(stop_words)))
-    counted = bind(placed(words), lambda rows: over_runs(rows, "w", lambda r, at, n: F.struct(
+    counted = bind(placed(latin_words(text), lambda w: ~w.isin(list(stop_words))), lambda rows: over_runs(rows, "w", lambda r, at, n: F.struct(
         (-n).alias("minus"), F.get(r, at)["i"].alias("first"), F.get(r, at)["w"].alias("keyword"))))
-    return bind(F.slice(F.array_sort(counted), 1, keep), lambda top: F.transform(top, lambda t: F.struct(
+    return bind(F.slice(F.sort_array(counted), 1, keep), lambda top: F.transform(top, lambda t: F.struct(
         t["keyword"].alias("keyword"),
         F.bround(t["minus"] / F.get(top, F.lit(0))["minus"], 4).alias("weight"),
     )))

@@ -35,8 +35,11 @@ _CP1252 = {
 
 
 def bind(value: Column, body) -> Column:
-    """Evaluate `value` once and hand it to `body`."""
-    return F.transform(F.array(value), body)[0]
+    """Evaluate `value` once and hand it to `body`.
+
+    It is the start of a fold over nothing: unlike an element of a one-element array, neither it nor the result is copied.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
 def _literal_map(entries: dict[str, str]) -> Column:

@@ -24,8 +24,9 @@ def latin_words(text: Column) -> Column:
 
 def run_starts(rows: Column, key: str) -> Column:
     """Places in a sorted array where `key` changes."""
-    changes = F.transform(rows, lambda r, i: F.when((i == 0) | (F.get(rows, i - 1)[key] != r[key]), i))
-    return F.filter(changes, lambda i: i.isNotNull())
+    last = F.size(rows) - F.least(F.size(rows), F.lit(1))
+    # Before the first row, and in an empty array, there is nothing, which is null.
+    return F.filter(F.sequence(F.lit(0), last), lambda i: ~F.get(rows, i)[key].eqNullSafe(F.get(rows, i - 1)[key]))
 
 
 def run_items(rows: Column, at: Column, n: Column, take) -> Column:
@@ -39,25 +40,26 @@ def over_runs(rows: Column, key: str, make) -> Column:
         starts, lambda at, k: make(rows, at, F.coalesce(F.get(starts, k + 1), F.size(rows)) - at)))
 
 
-def placed(words: Column) -> Column:
-    """Words with their places, sorted by word and place."""
-    return F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+def placed(words: Column, keep) -> Column:
+    """Words for which `keep` holds with their places, sorted by word and place."""
+    every = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    # sort_array() compares by the type's own order; array_sort() would evaluate an expression per comparison.
+    return F.sort_array(F.filter(every, lambda r: keep(r["w"])))
 
 
 def positions_by_word(words: Column, keep) -> Column:
     """Struct (term, tf, positions) per distinct word for which `keep` holds."""
-    kept = F.filter(placed(words), lambda r: keep(r["w"]))
-    return bind(kept, lambda rows: over_runs(rows, "w", lambda r, at, n: F.struct(
+    return bind(placed(words, keep), lambda rows: over_runs(rows, "w", lambda r, at, n: F.struct(
         F.get(r, at)["w"].alias("term"), n.alias("tf"),
         run_items(r, at, n, lambda x: x["i"]).alias("positions"))))
 
 
 def merged_terms(postings: Column, stem) -> Column:
     """`positions_by_word` with the stems as terms: each distinct word is stemmed once, equal stems are joined."""
-    stemmed = F.array_sort(F.transform(postings, lambda p: F.struct(stem(p["term"]).alias("term"), p["positions"].alias("positions"))))
+    stemmed = F.sort_array(F.transform(postings, lambda p: F.struct(stem(p["term"]).alias("term"), p["positions"].alias("positions"))))
 
     def joined(rows: Column, at: Column, n: Column) -> Column:
-        places = F.array_sort(F.flatten(run_items(rows, at, n, lambda r: r["positions"])))
+        places = F.sort_array(F.flatten(run_items(rows, at, n, lambda r: r["positions"])))
         return F.struct(F.get(rows, at)["term"].alias("term"), F.size(places).alias("tf"), places.alias("positions"))
 
     return bind(stemmed, lambda rows: over_runs(rows, "term", joined))
@@ -81,7 +83,7 @@ def extractive_summary(
     segments = F.transform(pieces, lambda p: F.struct(
         F.when(p.rlike("[.!?]$"), F.regexp_replace(p, edges, "")).alias("sentence"), latin_words(p).alias("words")))
     chosen = bind(segments, lambda s: bind(_scored(s, _weights(s, stop_words)), lambda c: F.when(
-        F.size(c) > 3, _joined(F.slice(F.array_sort(F.transform(c, _ranked)), 1, keep)))))
+        F.size(c) > 3, _joined(F.slice(F.sort_array(F.transform(c, _ranked)), 1, keep)))))
     cut = bind(chosen, lambda s: F.when(
         F.length(s) > SUMMARY_LIMIT, F.concat(F.substring(s, 1, SUMMARY_LIMIT - 3), F.lit("..."))).otherwise(s))
     return F.when(F.length(body) >= MIN_BODY, cut)
@@ -92,12 +94,12 @@ def _weights(segments: Column, stop_words: Sequence[str]) -> Column:
     stops = list(stop_words)
     occurrences = F.flatten(F.transform(segments, lambda s, k: F.transform(
         F.filter(s["words"], lambda w: ~w.isin(stops)), lambda w: F.struct(w.alias("w"), k.alias("k")))))
-    counted = bind(F.array_sort(occurrences), lambda rows: F.flatten(over_runs(
+    counted = bind(F.sort_array(occurrences), lambda rows: F.flatten(over_runs(
         rows, "w", lambda r, at, n: run_items(
             r, at, n, lambda x: F.struct(x["k"].alias("k"), n.cast("bigint").alias("n"))))))
     # One zero entry per segment, so that run number and segment number agree.
     zeros = F.transform(segments, lambda s, k: F.struct(k.alias("k"), F.lit(0).cast("bigint").alias("n")))
-    return bind(F.array_sort(F.concat(counted, zeros)), lambda rows: over_runs(
+    return bind(F.sort_array(F.concat(counted, zeros)), lambda rows: over_runs(
         rows, "k", lambda r, at, n: F.aggregate(
             run_items(r, at, n, lambda x: x["n"]), F.lit(0).cast("bigint"), lambda total, m: total + m)))
 
@@ -116,5 +118,5 @@ def _ranked(sentence: Column, place: Column) -> Column:
 
 
 def _joined(best: Column) -> Column:
-    ordered = F.array_sort(F.transform(best, lambda b: F.struct(b["place"], b["sentence"].alias("sentence"))))
+    ordered = F.sort_array(F.transform(best, lambda b: F.struct(b["place"], b["sentence"].alias("sentence"))))
     return F.array_join(F.transform(ordered, lambda b: b["sentence"]), " ")
