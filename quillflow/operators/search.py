@@ -301,17 +301,18 @@ def search_top(
     left = block_bounds(blocks, stats, search, stem)
     words = sorted({w for option in _stemmed_options(articles.sparkSession, search, stem) for _, part in option for w in part if w})
     known = blocks.filter(F.col("term").isin(words)).groupBy("term").agg(F.sum("df").alias("df"))
-    page, size = None, first_wave
+    # Waves carry what orders the page; the articles are joined to the page alone.
+    placed, page, size = articles.select("id", "published_at"), None, first_wave
     while left:
         wave, left, size = [b for b, _ in left[:size]], left[size:], size * 2
         if told:
             told(wave)
-        ranked = search_ranked(articles, postings.filter(F.col("doc_block").isin(wave)), stats, search, stem, known)
+        ranked = search_ranked(placed, postings.filter(F.col("doc_block").isin(wave)), stats, search, stem, known)
         best = search_page(ranked, limit, cursor)
         page = written(best if page is None else search_page(page.unionByName(best), limit), "page")
         ranks = sorted((r["rank"] for r in page.select("rank").collect()), reverse=True)
         if len(ranks) > limit:
             left = [(b, bound) for b, bound in left if bound >= ranks[limit]]
     if page is None:
-        page = articles.withColumn("rank", F.lit(0.0)).filter(F.lit(False))
-    return search_page(page, limit)
+        return search_page(articles.withColumn("rank", F.lit(0.0)).filter(F.lit(False)), limit)
+    return search_page(articles.join(page.select("id", "rank").distinct(), "id"), limit, cursor)

@@ -33,3 +33,21 @@ def test_words_are_sorted_by_their_own_order(spark):
 def test_run_starts_of_odd_arrays(spark):
     rows = spark.createDataFrame([([(1,), (1,), (2,), (3,), (3,)],), ([(7,)],), ([],), (None,)], "a array<struct<k:int>>")
     assert [r[0] for r in rows.select(run_starts(F.col("a"), "k")).collect()] == [[0, 2, 3], [0], [], None]
+
+
+def test_waves_carry_no_bodies(spark, tmp_path, monkeypatch):
+    ids = [f"{n:03d}" for n in range(40)] + ["007", "007"]  # one id three times
+    rows = spark.createDataFrame(
+        [(i, "rally " * (int(i) % 5 + 1), None, "text", datetime(2024, 1, 1 + k % 9)) for k, i in enumerate(ids)],
+        "id string, title string, summary string, body string, published_at timestamp")
+    store = NewsStore(spark, str(tmp_path))
+    store.write_index(rows.dropDuplicates(["id"]), "r")
+    stats = spark.createDataFrame(search.index_stats(store.read("doc_lengths")).collect(), "n_docs bigint, mean_len double")
+    carried, write = [], search.written
+    monkeypatch.setattr(search, "written", lambda page, label: (carried.append(page.columns), write(page, label))[1])
+    for limit in (3, 12, 60):
+        page = search.search_top(rows, store.read("postings"), store.read("posting_blocks"), stats, "rally", limit)
+        every = search.search_ranked(rows, store.read("postings"), stats, "rally")
+        want = search.search_page(every, limit)
+        assert page.columns == want.columns and page.collect() == want.collect()
+    assert carried and all("body" not in c for c in carried)
