@@ -24,6 +24,7 @@ DERIVED = {  # step 2, in R1
     "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": ""}
 SIMPLER = {  # step 3, in R1
     "tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+PAST = "eed eedly ed edly ing ingly".split()
 ENDINGS = (  # step 4, in R2
     "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion").split()
 
@@ -33,9 +34,14 @@ _REGION = f"{OTHER}*{VOWEL}+{OTHER}"
 SHORT_END = f"(?:{OTHER}{VOWEL}[^aeiouywxY]|^{VOWEL}{OTHER})$"
 
 
+def _ends_in(word: Column, suffixes) -> Column:
+    """Are the last two letters those of one of the suffixes? Far cheaper than a pattern, and settles most words."""
+    return F.right(word, F.lit(2)).isin(sorted({s[-2:] for s in suffixes}))
+
+
 def _ending(word: Column, suffixes) -> Column:
     """The longest of the suffixes that the word ends in, else an empty string."""
-    return F.regexp_extract(word, f"(?:{'|'.join(suffixes)})$", 0)
+    return F.when(_ends_in(word, suffixes), F.regexp_extract(word, f"(?:{'|'.join(suffixes)})$", 0)).otherwise("")
 
 
 def _before(word: Column, ending: Column) -> Column:
@@ -57,7 +63,8 @@ def _replaced(word: Column, ending: Column, table: dict[str, str]) -> Column:
 
 def _singular(word: Column) -> Column:
     return (
-        F.when(word.endswith("sses"), _before(word, F.lit("es")))
+        F.when(~(word.endswith("s") | word.endswith("ied")), word)
+        .when(word.endswith("sses"), _before(word, F.lit("es")))
         .when(word.rlike("ie[ds]$"), F.when(F.char_length(word) > 4, _before(word, F.lit("es"))).otherwise(_before(word, F.lit("s"))))
         .when(word.rlike("[us]s$"), word)
         .when(word.rlike(f"{VOWEL}.+s$"), _before(word, F.lit("s")))
@@ -77,11 +84,12 @@ def _past(word: Column, r1: Column) -> Column:
             .when((ending != "") & stem.rlike(VOWEL), mended)
             .otherwise(word))
 
-    return bind(_ending(word, ["eed", "eedly", "ed", "edly", "ing", "ingly"]), ended)
+    return bind(_ending(word, PAST), ended)
 
 
 def _final_y(word: Column) -> Column:
-    return F.when(word.rlike(f"^.+{OTHER}[yY]$"), F.concat(_before(word, F.lit("y")), F.lit("i"))).otherwise(word)
+    y = word.endswith("y") | word.endswith("Y")
+    return F.when(y & word.rlike(f"^.+{OTHER}[yY]$"), F.concat(_before(word, F.lit("y")), F.lit("i"))).otherwise(word)
 
 
 def _derived(word: Column, r1: Column) -> Column:
@@ -118,23 +126,35 @@ def _last(word: Column, r1: Column, r2: Column) -> Column:
     return F.when(word.endswith("e") & loose, stem).when(word.endswith("ll") & (size >= r2), stem).otherwise(word)
 
 
+def _may_change(word: Column) -> Column:
+    """Can a step after the first one change the word? All others go through none of them."""
+    return F.right(word, F.lit(1)).isin("e", "y", "Y") | _ends_in(word, ["ll", *PAST, *DERIVED, *SIMPLER, *ENDINGS])
+
+
 def english(word: Column) -> Column:
     """Stem of a lower-case word; words of up to two letters stay, other alphabets' letters count as consonants."""
-    def regions(w: Column) -> Column:
+    def regions(w: Column, v: Column) -> Column:
         return bind(_region(w, "|".join([*REGION_PREFIXES, _REGION])), lambda r1: bind(
-            r1 + _region(F.substr(w, r1 + 1), _REGION), lambda r2: steps(w, r1, r2)))
+            r1 + _region(F.substr(w, r1 + 1), _REGION), lambda r2: steps(v, r1, r2)))
+
+    def steps(v: Column, r1: Column, r2: Column) -> Column:
+        ends = lambda b: bind(_derived(b, r1), lambda c: bind(_simpler(c, r1, r2), lambda d: _without_ending(d, r2)))
+        shorter = lambda b: F.when(_ends_in(b, [*DERIVED, *SIMPLER, *ENDINGS]), ends(b)).otherwise(b)
+        return bind(_past(v, r1), lambda a: bind(_final_y(a), lambda b: bind(shorter(b), lambda e: _last(e, r1, r2))))
 
-    def steps(w: Column, r1: Column, r2: Column) -> Column:
-        done = lambda v: bind(_past(v, r1), lambda a: bind(_final_y(a), lambda b: bind(_derived(b, r1), lambda c: bind(
-            _simpler(c, r1, r2), lambda d: bind(_without_ending(d, r2), lambda e: _last(e, r1, r2))))))
-        return bind(_singular(w), lambda v: F.when(v.isin(UNCHANGED_SINGULAR), v).otherwise(done(v)))
+    def whole(w: Column) -> Column:
+        return bind(_singular(w), lambda v: F.when(
+            v.isin(UNCHANGED_SINGULAR) | ~_may_change(v), v).otherwise(regions(w, v)))
 
     special = F.when(F.lit(False), "")
     for odd, stem in SPECIAL.items():
         special = special.when(word == odd, stem)
-    marked = F.regexp_replace(F.regexp_replace(word, "^y", "Y"), f"({VOWEL})y", "$1Y")
-    stemmed = F.translate(bind(marked, regions), "Y", "y")
-    return F.coalesce(special, F.when((F.char_length(word) <= 2) | word.isin(UNCHANGED), word).otherwise(stemmed))
+    marked = F.when(F.contains(word, F.lit("y")), F.regexp_replace(
+        F.regexp_replace(word, "^y", "Y"), f"({VOWEL})y", "$1Y")).otherwise(word)
+    stemmed = F.translate(bind(marked, whole), "Y", "y")
+    may_change = word.endswith("s") | _may_change(word) | F.contains(word, F.lit("Y"))
+    unchanged = (F.char_length(word) <= 2) | word.isin(UNCHANGED) | ~may_change
+    return F.when(word.isin(list(SPECIAL)), special).when(unchanged, word).otherwise(stemmed)
 
 
 _S = "|".join

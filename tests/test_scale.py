@@ -35,6 +35,16 @@ def test_run_starts_of_odd_arrays(spark):
     assert [r[0] for r in rows.select(run_starts(F.col("a"), "k")).collect()] == [[0, 2, 3], [0], [], None]
 
 
+def test_words_that_no_step_changes_skip_them(spark):
+    words = ["onth", "enher", "walked", "sky", "words", "thand", "only", "", None, "ied", "tied", "bass", "gas", "taxi", "hall", "joy", "yard"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(
+        "w", stems._may_change(F.col("w")).alias("may"), stems.english(F.col("w")).alias("stem")).collect()
+    stem = {r["w"]: r["stem"] for r in got}
+    assert all(r["stem"] == r["w"] for r in got if r["may"] is False and not r["w"].endswith("s"))
+    assert {r["w"] for r in got if r["may"]} == {"enher", "walked", "sky", "only", "ied", "tied", "bass", "hall", "joy"}
+    assert (stem["walked"], stem["words"], stem["only"], stem["tied"], stem["gas"], stem["yard"]) == ("walk", "word", "onli", "tie", "gas", "yard")
+
+
 def test_waves_carry_no_bodies(spark, tmp_path, monkeypatch):
     ids = [f"{n:03d}" for n in range(40)] + ["007", "007"]  # one id three times
     rows = spark.createDataFrame(
