@@ -30,6 +30,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Row groups of landed files are small, so that all cores share a micro-batch of few files.
+LANDED = {"parquet.block.size": str(4 << 20)}
+
+
 def plain(rows: DataFrame) -> DataFrame:
     """Timestamps without zone, which is how the oracle shows them."""
     return rows.select(*[
@@ -164,7 +168,7 @@ def _(spark, sf):
 @query("landing_stream", FEED_ORACLE)
 def _(spark, sf):
     landed = scratch_dir(spark, "landed")
-    X.payloads(spark, sf).write.parquet(landed)
+    X.payloads(spark, sf).write.options(**LANDED).parquet(landed)
     out = scratch_dir(spark, "entries")
     stream = spark.readStream.schema(spark.read.parquet(landed).schema).option("maxFilesPerTrigger", 4).parquet(landed)
     jobs.landing_stream(stream, out, scratch_dir(spark, "offsets"))
@@ -1308,7 +1312,7 @@ def _arriving(shares: list[DataFrame], drain: Callable[[DataFrame], None]) -> No
     spark = shares[0].sparkSession
     landed = scratch_dir(spark, "landed")
     for share in shares:
-        share.write.mode("append").parquet(landed)
+        share.write.mode("append").options(**LANDED).parquet(landed)
         drain(spark.readStream.schema(share.schema).parquet(landed))
 
 

@@ -61,3 +61,13 @@ def test_waves_carry_no_bodies(spark, tmp_path, monkeypatch):
         want = search.search_page(every, limit)
         assert page.columns == want.columns and page.collect() == want.collect()
     assert carried and all("body" not in c for c in carried)
+
+
+def test_landed_files_can_be_shared_by_tasks(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    rows = spark.range(0, 1000, 1, 1).select("id", F.concat_ws("", F.transform(
+        F.sequence(F.lit(1), F.lit(400)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256))).alias("payload"))
+    rows.write.options(**catalog.LANDED).parquet(path)
+    groups = [pq.ParquetFile(f).num_row_groups for f in map(str, (tmp_path / "landed").glob("*.parquet"))]
+    assert len(groups) == 1 and groups[0] >= 5
+    assert spark.read.parquet(path).exceptAll(rows).isEmpty()
