@@ -74,7 +74,10 @@ def _cycle(
     except Exception as e:
         raw_error = f"raw payloads not kept: {type(e).__name__}"
 
-    staged = written(stage_articles(raw, at).select(*STAGED), f"staged-{run_id}")
+    # The payload goes on with dead letters, and with articles where an enricher of the caller's own might read it.
+    needed = (F.col("stage") != "PASSED") | F.lit(enrichers is not None)
+    staged = written(stage_articles(raw, at).withColumn("raw_payload", F.when(needed, F.col("raw_payload"))).select(
+        *STAGED), f"staged-{run_id}")
     failures = route_failures(staged).unionByName(entry_failures(scanned))
     dead_letter(store, failures, run_id, at)
 

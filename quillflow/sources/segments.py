@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.articles import after_cursor, page_order
 from ..operators.maintenance import backfill_from_join, conditional_update, upsert_by_key
-from ..session import written
+from ..session import TEXTS, written
 
 FAN_IN = 8
 ROWS_PER_SEGMENT = 5_000_000
@@ -164,7 +164,7 @@ class SegmentedTable:
         shaped = shaped.hint("rebalance", self.part)
         if self.sort:
             shaped = shaped.sortWithinPartitions(self.part, *self.sort)
-        shaped.write.options(**options).partitionBy(self.part).parquet(f"{self.root}/data/seg={name}")
+        shaped.write.options(**options, **({} if self.sort else TEXTS)).partitionBy(self.part).parquet(f"{self.root}/data/seg={name}")
         path, files = self._path(f"data/seg={name}")
         if not any(s.isDirectory() for s in files.listStatus(path)):
             return []

@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.articles import EXPORT_COLUMNS, export_rows, export_scan
 from ..operators.search import bucketed, build_postings, doc_lengths, posting_blocks
 from ..operators.trends import entity_article_join, hourly_trends, sentiment_daily
+from ..session import TEXTS
 from .keys import KeyIndex
 from .segments import SegmentedTable
 
@@ -158,16 +159,16 @@ class NewsStore:
                 index.build(articles)
         return index
 
-    def write_run(self, table: str, rows: DataFrame, run_id: str) -> None:
-        """Replace this run's rows of `table`."""
+    def write_run(self, table: str, rows: DataFrame, run_id: str, gather: bool = True) -> None:
+        """Replace this run's rows of `table`. Rows that come from large files need not be gathered into few by a shuffle."""
         if table in DATED or table in INDEXED:
             self.table(table).write_run(run_id, rows)
             return
         stamped = rows.withColumn("run_id", F.lit(run_id))
         shaped = stamped.select(*[
             F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema(table).fields])
-        (shaped.hint("rebalance", "run_id").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(self.path(table)))
+        (shaped.hint("rebalance", "run_id") if gather else shaped).write.mode("overwrite").options(
+            **TEXTS, partitionOverwriteMode="dynamic").partitionBy("run_id").parquet(self.path(table))
 
     def write_index(self, articles: DataFrame, run_id: str, stem=None) -> None:
         """Postings, their blocks and article lengths of a run, in the run's own folders."""
@@ -207,7 +208,7 @@ def raw_append(store: NewsStore, raw: DataFrame, run_id: str, fetched_at: Column
         F.sha2(F.concat(F.lit(run_id), F.to_json(F.struct("seq"))), 256).alias("id"),
         "source_id", F.col("url").alias("source_url"), fetched_at.alias("fetched_at"),
         "published_at_raw", F.coalesce("raw_payload", F.lit("{}")).alias("raw_payload"))
-    store.write_run("raw_articles", rows, run_id)
+    store.write_run("raw_articles", rows, run_id, gather=False)
 
 
 def dead_letter_rows(failures: DataFrame, created_at: Column) -> DataFrame:

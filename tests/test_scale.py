@@ -71,3 +71,31 @@ def test_landed_files_can_be_shared_by_tasks(spark, tmp_path):
     groups = [pq.ParquetFile(f).num_row_groups for f in map(str, (tmp_path / "landed").glob("*.parquet"))]
     assert len(groups) == 1 and groups[0] >= 5
     assert spark.read.parquet(path).exceptAll(rows).isEmpty()
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_passed_rows_leave_their_payload_behind(spark, tmp_path, monkeypatch, own):
+    sources = spark.createDataFrame([("s", "S", "UTC", True, "CLOSED", "RSS")], (
+        "id string, name string, timezone_hint string, is_active boolean, circuit_breaker_state string, source_type string"))
+    item = "<item><title>{}</title><link>http://x.com/{}</link><description>d{}</description></item>"
+    xml = "<rss><channel>" + "".join(item.format(t, k, k) for k, t in enumerate(["Long enough one", "Long enough two", "Tiny"])) + "</channel></rss>"
+    payloads = spark.createDataFrame([("p", "s", datetime(2024, 1, 1), xml)], "payload_id string, source_id string, fetched_at timestamp, payload string")
+    seen, write = {}, ingest.written
+    monkeypatch.setattr(ingest, "written", lambda rows, label: (
+        lambda kept: (seen.update({r["title"]: r["raw_payload"] for r in kept.collect()}) if label.startswith("staged") else None, kept)[1])(write(rows, label)))
+    store = NewsStore(spark, str(tmp_path))
+    ingest.ingest_cycle(store, payloads, sources, "r", datetime(2024, 1, 2), enrichers=[*standard_enrichers(), ("copy", F.col("raw_payload"))] if own else None)
+    # Dead letters have their payload, and raw payloads are all kept; an enricher of the caller's own may read them.
+    assert seen["Tiny"] and store.read("failed_articles").filter("raw_payload like '%Tiny%'").count() == 1
+    assert store.read("raw_articles").filter("raw_payload like '%title%'").count() == 3
+    assert (seen["Long enough one"] is not None) == own and store.read("articles").count() == 2
+
+
+def test_raw_payloads_are_not_gathered_by_a_shuffle(spark, tmp_path):
+    store = NewsStore(spark, str(tmp_path))
+    rows = spark.range(0, 60, 1, 6).select(
+        F.struct("id").alias("seq"), F.lit("s").alias("source_id"), F.col("id").cast("string").alias("url"),
+        F.lit(None).cast("string").alias("published_at_raw"), F.lit("{}").alias("raw_payload"))
+    raw_append(store, rows, "r", F.lit(datetime(2024, 1, 1)))
+    assert len([*(tmp_path / "raw_articles" / "run_id=r").glob("*.parquet")]) == 6 and store.read("raw_articles").count() == 60
+    assert all(".zstd." in f.name for f in (tmp_path / "raw_articles" / "run_id=r").glob("*.parquet"))
