@@ -15,7 +15,8 @@ from ..operators.health import apply_outcomes, with_health
 from ..operators.maintenance import CHILDREN, child_rows
 from ..operators.quality import passed, route_failures, stage_articles
 from ..operators.runs import run_summary
-from ..session import passing_scratch, written
+from ..session import TEXTS, passing_scratch
+from ..session import written as kept_rows
 from ..sources.feeds import active_sources, arrival, entry_failures, feed_outcomes, feed_scan, map_entry
 from ..sources.tables import (
     NewsStore, article_id, dead_letter, open_run, raw_append, refresh_summaries, run_record,
@@ -27,6 +28,10 @@ STAGED = [
 ]
 
 
+def written(rows: DataFrame, label: str) -> DataFrame:
+    return kept_rows(rows, label, **TEXTS)
+
+
 def ingest_cycle(
     store: NewsStore,
     payloads: DataFrame,
