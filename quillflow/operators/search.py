@@ -106,6 +106,16 @@ def build_postings(
     An article's words are counted inside its row, so building the postings needs no shuffle. Stop
     words are told before stemming. Store the rows with `write_postings`.
     """
+    return described_postings(listed_postings(articles, text, stop_words, stem))
+
+
+def listed_postings(
+    articles: DataFrame,
+    text: Column | None = None,
+    stop_words: Sequence[str] = tuple(SEARCH_STOP_WORDS),
+    stem: Stem | None = None,
+) -> DataFrame:
+    """Postings without the columns that `described_postings` tells from the others, so that they need not be shuffled."""
     text = F.concat_ws(" ", "title", "summary", "body") if text is None else text
     stops = list(stop_words)
     counted = positions_by_word(tokens(text), lambda w: ~w.isin(stops))
@@ -114,14 +124,29 @@ def build_postings(
     # The length is taken before the terms are spread out, or it would be summed once per term.
     sized = listed.withColumn("doc_len", length)
     spread = sized.select("id", "doc_len", F.explode_outer("_p").alias("p")).filter(F.col("p").isNotNull())
-    return spread.select(
-        "p.term", "id", F.col("p.tf").cast("bigint").alias("tf"), "doc_len", "p.positions", _block().alias("doc_block"))
+    return spread.select("p.term", "id", "doc_len", "p.positions")
+
+
+def described_postings(listed: DataFrame) -> DataFrame:
+    """Adds count and block to listed postings; other columns that they have come last."""
+    more = [c for c in listed.columns if c not in ("term", "id", "doc_len", "positions")]
+    return listed.select(
+        "term", "id", F.size("positions").cast("bigint").alias("tf"), "doc_len", "positions", _block().alias("doc_block"), *more)
 
 
 def _block() -> Column:
     """Articles of one length class (by powers of the square root of two) and hash: of short ones a word tells more."""
     length_class = F.floor(F.log2(F.greatest("doc_len", F.lit(1)).cast("double")) * 2)
-    return (length_class * BLOCKS_PER_CLASS + F.pmod(F.xxhash64("id", F.lit("block")), F.lit(BLOCKS_PER_CLASS))).cast("int")
+    return (length_class * BLOCKS_PER_CLASS + _slot()).cast("int")
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("id", F.lit("block")), F.lit(BLOCKS_PER_CLASS))
+
+
+def article_shares(articles: DataFrame, shares: int) -> list[DataFrame]:
+    """The articles in `shares` parts of about one size (a divisor of `BLOCKS_PER_CLASS`); no block lies in two of them."""
+    return [articles.filter(_slot() % shares == k) for k in range(shares)] if shares > 1 else [articles]
 
 
 def posting_blocks(postings: DataFrame) -> DataFrame:

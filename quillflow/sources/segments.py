@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.articles import after_cursor, page_order
 from ..operators.maintenance import backfill_from_join, conditional_update, upsert_by_key
-from ..session import TEXTS, written
+from ..session import TEXTS, freed_shuffles, written
 
 FAN_IN = 8
 ROWS_PER_SEGMENT = 5_000_000
@@ -156,15 +156,20 @@ class SegmentedTable:
 
     # --- Writing -----------------------------------------------------------------------------------
 
-    def _stage(self, rows: DataFrame) -> list[Segment]:
+    def _shaped(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+
+    def _stage(self, rows: DataFrame, gather: bool = True) -> list[Segment]:
         """Write rows into new folders, one per date, and describe them; nothing refers to them yet."""
         name = uuid.uuid4().hex
-        shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+        shaped = self._shaped(rows)
         options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in self.blooms}
-        shaped = shaped.hint("rebalance", self.part)
+        if gather:
+            shaped = shaped.hint("rebalance", self.part)
         if self.sort:
             shaped = shaped.sortWithinPartitions(self.part, *self.sort)
-        shaped.write.options(**options, **({} if self.sort else TEXTS)).partitionBy(self.part).parquet(f"{self.root}/data/seg={name}")
+        with freed_shuffles(self.spark):
+            shaped.write.options(**options, **TEXTS).partitionBy(self.part).parquet(f"{self.root}/data/seg={name}")
         path, files = self._path(f"data/seg={name}")
         if not any(s.isDirectory() for s in files.listStatus(path)):
             return []
@@ -179,23 +184,37 @@ class SegmentedTable:
 
     def _replace(self, old: list[Segment], rows: DataFrame, expected: int | None = None) -> None:
         """Rows in place of the old segments: written aside, counted, published."""
+        self._exchange(old, [rows], expected)
+
+    def _exchange(self, old: list[Segment], shares: Sequence[DataFrame], expected: int | None = None, gather: bool = True) -> None:
+        """As `_replace`, for rows in shares that are written one after the other and published together."""
         base, current = self.version(), self.segments()
-        new = self._stage(rows)
+        new = [s for rows in shares for s in self._stage(rows, gather)]
         found = sum(s.rows for s in new)
         if expected is not None and found != expected:
             raise RuntimeError(f"{self.root}: {found} rows written where {expected} were due")
         gone = set(old)
         self._publish([s for s in current if s not in gone] + new, base)
 
-    def write_run(self, run_id: str, rows: DataFrame) -> None:
-        """Replace a run's rows. Merged folders that hold some are written again without them."""
-        stamped = rows.withColumn("run_id", F.lit(run_id))
-        shaped = stamped.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+    def write_run(self, run_id: str, *shares: DataFrame, late: Callable[[DataFrame], DataFrame] | None = None,
+                  gather: bool = True) -> None:
+        """Replace a run's rows. Merged folders that hold some are written again without them.
+
+        Rows in several shares are written one after the other, and what a share has shuffled is freed before the next one: the
+        disk then holds the shuffle of one share and not of all. `late` adds columns that need not be shuffled. Rows that a
+        shuffle has gathered already need no second one (`gather`).
+        """
         old = [s for s in self.segments() if run_id in s.runs]
-        shared = [s for s in old if len(s.runs) > 1]
-        if shared:
-            shaped = shaped.unionByName(self.read(shared).filter(F.col("run_id") != run_id))
-        self._replace(old, shaped)
+        merged = [s for s in old if len(s.runs) > 1]
+        stamped = lambda rows: self._shaped((late(rows) if late else rows).withColumn("run_id", F.lit(run_id)))
+        gathered = lambda rows: rows.hint("rebalance", self.part) if gather else rows
+        shaped = lambda rows: stamped(gathered(rows)) if late else gathered(stamped(rows))
+        first, *others = shares or (self.read([]),)
+        if merged:  # what other runs have there goes with the first share
+            first = gathered(stamped(first).unionByName(self.read(merged).filter(F.col("run_id") != run_id)))
+        else:
+            first = shaped(first)
+        self._exchange(old, [first, *map(shaped, others)], gather=False)
 
     def touched(self, condition: Column) -> list[Segment]:
         """Segments with a row for which the condition holds."""

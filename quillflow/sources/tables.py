@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.articles import EXPORT_COLUMNS, export_rows, export_scan
-from ..operators.search import bucketed, build_postings, doc_lengths, posting_blocks
+from ..operators.search import article_shares, bucketed, described_postings, doc_lengths, listed_postings, posting_blocks
 from ..operators.trends import entity_article_join, hourly_trends, sentiment_daily
-from ..session import TEXTS
+from ..session import TEXTS, bytes_read
 from .keys import KeyIndex
 from .segments import SegmentedTable
 
@@ -55,6 +55,8 @@ SCHEMAS = {
     "sentiment_summaries": "date_bucket timestamp, sentiment_label string, article_count bigint, bucket_date date",
 }
 BLOCK_BUCKETS = 8  # the block table is small beside the postings
+SHARE_BYTES = 64 << 20  # of articles; an index of more is written in shares
+MOST_SHARES = 8  # each reads the articles once
 SUMMARIES = ("hourly_trends", "sentiment_summaries")
 DATED = ("articles", "entities", "sectors", "keywords")
 INDEXED = {"postings": ["term", "doc_block"], "posting_blocks": ["term"]}
@@ -171,10 +173,23 @@ class NewsStore:
             **TEXTS, partitionOverwriteMode="dynamic").partitionBy("run_id").parquet(self.path(table))
 
     def write_index(self, articles: DataFrame, run_id: str, stem=None) -> None:
-        """Postings, their blocks and article lengths of a run, in the run's own folders."""
-        stem = stem or self.stem
-        self.write_run("postings", bucketed(build_postings(articles, stem=stem)), run_id)
-        self.write_run("posting_blocks", bucketed(posting_blocks(self.read_run("postings", run_id)), BLOCK_BUCKETS), run_id)
+        """Postings, their blocks and article lengths of a run, in the run's own folders.
+
+        Postings are several times as large in a shuffle as they are when stored, so large runs are written in shares. A block
+        lies in one share; its rows are counted there.
+        """
+        stem, shares, size = stem or self.stem, 1, bytes_read(articles) or 0
+        while shares < MOST_SHARES and shares * SHARE_BYTES < size:
+            shares *= 2
+        postings = self.table("postings")
+        postings.write_run(
+            run_id, *[bucketed(listed_postings(a, stem=stem)) for a in article_shares(articles, shares)], late=described_postings)
+        written: dict[str, list] = {}
+        for s in postings.segments():
+            if run_id in s.runs:
+                written.setdefault(s.name, []).append(s)
+        blocks = [posting_blocks(postings.read(held).filter(F.col("run_id") == run_id)) for held in written.values()]
+        self.table("posting_blocks").write_run(run_id, *[bucketed(b, BLOCK_BUCKETS) for b in blocks], gather=False)
         self.write_run("doc_lengths", doc_lengths(articles, stem=stem), run_id)
 
     def _schema(self, table: str):

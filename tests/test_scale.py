@@ -1,6 +1,8 @@
 """What keeps the work of the index, the landed stream and the cycle in bounds."""
 
+import time
 from datetime import datetime
+from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
@@ -11,6 +13,9 @@ from quillflow.functions.words import merged_terms, positions_by_word, run_start
 from quillflow.operators import search
 from quillflow.operators.enrich import standard_enrichers
 from quillflow.plans import catalog, ingest
+from quillflow.session import bytes_read
+from quillflow.sources import tables
+from quillflow.sources.segments import SegmentedTable
 from quillflow.sources.tables import NewsStore, raw_append
 
 
@@ -99,3 +104,63 @@ def test_raw_payloads_are_not_gathered_by_a_shuffle(spark, tmp_path):
     raw_append(store, rows, "r", F.lit(datetime(2024, 1, 1)))
     assert len([*(tmp_path / "raw_articles" / "run_id=r").glob("*.parquet")]) == 6 and store.read("raw_articles").count() == 60
     assert all(".zstd." in f.name for f in (tmp_path / "raw_articles" / "run_id=r").glob("*.parquet"))
+
+
+def index_rows(store) -> dict:
+    """What an index holds, without the order."""
+    columns = {"postings": ["term", "id", "tf", "doc_len", "positions", "doc_block", "term_bucket"],
+               "posting_blocks": ["term", "doc_block", "df", "max_tf", "min_len", "term_bucket"], "doc_lengths": ["id", "doc_len"]}
+    return {t: sorted(map(repr, store.read(t).select("run_id", *c).collect())) for t, c in columns.items()}
+
+
+def test_an_index_in_shares_is_the_same(spark, tmp_path, monkeypatch):
+    spark.range(120).select(
+        F.when(F.col("id") != 7, F.concat(F.lit("a"), F.col("id") % 90)).alias("id"),  # some ids twice, one null
+        F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.col("id") % 20), lambda i: F.concat(
+            F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(9)).cast("string")))).alias("title"),
+        F.when(F.col("id") % 3 == 0, "the rally").alias("summary"), F.lit(None).cast("string").alias("body")).write.parquet(
+        str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    assert bytes_read(rows) < tables.SHARE_BYTES  # written at once
+    monkeypatch.setattr(tables, "MOST_SHARES", 4)
+    stores = [NewsStore(spark, str(tmp_path / name)) for name in ("whole", "parts")]
+    for store, size in zip(stores, (1 << 40, 1)):
+        monkeypatch.setattr(tables, "SHARE_BYTES", size)
+        store.write_index(rows.filter("id like '%1'"), "r0")
+        store.write_index(rows, "r1")
+        for table in tables.INDEXED:
+            assert store.table(table).merge(fan_in=2) > 2
+        held = [s for s in store.table("postings").segments() if s.runs == ("r0", "r1")]
+        assert held
+        store.write_index(rows.filter("id like '%2' or id is null"), "r0")  # a run in merged folders, written again with other rows
+    assert index_rows(stores[1]) == index_rows(stores[0]) and len(index_rows(stores[0])["doc_lengths"]) > 120
+    new = [s for s in stores[1].table("postings").segments() if s.runs == ("r0",)]
+    assert len({s.name for s in new}) == 3  # the first share lies with the rows of the other run
+    # No block lies in two shares.
+    in_share = stores[1].table("postings")._files(new).select("doc_block", F.regexp_extract(F.col("_metadata.file_path"), "seg=([^/]+)", 1).alias("share"))
+    assert in_share.distinct().groupBy("doc_block").count().filter("count > 1").isEmpty()
+
+
+def test_an_index_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    found = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    monkeypatch.setattr(tables, "SHARE_BYTES", 1)
+    monkeypatch.setattr(tables, "MOST_SHARES", 2)
+    words = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(F.lit("w"), F.xxhash64("id", i).cast("string")))
+    rows = spark.range(100).select(
+        F.col("id").cast("string").alias("id"), F.concat_ws(" ", words).alias("title"), F.lit("a").alias("summary"), F.lit("rally").alias("body"))
+    store, before, left, stage = NewsStore(spark, str(tmp_path)), found(), [], SegmentedTable._stage
+
+    def shuffled():
+        end, size = time.time() + 20, 1e9
+        while size > 100_000 and time.time() < end:  # the files are deleted in the background
+            time.sleep(0.05)
+            size = sum(f.stat().st_size for f in found() - before if f.exists())
+        return size
+
+    monkeypatch.setattr(SegmentedTable, "_stage", lambda self, *rows: (left.append(shuffled()), stage(self, *rows))[1])
+    store.write_index(rows, "r")
+    left.append(shuffled())
+    # When a share begins, no postings and no blocks that the shares before it have shuffled are left.
+    assert len(left) == 5 and max(left) < 100_000
+    assert store.read("postings").count() == store.read("posting_blocks").agg(F.sum("df")).first()[0] > 100 * 200
